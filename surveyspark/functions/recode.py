@@ -24,14 +24,16 @@ def strict_number(column: Column | str, kind: str = "double") -> Column:
 
 
 def band_code(value: Column | str, bands: Sequence[cb.Band], else_null: bool = False) -> Column:
-    """Code of the inclusive band holding ``value``; otherwise the code itself, or NULL."""
+    """Code of the inclusive band holding ``value``; otherwise the code itself, or NULL.
+
+    One array lookup, whatever the number of bands.
+    """
     original = _col(value).cast("string")
-    number = strict_number(original)
-    chain = None
+    table = [None] * (max(b.upper for b in bands) + 1)
     for band in bands:
-        hit = number.between(band.lower, band.upper)
-        chain = F.when(hit, band.code) if chain is None else chain.when(hit, band.code)
-    return chain if else_null else chain.otherwise(original)
+        table[band.lower:band.upper + 1] = [band.code] * (band.upper + 1 - band.lower)
+    found = F.get(F.array(*[F.lit(code).cast("string") for code in table]), strict_number(original, "int"))
+    return found if else_null else F.coalesce(found, original)
 
 
 def bin_code(amount: Column | str, upper_bounds: Sequence[float], start: int = 1) -> Column:

@@ -7,13 +7,16 @@ than one range of one group, and a value repeated on very many rows is one summe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyspark.runtime import materialise
+
 RANGES = 512
 # Rows left in the fullest wanted range above which the ranges are cut again.
 SMALL_RANGE = 2_000_000
@@ -29,50 +32,67 @@ def weighted_percentiles(df: DataFrame, value: str, probabilities: Sequence[floa
     """
     if not probabilities or any(not 0 < p < 1 for p in probabilities):
         raise ValueError("probabilities must lie strictly between 0 and 1")
-    spark = df.sparkSession
     keys = [f"__k{i}" for i in range(len(by))]
     rows = df.select(*[F.struct(F.col(b)).alias(k) for b, k in zip(by, keys)],
                      F.col(value).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"))
     rows = rows.filter(F.col("__y").isNotNull() & ~F.isnan("__y") & (F.col("__w") > 0))
 
     # First cut: all rows; every group needs its total anyway.
-    cut = _bucketed(rows, ranges)
-    sums = cut.groupBy(*keys, "__bucket").agg(
-        F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("__y").alias("lo"), F.max("__y").alias("hi"))
+    inside = _bucketed(rows, ranges)
+    sums = _range_sums(inside, keys)
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ordered = group.orderBy("__bucket")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # One row per range of a group: at most `ranges` rows in a window partition.
     placed = sums.withColumns({
-        "total": F.sum("w").over(group), "upto": F.sum("w").over(upto), "next": F.lead("lo").over(ordered)})
-    p_table = spark.createDataFrame([(float(p),) for p in probabilities], "p double")
-    targets = placed.join(F.broadcast(p_table)).filter(
-        (F.col("upto") >= F.col("p") * F.col("total") * (1 - _TIE))
-        & (F.col("upto") - F.col("w") < F.col("p") * F.col("total") * (1 - _TIE)))
-    targets = targets.select(
-        *keys, "p", (F.col("p") * F.col("total")).alias("target"), (F.col("upto") - F.col("w")).alias("before"),
-        "n", "lo", "hi", "next")
-    targets = _keep(targets)
+        "total": F.sum("w").over(group), "upto": F.sum("w").over(_upto(group)),
+        "next": F.lead("lo").over(group.orderBy("__bucket"))})
+    placed = placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    placed = placed.withColumn("target", F.col("p") * F.col("total"))
+    wanted = materialise(_hit(placed, keys))
+    inside = inside.join(wanted.drop("n", "lo", "hi"), [*keys, "__bucket"])
 
     # Further cuts while a wanted range is still large.
     for _ in range(4):
-        largest = targets.filter(F.col("lo") < F.col("hi")).agg(F.max("n").alias("n")).first()["n"] or 0
+        largest = wanted.filter("lo < hi").agg(F.max("n").alias("n")).first()["n"] or 0
         if largest <= small_range:
             break
-        targets = _narrow(rows, targets, keys, ranges)
-
-    inside = _inside(rows, targets, keys).groupBy(*keys, "p", "target", "before", "next", "__y").agg(
-        F.sum("__w").alias("w"))
-    entry = Window.partitionBy(*keys, "p").orderBy("__y")
-    running = F.col("before") + F.sum("w").over(entry.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = inside.withColumns({"running": running, "after": F.coalesce(F.lead("__y").over(entry), F.col("next"))})
+        inside = _bucketed(inside.drop("__bucket"), ranges)
+        sums = _range_sums(inside, [*keys, "p", "target", "before", "next"])
+        group = Window.partitionBy(*keys, "p")
+        placed = sums.withColumns({
+            "upto": F.col("before") + F.sum("w").over(_upto(group)),
+            "next": F.coalesce(F.lead("lo").over(group.orderBy("__bucket")), F.col("next"))})
+        wanted = materialise(_hit(placed, keys))
+        inside = inside.drop("target", "before", "next").join(wanted.drop("n", "lo", "hi"), [*keys, "p", "__bucket"])
+
+    values = inside.groupBy(*keys, "p", "target", "before", "next", "__y").agg(F.sum("__w").alias("w"))
+    group = Window.partitionBy(*keys, "p")
+    by_value = group.orderBy("__y")
+    values = values.withColumns({
+        "running": F.col("before") + F.sum("w").over(by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "after": F.coalesce(F.lead("__y").over(by_value), F.col("next"))})
     reached = F.col("running") >= F.col("target") * (1 - _TIE)
     exact = F.abs(F.col("running") - F.col("target")) <= F.col("target") * _TIE
     answer = F.when(exact & F.col("after").isNotNull(), (F.col("__y") + F.col("after")) / 2).otherwise(F.col("__y"))
-    found = inside.filter(reached).groupBy(*keys, "p").agg(F.min_by(answer, F.col("__y")).alias("value"))
+    found = values.filter(reached).groupBy(*keys, "p").agg(F.min_by(answer, F.col("__y")).alias("value"))
     return found.select(*[F.col(k)[b].alias(b) for b, k in zip(by, keys)], "p", "value")
 
 
+def _range_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys, "__bucket").agg(
+        F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("__y").alias("lo"), F.max("__y").alias("hi"))
+
+
+def _upto(group):
+    return group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _hit(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The range of each group and percentile in which the running weight passes the target."""
+    before, line = F.col("upto") - F.col("w"), F.col("target") * (1 - _TIE)
+    chosen = placed.filter((F.col("upto") >= line) & (before < line))
+    return chosen.select(*keys, "p", "__bucket", "target", before.alias("before"), "next", "n", "lo", "hi")
+
+
 def _bucketed(rows: DataFrame, ranges: int) -> DataFrame:
     """Number the value range of every row.  The cut points only balance the work."""
     cuts = rows.agg(F.percentile_approx("__y", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("c")).first()["c"]
@@ -83,36 +103,47 @@ def _bucketed(rows: DataFrame, ranges: int) -> DataFrame:
     return splitter.transform(rows).withColumn("__bucket", F.col("__bucket").cast("int"))
 
 
-def _inside(rows: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows within the wanted range of their group, once per percentile."""
-    r, t = rows.alias("r"), targets.alias("t")
-    condition = F.col("r.__y").between(F.col("t.lo"), F.col("t.hi"))
-    for key in keys:
-        condition = condition & F.col(f"r.{key}").eqNullSafe(F.col(f"t.{key}"))
-    joined = r.join(t, condition)
-    return joined.select(*[F.col(f"t.{k}").alias(k) for k in keys], "t.p", "t.target", "t.before", "t.next",
-                         "r.__y", "r.__w")
+def reference_rif(value: str, quantile: float, p: float) -> Column:
+    """``q - 1{y <= q} / (p (1 - p))``: no density and no p; a missing value counts as above q."""
+    below = F.coalesce(F.col(value) <= F.lit(quantile), F.lit(False)).cast("double")
+    return F.lit(quantile) - below / F.lit(p * (1 - p))
 
 
-def _narrow(rows: DataFrame, targets: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
-    inside = _bucketed(_inside(rows, targets, keys), ranges)
-    parts = [*keys, "p", "target", "before", "next"]
-    sums = inside.groupBy(*parts, "__bucket").agg(
-        F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("__y").alias("lo"), F.max("__y").alias("hi"))
-    ordered = Window.partitionBy(*keys, "p").orderBy("__bucket")
-    placed = sums.withColumns({
-        "upto": F.col("before") + F.sum("w").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "following": F.coalesce(F.lead("lo").over(ordered), F.col("next"))})
-    hit = ((F.col("upto") >= F.col("target") * (1 - _TIE))
-           & (F.col("upto") - F.col("w") < F.col("target") * (1 - _TIE)))
-    chosen = placed.filter(hit).select(
-        *keys, "p", "target", (F.col("upto") - F.col("w")).alias("before"), "n", "lo", "hi",
-        F.col("following").alias("next"))
-    return _keep(chosen)
+def standard_rif(value: str, quantile: float, p: float, density: float) -> Column:
+    """``q + (p - 1{y <= q}) / f(q)`` (Firpo, Fortin and Lemieux 2009); NULL for a missing value."""
+    below = (F.col(value) <= F.lit(quantile)).cast("double")
+    return F.lit(quantile) + (F.lit(p) - below) / F.lit(density)
 
 
-def _keep(targets: DataFrame) -> DataFrame:
-    """The wanted ranges are read twice: write them once."""
-    from surveyspark.runtime import materialise
+def kernel_densities(df: DataFrame, value: str, points: Mapping[float, float], weight: str = "Weight",
+                     bandwidth: float | None = None) -> dict[float, float]:
+    """Weighted Gaussian kernel density of ``value`` at the given points, in one pass.
 
-    return materialise(targets)
+    The default bandwidth is Silverman's rule on the weighted standard deviation.
+    """
+    rows = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
+    y, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    if bandwidth is None:
+        n, total, s1, s2 = rows.agg(F.count(F.lit(1)), F.sum(w), F.sum(w * y), F.sum(w * y * y)).first()
+        spread = max(s2 / total - (s1 / total) ** 2, 0.0) ** 0.5
+        bandwidth = 1.06 * spread * n ** -0.2
+    sums = [F.sum(w * F.exp(-0.5 * F.pow((y - F.lit(q)) / F.lit(bandwidth), 2))) for q in points.values()]
+    row = rows.agg(F.sum(w), *sums).first()
+    scale = row[0] * bandwidth * (2 * math.pi) ** 0.5
+    return {p: row[i + 1] / scale for i, p in enumerate(points)}
+
+
+def add_rif(df: DataFrame, value: str, probabilities: Sequence[float], weight: str = "Weight",
+            where: Column | None = None, kind: str = "reference", prefix: str = "rif") -> tuple[DataFrame, dict[float, float]]:
+    """Add ``rif25``-style columns; quantiles come from the rows in ``where``, columns from all rows."""
+    rows = df if where is None else df.filter(where)
+    table = weighted_percentiles(rows, value, probabilities, weight)
+    quantiles = {r["p"]: r["value"] for r in table.collect()}  # one number per requested percentile
+    if kind == "standard":
+        density = kernel_densities(rows, value, quantiles, weight)
+        columns = {p: standard_rif(value, q, p, density[p]) for p, q in quantiles.items()}
+    elif kind == "reference":
+        columns = {p: reference_rif(value, q, p) for p, q in quantiles.items()}
+    else:
+        raise ValueError(f"unknown influence variable: {kind}")
+    return df.withColumns({f"{prefix}{round(100 * p):d}": c for p, c in columns.items()}), quantiles

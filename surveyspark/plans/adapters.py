@@ -61,20 +61,24 @@ HOUSEHOLD = {
     "b3q5pt6_hhv1": _text("c_acctbal * 8"),
 }
 
-_PRINCIPAL = _pick("11 11 11 12 21 21 31 31 31 31 41 51 81 81 91 92 93 94 95 97 99 31", "(pk + sk)")
-_SUBSIDIARY = f"CASE WHEN (pk + l_orderkey) % 5 = 0 THEN {_pick('11 12 21 31 41 51', 'sk')} END"
 _WORK = "('11', '12', '21', '31', '41', '51')"
 _NIC = ("concat(lpad(" + _pick("1 2 3 5 8 9 10 15 20 25 33 35 36 39 41 42 43 45 46 47 49 50 53 55 56 58 64 85 99",
                                "({0} + l_linenumber)") + ", 2, '0'), lpad(CAST({0} % 1000 AS STRING), 3, '0'))")
-_AGE = "(pk * 7 + l_linenumber) % 90"
+
+# Codes that many other columns depend on, over the deduplicated line items.
+PERSON_STAGE = {
+    "principal": _pick("11 11 11 12 21 21 31 31 31 31 41 51 81 81 91 92 93 94 95 97 99 31", "(pk + sk)"),
+    "subsidiary": f"CASE WHEN (pk + l_orderkey) % 5 = 0 THEN {_pick('11 12 21 31 41 51', 'sk')} END",
+    "years": "(pk * 7 + l_linenumber) % 90",
+}
 
 
 def _if_principal(value: str) -> str:
-    return f"CASE WHEN {_PRINCIPAL} IN {_WORK} THEN {value} END"
+    return f"CASE WHEN principal IN {_WORK} THEN {value} END"
 
 
 def _if_subsidiary(value: str) -> str:
-    return f"CASE WHEN (pk + l_orderkey) % 5 = 0 THEN {value} END"
+    return f"CASE WHEN subsidiary IS NOT NULL THEN {value} END"
 
 
 PERSON = {
@@ -82,29 +86,29 @@ PERSON = {
     "b4q1_perv1": "lpad(CAST(l_linenumber AS STRING), 2, '0')",
     "b4q5_perv1": "CASE WHEN pk % 50 = 0 THEN '3' WHEN flag = 'A' THEN '1' WHEN flag = 'N' THEN '2' "
                   "WHEN pk % 2 = 0 THEN '1' ELSE '2' END",
-    "b4q6_perv1": _text(_AGE),
+    "b4q6_perv1": _text("years"),
     "b4q7_perv1": _text("1 + pk % 4"),
     "b4q8_perv1": _pick("1 5 7 8 10 11 12 13", "(pk + sk)"),
     "b4q9_perv1": _text("1 + sk % 3"),
-    "b4q11_perv1": f"CASE WHEN {_AGE} < 30 THEN {_pick('1 5 11 15 16 21 24 25 26 27 28 31 32 33 43', 'sk')} END",
-    "b4q12_perv1": f"CASE WHEN {_AGE} BETWEEN 12 AND 59 THEN {_text('1 + pk % 6')} END",
+    "b4q11_perv1": f"CASE WHEN years < 30 THEN {_pick('1 5 11 15 16 21 24 25 26 27 28 31 32 33 43', 'sk')} END",
+    "b4q12_perv1": f"CASE WHEN years BETWEEN 12 AND 59 THEN {_text('1 + pk % 6')} END",
     "b4pt1q4_perv1": f"CASE WHEN pk % 6 = 0 THEN {_text('1 + sk % 22')} END",
     "b4pt1q5_perv1": f"CASE WHEN pk % 6 = 0 THEN {_text('1 + sk % 6')} END",
     "b4pt1q6_perv1": f"CASE WHEN pk % 6 = 0 THEN {_text('1 + sk % 3')} END",
-    "b5pt1q3_perv1": _PRINCIPAL,
-    "b5pt2q3_perv1": _SUBSIDIARY,
+    "b5pt1q3_perv1": "principal",
+    "b5pt2q3_perv1": "subsidiary",
     "b5pt1q5_perv1": _if_principal(_NIC.format("sk")),
     "b5pt2q5_perv1": _if_subsidiary(_NIC.format("pk")),
     "b5pt1q6_perv1": _if_principal(_text("100 + pk % 899")),
     "b5pt2q6_perv1": _if_subsidiary(_text("100 + sk % 899")),
-    "b5pt1q13_perv1": f"CASE WHEN {_PRINCIPAL} IN ('31', '41', '51') AND pk % 7 <> 0 THEN {_text('1 + sk % 9')} END",
-    "b5pt2q12_perv1": f"CASE WHEN {_SUBSIDIARY} IN ('31', '41', '51') THEN {_text('1 + pk % 9')} END",
+    "b5pt1q13_perv1": f"CASE WHEN principal IN ('31', '41', '51') AND pk % 7 <> 0 THEN {_text('1 + sk % 9')} END",
+    "b5pt2q12_perv1": f"CASE WHEN subsidiary IN ('31', '41', '51') THEN {_text('1 + pk % 9')} END",
     "b5pt3q6_perv1": _if_principal(_text("1 + l_orderkey % 5")),
     "b5pt3q7_perv1": _if_subsidiary(_text("1 + sk % 5")),
-    "b5pt3q8_perv1": f"CASE WHEN {_PRINCIPAL} = '81' THEN {_text('1 + pk % 7')} END",
-    "b5pt3q9_perv1": f"CASE WHEN {_PRINCIPAL} = '81' AND {_SUBSIDIARY} IS NULL THEN {_text('1 + sk % 5')} END",
-    "b5pt3q11_perv1": f"CASE WHEN {_PRINCIPAL} NOT IN {_WORK} AND pk % 2 = 0 THEN {_text('1 + pk % 8')} END",
-    "b6q9_perv1": f"CASE WHEN {_PRINCIPAL} = '31' AND pk % 31 <> 0 THEN "
+    "b5pt3q8_perv1": f"CASE WHEN principal = '81' THEN {_text('1 + pk % 7')} END",
+    "b5pt3q9_perv1": f"CASE WHEN principal = '81' AND subsidiary IS NULL THEN {_text('1 + sk % 5')} END",
+    "b5pt3q11_perv1": f"CASE WHEN principal NOT IN {_WORK} AND pk % 2 = 0 THEN {_text('1 + pk % 8')} END",
+    "b6q9_perv1": f"CASE WHEN principal = '31' AND pk % 31 <> 0 THEN "
                   f"CASE WHEN pk % 97 = 0 THEN '0' ELSE {_text('CAST(floor(price) AS BIGINT)')} END END",
 }
 
@@ -124,6 +128,7 @@ def coded_files(spark: SparkSession, sf_dir: str, matched_only: bool = True) ->
     base = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_partkey").alias("pk"), F.max("l_suppkey").alias("sk"),
         F.max("l_extendedprice").alias("price"), F.max("l_returnflag").alias("flag"))
+    base = base.select("*", *[F.expr(text).alias(name) for name, text in PERSON_STAGE.items()])
     persons = base.join(units, F.col("l_orderkey") == F.col("o_orderkey"))
     if matched_only:
         units = units.join(lineitem.select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"),

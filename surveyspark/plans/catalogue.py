@@ -196,7 +196,7 @@ _HEADS = ("sheet", "domain", "group_domain", "Age_group", "Sector", "group_code"
 def report_cells(prepared: DataFrame, specs: Sequence[TableSpec] = CATALOGUE, weight: str = "Weight") -> DataFrame:
     """All sheets in one tidy table.
 
-    ``(sheet, Age_group, Sector, group_code, group, code, label, gender, measure, value)``; measures are
+    ``(sheet, Age_group, Sector, group_code, group_label, code, label, gender, measure, value)``; measures are
     ``share``, or ``n``, ``weighted``, ``LFPR``, ``WPR``, ``UR``, ``mean``.
     """
     cells = materialise(fine_cells(prepared, specs, weight))
@@ -277,7 +277,7 @@ def _with_labels(tidy: DataFrame) -> DataFrame:
     return out.select(
         "sheet", "Age_group", "Sector",
         F.when(grouped, F.col("group_code")).alias("group_code"),
-        F.when(grouped, F.coalesce("__group", "group_code")).alias("group"),
+        F.when(grouped, F.coalesce("__group", "group_code")).alias("group_label"),
         "code",
         F.when(F.col("code") == cb.TOTAL_CODE, cb.TOTAL_LABEL).otherwise(F.coalesce("__label", "code")).alias("label"),
         "gender", "measure", "value")
@@ -287,7 +287,7 @@ def sheet(cells: DataFrame, name: str, specs: Sequence[TableSpec] = CATALOGUE) -
     """One sheet in its printed shape."""
     spec = next(s for s in specs if s.sheet == name)
     rows = cells.filter(F.col("sheet") == name)
-    heads = ["Age_group", "Sector", *(["group_code", "group"] if spec.group else [])]
+    heads = ["Age_group", "Sector", *(["group_code", "group_label"] if spec.group else [])]
     if spec.kind == SHARES:
         wide = rows.groupBy(*heads, "code", "label").agg(
             *[F.max(F.when(F.col("gender") == g, F.col("value"))).alias(g) for g in cb.GENDERS])
@@ -300,7 +300,7 @@ def sheet(cells: DataFrame, name: str, specs: Sequence[TableSpec] = CATALOGUE) -
             *[F.max(F.when(F.col("measure") == m, F.col("value"))).alias(n) for m, n in measures.items()])
         names = {"gender": "Gender"}
     if spec.group:
-        wide = wide.withColumnRenamed("group", spec.group).drop("group_code")
+        wide = wide.withColumnRenamed("group_label", spec.group).drop("group_code")
     return wide.withColumnsRenamed(names)
 
 

@@ -29,7 +29,7 @@ def sheet_order(df: DataFrame) -> list[Column]:
     for name, values in (("Age_group", list(cb.AGE_GROUPS)), ("Sector", [*cb.SECTORS, cb.POOLED_SECTOR])):
         if name in df.columns:
             order.append(_ordinal(name, values))
-    for name in ("group_code", "group", *[c for c in ("Social_group", "Religion", "State_code") if c in df.columns]):
+    for name in ("group_code", "group_label", *[c for c in ("Social_group", "Religion", "State_code") if c in df.columns]):
         if name in df.columns:
             order.append(F.col(name))
     code = next((c for c in ("Code", "code") if c in df.columns), None)

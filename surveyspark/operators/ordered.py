@@ -24,11 +24,15 @@ _TIE = 1e-12
 
 
 def weighted_percentiles(df: DataFrame, value: str, probabilities: Sequence[float], weight: str = "Weight",
-                         by: Sequence[str] = (), ranges: int = RANGES, small_range: int = SMALL_RANGE) -> DataFrame:
+                         by: Sequence[str] = (), ranges: int = RANGES, small_range: int = SMALL_RANGE,
+                         cut_lineage: bool = True) -> DataFrame:
     """``(by..., p, value)``: smallest value whose running weight exceeds p times the total.
 
     Where some running weight equals that target, the mean of its value and the next one.  Rows
     without a value or a positive weight take no part.  Groups are compared null-safely.
+
+    The rows are read three times or more.  By default their two or three columns are written first;
+    turn ``cut_lineage`` off when ``df`` is a plain scan.
     """
     if not probabilities or any(not 0 < p < 1 for p in probabilities):
         raise ValueError("probabilities must lie strictly between 0 and 1")
@@ -37,6 +41,9 @@ def weighted_percentiles(df: DataFrame, value: str, probabilities: Sequence[floa
                      F.col(value).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"))
     rows = rows.filter(F.col("__y").isNotNull() & ~F.isnan("__y") & (F.col("__w") > 0))
 
+    if cut_lineage:
+        rows = materialise(rows)
+
     # First cut: all rows; every group needs its total anyway.
     inside = _bucketed(rows, ranges)
     sums = _range_sums(inside, keys)
@@ -134,10 +141,11 @@ def kernel_densities(df: DataFrame, value: str, points: Mapping[float, float], w
 
 
 def add_rif(df: DataFrame, value: str, probabilities: Sequence[float], weight: str = "Weight",
-            where: Column | None = None, kind: str = "reference", prefix: str = "rif") -> tuple[DataFrame, dict[float, float]]:
+            where: Column | None = None, kind: str = "reference", prefix: str = "rif",
+            cut_lineage: bool = True) -> tuple[DataFrame, dict[float, float]]:
     """Add ``rif25``-style columns; quantiles come from the rows in ``where``, columns from all rows."""
     rows = df if where is None else df.filter(where)
-    table = weighted_percentiles(rows, value, probabilities, weight)
+    table = weighted_percentiles(rows, value, probabilities, weight, cut_lineage=cut_lineage)
     quantiles = {r["p"]: r["value"] for r in table.collect()}  # one number per requested percentile
     if kind == "standard":
         density = kernel_densities(rows, value, quantiles, weight)

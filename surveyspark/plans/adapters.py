@@ -24,7 +24,9 @@ KEY_PARTS = tuple(replace(p, width=12) if p.prefix == "b1q1" else p for p in cb.
 
 
 def _pick(values: str, index: str) -> str:
-    return f"split_part('{values}', ' ', CAST({index} % {len(values.split())} + 1 AS INT))"
+    """Entry ``index`` (taken round) of a list of one- or two-character codes."""
+    codes = values.split()
+    return f"trim(substring('{''.join(c.rjust(2) for c in codes)}', CAST({index} % {len(codes)} * 2 + 1 AS INT), 2))"
 
 
 def _text(number: str) -> str:
@@ -121,6 +123,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt_out(scan: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, dealt out to all cores; a larger one as it is.
+
+    A small file with one row group is otherwise read, joined and pre-aggregated by a single task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def coded_files(spark: SparkSession, sf_dir: str, matched_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(persons, households)`` as coded text; optionally with the orders that have no line item."""
     lineitem, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
@@ -172,7 +183,7 @@ _ON = {"part": "l_partkey = p_partkey", "orders": "l_orderkey = o_orderkey", "cu
 def line_view(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
     """The chosen survey columns of every line item, joining only the tables that they need."""
     needed = {t for c in columns for t in _NEEDS[LINE[c][1]]}
-    rows = table(spark, sf_dir, "lineitem")
+    rows = dealt_out(table(spark, sf_dir, "lineitem"))
     for name in ("part", "orders", "customer", "nation"):
         if name in needed:
             rows = rows.join(table(spark, sf_dir, name), F.expr(_ON[name]))

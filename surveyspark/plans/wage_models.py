@@ -95,7 +95,7 @@ def model_table(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
     })
     groups = [c.group for c in COMPARISONS]
     table = materialise(rows.select("log_wage", "Weight", "Social_group", *CORE, "dummy_male", *groups))
-    with_rif, _ = od.add_rif(table, "log_wage", PERCENTILES, kind=rif_kind)
+    with_rif, _ = od.add_rif(table, "log_wage", PERCENTILES, kind=rif_kind, cut_lineage=False)
     return with_rif
 
 

@@ -88,12 +88,17 @@ def merge_counts(merged: DataFrame) -> DataFrame:
 
 
 def unmatched_counts(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of each side whose key the other side lacks, as a one-row table."""
+    """Rows of each side whose key the other side lacks, as a one-row table.
+
+    Keys are counted before they meet, so a hot key is one entry per side.
+    """
     on = list(on)
-    left_only = left.join(right.select(*on).distinct(), on, "left_anti").agg(F.count(F.lit(1)).alias("left_only"))
-    right_only = right.join(left.select(*on).distinct(), on, "left_anti").agg(F.count(F.lit(1)).alias("right_only"))
-    # Two one-row aggregates side by side.
-    return left_only.withColumn("__k", F.lit(1)).join(right_only.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    a = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__l"))
+    b = right.groupBy(*on).agg(F.count(F.lit(1)).alias("__r"))
+    both = a.join(b, on, "full_outer")
+    return both.agg(
+        F.coalesce(F.sum(F.when(F.col("__r").isNull(), F.col("__l"))), F.lit(0)).alias("left_only"),
+        F.coalesce(F.sum(F.when(F.col("__l").isNull(), F.col("__r"))), F.lit(0)).alias("right_only"))
 
 
 def merge_checked(left: DataFrame, right: DataFrame, on: Sequence[str], kind: str = "m:1",

@@ -12,6 +12,7 @@ from surveyspark import codebook as cb
 from surveyspark.functions import recode, status, weights
 from surveyspark.operators import checks as ck
 from surveyspark.operators import merge as mg
+from surveyspark.runtime import materialise
 
 MODES = ("annual", "video")
 
@@ -115,21 +116,23 @@ def prepared_checks(teaching: bool = False) -> list[ck.Check]:
     return out
 
 
-def audit_table(persons: DataFrame, households: DataFrame, merged: DataFrame, data: DataFrame, used: DataFrame,
+def audit_table(households: DataFrame, merged: DataFrame, data: DataFrame, used: DataFrame,
                 mode: str, source: str) -> DataFrame:
     """One row of run counts."""
-    one = F.lit(1)
+    def merge_rows(outcome: str):
+        return F.count_if(F.col("_merge") == outcome)
+
     pieces = [
-        households.agg(F.count(one).alias("households")),
-        persons.agg(F.count(one).alias("persons_before_filter")),
+        households.agg(F.count(F.lit(1)).alias("households")),
         merged.agg(
-            F.count_if(F.col("_merge") == mg.BOTH).alias("matched_persons"),
-            F.count_if(F.col("_merge") == mg.LEFT_ONLY).alias("persons_without_household"),
-            F.count_if(F.col("_merge") == mg.RIGHT_ONLY).alias("households_without_persons")),
+            F.count_if(F.col("_merge") != mg.RIGHT_ONLY).alias("persons_before_filter"),
+            merge_rows(mg.BOTH).alias("matched_persons"),
+            merge_rows(mg.LEFT_ONLY).alias("persons_without_household"),
+            merge_rows(mg.RIGHT_ONLY).alias("households_without_persons")),
         data.agg(
             F.count_if(F.col("Gender_original") == "3").alias("gender_code_3_records"),
             F.count_if(F.col("Contributing_quarters") < 4).alias("persons_with_fewer_than_four_quarters")),
-        used.agg(F.count(one).alias("persons_used"), F.sum("Weight").alias("sum_of_weights")),
+        used.agg(F.count(F.lit(1)).alias("persons_used"), F.sum("Weight").alias("sum_of_weights")),
     ]
     # One-row tables put side by side.
     out = households.sparkSession.createDataFrame([(1, mode, source)], "__k int, mode string, input_directory string")
@@ -138,30 +141,41 @@ def audit_table(persons: DataFrame, households: DataFrame, merged: DataFrame, da
     return out.drop("__k")
 
 
+def check_merged(merged: DataFrame, key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> None:
+    """Stop on unmatched rows of either file, then on columns that disagree; one pass for both."""
+    no_household, no_persons = "persons have no household", "households have no persons"
+    checks = [ck.Check(no_household, F.col("_merge") != mg.LEFT_ONLY), ck.Check(no_persons, F.col("_merge") != mg.RIGHT_ONLY)]
+    checks += [ck.Check(f"{a} = {b}", F.col(a) == F.col(b)) for a, b in agreement_pairs(key_parts)]
+    failed = dict(ck.enforce(ck.check_report(merged, checks), strict=False))
+    if no_household in failed or no_persons in failed:
+        raise ck.CheckFailed(f"merge stopped: {failed.get(no_household, 0):,} {no_household}; "
+                             f"{failed.get(no_persons, 0):,} {no_persons}")
+    if failed:
+        raise ck.CheckFailed("; ".join(f"{name}: {count:,} rows" for name, count in sorted(failed.items())))
+
+
 def first_visits(persons: DataFrame, households: DataFrame, mode: str = "annual", source: str = "",
                  key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS, strict: bool = True) -> FirstVisits:
     """Keyed, merged, checked and weighted person rows.
 
     In strict mode all file checks are counted first and reported together, then the merge, then the
-    row checks; nothing is returned unless they hold.
+    row checks; nothing is returned unless they hold.  The merged rows are written once for all the
+    passes that follow.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     persons, households = key_files(persons, households, key_parts)
     if strict:
         ck.enforce(*file_checks(persons, households, key_parts))
-        left_only, right_only = mg.unmatched_counts(persons, households, ["HHID"]).first()
-        if left_only or right_only:
-            raise ck.CheckFailed(f"merge stopped: {left_only:,} persons have no household; "
-                                 f"{right_only:,} households have no persons")
     merged = merge_files(persons, households)
     if strict:
-        ck.enforce(mg.agreement(merged, agreement_pairs(key_parts)))
+        merged = materialise(merged)
+        check_merged(merged, key_parts)
     data = analysis_columns(merged, key_parts)
     if strict:
         ck.enforce(ck.check_report(data, analysis_checks()))
     used = apply_mode(data, mode)
-    return FirstVisits(used, audit_table(persons, households, merged, data, used, mode, source))
+    return FirstVisits(used, audit_table(households, merged, data, used, mode, source))
 
 
 def prepared(persons: DataFrame, households: DataFrame, mode: str = "annual",

@@ -333,7 +333,7 @@ POPULATION_SQL = {
     "Unemployed": "Unemployed", "Non-workers": "NOT Worker",
 }
 oracle("population_filters", " UNION ALL ".join(
-    f"SELECT '{name}' AS Population, count(*) AS Sample, {R('coalesce(sum(Weight), 0)')} AS Weighted FROM prepared WHERE {rule}"
+    f"SELECT '{name}' AS Population, count(*) AS Sample, {R('coalesce(sum(Weight), 0)', 5)} AS Weighted FROM prepared WHERE {rule}"
     for name, rule in POPULATION_SQL.items()), _prepared())
 oracle("age_sector_slices", f"""
 SELECT a.Age_group, s.Sector, count(*) AS n FROM line m JOIN ages a ON {_in_slice()} JOIN sectors s ON {_OWN_SECTOR}
@@ -427,19 +427,19 @@ SELECT coalesce(Segment, 'Total') AS Segment, coalesce(Gender, 'Total') AS Gende
 FROM line GROUP BY CUBE (Segment, Gender, Sector_code)""", _LINE)
 oracle("unpaid_helper_margins", f"""
 SELECT coalesce(Social_group, 'Total') AS Social_group, coalesce(Gender, 'Total') AS Gender, coalesce(Sector_code, 'Total') AS Sector_code,
-  count(*) AS n, {R('sum(Weight)')} AS weighted,
-  {R("sum(Weight * CASE WHEN Broad_status = '2' THEN 100.0e0 ELSE 0 END) / sum(Weight)")} AS mean
+  count(*) AS n, {R('sum(Weight)', 5)} AS weighted,
+  {R("sum(Weight * CASE WHEN Broad_status = '2' THEN 100.0e0 ELSE 0 END) / sum(Weight)", 5)} AS mean
 FROM prepared WHERE Worker AND Social_group IS NOT NULL GROUP BY CUBE (Social_group, Gender, Sector_code)""", _prepared())
 
 
-def _crosstab(row, column, source, where, base, by=""):
+def _crosstab(row, column, source, where, base, by="", places=6):
     h = f"{by}, " if by else ""
     on = {"row": f"PARTITION BY {h}{row}", "column": f"PARTITION BY {h}{column}"}[base]
     margin = {"row": column, "column": row}[base]
     sets = f"({h}{row}, {column}), ({h}{row}), ({h}{column}), ({by})"
     return f"""
-SELECT {h}{row}, {column}, n, {R('w')} AS weighted,
-  {R(f"100 * w / max(CASE WHEN {margin} = 'Total' THEN w END) OVER ({on})")} AS percent
+SELECT {h}{row}, {column}, n, {R('w', places)} AS weighted,
+  {R(f"100 * w / max(CASE WHEN {margin} = 'Total' THEN w END) OVER ({on})", places)} AS percent
 FROM (SELECT {h}coalesce({row}, 'Total') AS {row}, coalesce({column}, 'Total') AS {column}, count(*) AS n, sum(Weight) AS w
       FROM {source} WHERE {where} AND {row} IS NOT NULL AND {column} IS NOT NULL GROUP BY GROUPING SETS ({sets}))"""
 
@@ -450,12 +450,12 @@ oracle("shares_repeated_by_gender", _crosstab("Type", "Broad_status", "line", "W
 oracle("crosstab_missing", "SELECT Worker, Labour_force, Subsidiary_status, count(*) AS n FROM line GROUP BY ALL", _LINE)
 
 
-def _oneway(column, source, where, by=""):
+def _oneway(column, source, where, by="", places=6):
     h = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
     return f"""
-SELECT {h}{column}, n, {R('w')} AS weighted, {R(f'100 * w / sum(w) OVER ({part})')} AS percent,
-  {R(f'100 * sum(w) OVER ({part} ORDER BY {column} ROWS UNBOUNDED PRECEDING) / sum(w) OVER ({part})')} AS cumulative
+SELECT {h}{column}, n, {R('w', places)} AS weighted, {R(f'100 * w / sum(w) OVER ({part})', places)} AS percent,
+  {R(f'100 * sum(w) OVER ({part} ORDER BY {column} ROWS UNBOUNDED PRECEDING) / sum(w) OVER ({part})', places)} AS cumulative
 FROM (SELECT {h}{column}, count(*) AS n, sum(Weight) AS w FROM {source} WHERE {where} AND {column} IS NOT NULL GROUP BY ALL)"""
 
 
@@ -484,7 +484,7 @@ SELECT 'annual' AS mode, 'lineitem, orders, customer' AS input_directory,
   (SELECT count(*) FROM all_households WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS households_without_persons,
   count(*) FILTER (WHERE Gender_original = '3') AS gender_code_3_records,
   count(*) FILTER (WHERE Contributing_quarters < 4) AS persons_with_fewer_than_four_quarters,
-  count(*) AS persons_used, {R('sum(Weight)')} AS sum_of_weights FROM prepared""", _prepared())
+  count(*) AS persons_used, {R('sum(Weight)', 5)} AS sum_of_weights FROM prepared""", _prepared())
 
 
 # --- catalogue -----------------------------------------------------------------------------------
@@ -553,7 +553,7 @@ def _catalogue(mode: str, specs=ct.CATALOGUE) -> list[str]:
     ]
 
 
-_CELLS = f"SELECT sheet, Age_group, Sector, group_code, group_label, code, label, gender, measure, {R('value')} AS value FROM cells"
+_CELLS = f"SELECT sheet, Age_group, Sector, group_code, group_label, code, label, gender, measure, {R('value', 5)} AS value FROM cells"
 oracle("catalogue_one_pass", _CELLS, *_catalogue("annual"))
 oracle("catalogue_historical", _CELLS, *_catalogue("video"))
 oracle("catalogue_headline", f"""
@@ -563,11 +563,11 @@ oracle("catalogue_guide", """
 SELECT guide.Sheet AS Sheet, Population, Ages, count(*) AS Cells FROM guide JOIN cells ON guide.Sheet = cells.sheet GROUP BY ALL""",
        *_catalogue("annual"),
        "guide(Sheet, Population, Ages) AS (VALUES " + _values([(s.sheet, s.population, "; ".join(s.ages)) for s in ct.CATALOGUE]) + ")")
-oracle("historical_industry_table", _crosstab("industry", "Gender", "hist", "Labour_force AND Sector_code = '1'", "column"),
+oracle("historical_industry_table", _crosstab("industry", "Gender", "hist", "Labour_force AND Sector_code = '1'", "column", places=5),
        _prepared("video"),
        f"""hist AS (SELECT *, {_band_case("left(coalesce(NIC_principal, NIC_subsidiary), 2)", cb.NIC_BROAD_BANDS,
                                          "left(coalesce(NIC_principal, NIC_subsidiary), 2)")} AS industry FROM prepared)""")
-oracle("historical_training_oneway", _oneway("Training_code", "prepared", "Labour_force AND Age >= 15", "Sector_code, Gender"),
+oracle("historical_training_oneway", _oneway("Training_code", "prepared", "Labour_force AND Age >= 15", "Sector_code, Gender", 5),
        _prepared("video"))
 
 # --- percentiles and models ----------------------------------------------------------------------

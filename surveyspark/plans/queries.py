@@ -32,6 +32,8 @@ from surveyspark.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Decimals kept of tables with large weight sums.
+SUMS = 5
 
 
 def query(function: Query) -> Query:
@@ -299,7 +301,7 @@ POPULATIONS = ("All persons", "Workers", "Labour force", "Employees", "Formal tr
 @query
 def population_filters(spark, sf_dir):
     rows = _prepared(spark, sf_dir)
-    counted = rounded(tb.counts(rows, {f"p{i}": population(p) for i, p in enumerate(POPULATIONS)}, "Weight"))
+    counted = rounded(tb.counts(rows, {f"p{i}": population(p) for i, p in enumerate(POPULATIONS)}, "Weight"), SUMS)
     return counted.select(F.inline(F.array(*[
         F.struct(F.lit(p).alias("Population"), F.col(f"p{i}_sample").alias("Sample"),
                  F.col(f"p{i}_population").alias("Weighted")) for i, p in enumerate(POPULATIONS)])))
@@ -375,7 +377,7 @@ def unpaid_helper_margins(spark, sf_dir):
     return rounded(tb.mean_margins(
         rows.filter("Worker"), ["Social_group", "Gender", "Sector_code"], "Unpaid",
         margins=[["Social_group", "Gender", "Sector_code"], ["Social_group", "Gender"], ["Social_group", "Sector_code"],
-                 ["Gender", "Sector_code"], ["Social_group"], ["Gender"], ["Sector_code"], []]))
+                 ["Gender", "Sector_code"], ["Social_group"], ["Gender"], ["Sector_code"], []]), SUMS)
 
 
 @query
@@ -437,18 +439,18 @@ def levels_present(spark, sf_dir):
 def run_audit(spark, sf_dir):
     persons, households = ad.coded_files(spark, sf_dir, matched_only=False)
     visits = wf.first_visits(persons, households, source="lineitem, orders, customer", key_parts=ad.KEY_PARTS, strict=False)
-    return rounded(visits.audit)
+    return rounded(visits.audit, SUMS)
 
 
 @query
 def catalogue_one_pass(spark, sf_dir):
-    return rounded(ct.report_cells(_prepared(spark, sf_dir)))
+    return rounded(ct.report_cells(_prepared(spark, sf_dir)), SUMS)
 
 
 @query
 def catalogue_historical(spark, sf_dir):
     """The sheets with historical weights and without gender code 3."""
-    return rounded(ct.report_cells(_prepared(spark, sf_dir, "video")))
+    return rounded(ct.report_cells(_prepared(spark, sf_dir, "video")), SUMS)
 
 
 @query
@@ -471,14 +473,14 @@ def historical_industry_table(spark, sf_dir):
     division = recode.code_prefix(status.first_nonblank("NIC_principal", "NIC_subsidiary"), 2)
     rows = rows.withColumn("industry", recode.band_code(division, cb.NIC_BROAD_BANDS))
     return rounded(tb.crosstab(rows, "industry", "Gender", "column",
-                               where=F.col("Labour_force") & (F.col("Sector_code") == "1")))
+                               where=F.col("Labour_force") & (F.col("Sector_code") == "1")), SUMS)
 
 
 @query
 def historical_training_oneway(spark, sf_dir):
     rows = _prepared(spark, sf_dir, "video")
     return rounded(tb.oneway(rows, "Training_code", by=["Sector_code", "Gender"],
-                             where=F.col("Labour_force") & (F.col("Age") >= 15)))
+                             where=F.col("Labour_force") & (F.col("Age") >= 15)), SUMS)
 
 
 # --- percentiles and models ----------------------------------------------------------------------

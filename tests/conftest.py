@@ -12,6 +12,8 @@ from surveyspark.runtime import get_spark  # noqa: E402
 def spark(tmp_path_factory):
     session = get_spark("tests", **{
         "spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+        # A few dozen rows per test: compiling wide plans would take most of the time.
+        "spark.sql.codegen.wholeStage": "false",
         "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     if session.conf.get("spark.checkpoint.dir", None) is None:

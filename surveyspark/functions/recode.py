@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark import codebook as cb
+from surveyspark.runtime import small_table
 
 
 def clean_text(column: Column | str) -> Column:
@@ -74,7 +75,7 @@ def comparison_group(first: Column, second: Column) -> Column:
 def label_table(spark: SparkSession, labels: Mapping[str, Mapping[str, str]] = cb.LABELS) -> DataFrame:
     """All value labels as ``(domain, code, label)``; its size is that of the codebook."""
     rows = [(domain, code, label) for domain, codes in labels.items() for code, label in codes.items()]
-    return spark.createDataFrame(rows, "domain string, code string, label string")
+    return small_table(spark, rows, "domain string, code string, label string")
 
 
 def with_label(df: DataFrame, column: str, domain: str, name: str,

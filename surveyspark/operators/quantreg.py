@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.operators.gram import estimation_sample
-from surveyspark.runtime import materialise
+from surveyspark.runtime import materialise, small_table
 
 # In units of the residual spread.  At the final width the check loss is within about 1e-6 of its minimum.
 START_WIDTH, FINAL_WIDTH, SHRINK = 0.3, 1e-3, 0.1
@@ -70,8 +70,8 @@ def quantile_regression(df: DataFrame, y: str, x: Sequence[str], taus: Sequence[
         intercept = means[0] + scales[0] * s.beta[0] - float(slopes @ means[1:])
         for term, value in zip([*x, "_cons"], [*slopes, intercept]):
             rows.append((float(s.tau), term, float(value), n, s.stats["share"], s.stats["objective"], passes, s.done))
-    return df.sparkSession.createDataFrame(
-        rows, "tau double, term string, estimate double, n bigint, share_below double, objective double, "
+    return small_table(
+        df.sparkSession, rows, "tau double, term string, estimate double, n bigint, share_below double, objective double, "
               "passes int, converged boolean")
 
 

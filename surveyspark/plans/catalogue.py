@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from surveyspark import codebook as cb
 from surveyspark.functions.recode import label_table
 from surveyspark.operators import tabulate as tb
-from surveyspark.operators.populations import age_bits, age_group, population
-from surveyspark.runtime import materialise
+from surveyspark.operators.populations import age_bits, age_group, population, sector_memberships
+from surveyspark.runtime import materialise, small_table
 
 RATES, SHARES, MEANS = "rates", "shares", "means"
 
@@ -99,7 +99,7 @@ def guide(spark: SparkSession, specs: Sequence[TableSpec] = CATALOGUE) -> DataFr
     share = "Percent of reported answers within an age, sector, gender and group; blanks are left out."
     rows = [(s.sheet, s.population, "; ".join(s.ages), f"{share} {s.note}".strip() if s.kind == SHARES else s.note)
             for s in specs]
-    return spark.createDataFrame(rows, "Sheet string, Population string, Ages string, Meaning string")
+    return small_table(spark, rows, "Sheet string, Population string, Ages string, Meaning string")
 
 
 def notes(spark: SparkSession, mode: str) -> DataFrame:
@@ -122,7 +122,7 @@ def notes(spark: SparkSession, mode: str) -> DataFrame:
         ("Unlabelled codes", "Shown as coded."),
         ("Precision", "Point estimates without survey-design standard errors."),
     ]
-    return spark.createDataFrame(rows, "Topic string, Explanation string")
+    return small_table(spark, rows, "Topic string, Explanation string")
 
 
 def _code(spec: TableSpec) -> Column:
@@ -174,15 +174,13 @@ def _spec_table(spark: SparkSession, specs: Sequence[TableSpec]) -> DataFrame:
     bits = {a.name: 1 << i for i, a in enumerate(_ages(specs))}
     rows = [(i, s.sheet, s.kind, s.combined, s.group, s.column, age, bits[age])
             for i, s in enumerate(specs) for age in s.ages]
-    return spark.createDataFrame(
-        rows, "__spec int, sheet string, kind string, combined boolean, group_domain string, domain string, "
+    return small_table(
+        spark, rows, "__spec int, sheet string, kind string, combined boolean, group_domain string, domain string, "
               "Age_group string, __bit int")
 
 
 def heading_cells(cells: DataFrame, specs: Sequence[TableSpec] = CATALOGUE) -> DataFrame:
     """Fine cells under every sheet heading they belong to."""
-    from surveyspark.operators.populations import sector_memberships
-
     dims = _spec_table(cells.sparkSession, specs)
     out = cells.join(dims, "__spec").filter(F.col("__ages").bitwiseAND(F.col("__bit")) > 0)
     return out.withColumn("Sector", F.explode(sector_memberships(F.col("combined")))).select(

@@ -12,7 +12,7 @@ from surveyspark import codebook as cb
 from surveyspark.functions import recode, status, weights
 from surveyspark.operators import checks as ck
 from surveyspark.operators import merge as mg
-from surveyspark.runtime import materialise
+from surveyspark.runtime import materialise, small_table
 
 MODES = ("annual", "video")
 
@@ -79,7 +79,7 @@ def apply_mode(data: DataFrame, mode: str = "annual") -> DataFrame:
     return data
 
 
-def prepare_variables(data: DataFrame) -> DataFrame:
+def derive_categories(data: DataFrame) -> DataFrame:
     """Activity flags, the selected job and every table category."""
     data = data.withColumns({"Gender": status.gender_name(F.col("Gender_code")), **status.activity_flags()})
     data = data.withColumns({
@@ -135,7 +135,7 @@ def audit_table(households: DataFrame, merged: DataFrame, data: DataFrame, used:
         used.agg(F.count(F.lit(1)).alias("persons_used"), F.sum("Weight").alias("sum_of_weights")),
     ]
     # One-row tables put side by side.
-    out = households.sparkSession.createDataFrame([(1, mode, source)], "__k int, mode string, input_directory string")
+    out = small_table(households.sparkSession, [(1, mode, source)], "__k int, mode string, input_directory string")
     for piece in pieces:
         out = out.join(piece.withColumn("__k", F.lit(1)), "__k")
     return out.drop("__k")
@@ -183,4 +183,4 @@ def prepared(persons: DataFrame, households: DataFrame, mode: str = "annual",
     """The prepared table as one lazy plan, without the stopping checks."""
     keyed_persons, keyed_households = key_files(persons, households, key_parts)
     merged = merge_files(keyed_persons, keyed_households)
-    return prepare_variables(apply_mode(analysis_columns(merged, key_parts), mode))
+    return derive_categories(apply_mode(analysis_columns(merged, key_parts), mode))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +45,17 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/surveyspark-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
+    """A table written in the program, such as labels or table specifications.
+
+    It becomes a local relation of known size, so Spark broadcasts it by itself; rows made from Python
+    objects would be an RDD of unknown size and be shuffled.
+    """
+    fields = [c.split() for c in columns.split(",")]
+    arrays = [pa.array([r[i] for r in rows], _ARROW[kind]) for i, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[name for name, _ in fields]))

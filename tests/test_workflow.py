@@ -14,7 +14,7 @@ from tests import invented
 def prepared(spark):
     persons, households = invented.frames(spark)
     visits = wf.first_visits(persons, households)
-    rows = wf.prepare_variables(visits.data).collect()
+    rows = wf.derive_categories(visits.data).collect()
     return {r["PID"][-4:]: r for r in rows}, visits.audit.first()
 
 

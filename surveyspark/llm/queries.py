@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import ngram_join
+from surveyspark.llm import ngram_join, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op9_ngram_join(spark, sf_dir):
     return ngram_join.component_ids(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    return (suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))

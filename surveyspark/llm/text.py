@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,5 +210,5 @@ class Blobs:
 
 
 def unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
-    """The arrays of all rows, one after another."""
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
+    """The arrays of all rows, one after another; NULL is an empty one."""
+    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import ngram_join, suffix_dedup
+from surveyspark.llm import decontaminate, licenses, ngram_join, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +32,19 @@ def op9_ngram_join(spark, sf_dir):
 def op6_suffix_dedup(spark, sf_dir):
     return (suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+@query
+def op1_decontaminate(spark, sf_dir):
+    hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                        F.concat_ws(",", "base_labels").alias("base_labels"),
+                        F.concat_ws(",", "labels").alias("labels"), "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import decontaminate, licenses, ngram_join, suffix_dedup
+from surveyspark.llm import decontaminate, licenses, mixing, ngram_join, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +48,36 @@ def op7_license_scan(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
                         F.concat_ws(",", "base_labels").alias("base_labels"),
                         F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+@query
+def op4_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op8_url_filter"] = r"""
+WITH parts AS (
+    SELECT page_id, coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'), '') AS raw_host,
+           coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's'), '') AS path
+    FROM pages),
+named AS (
+    SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+ruled AS (
+    SELECT page_id, host, path,
+        CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+             WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+    FROM named)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+         WHEN rule IS NOT NULL THEN 'allow'
+         WHEN regexp_matches(host, '(^|[.])(spam-farm|casino-win)[.]example[.](com|org|net)$') THEN 'block'
+         ELSE 'allow' END AS verdict
+FROM ruled
+"""

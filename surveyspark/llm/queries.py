@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import decontaminate, licenses, mixing, ngram_join, suffix_dedup, url_filter
+from surveyspark.llm import ann, decontaminate, licenses, lm_score, mixing, ngram_join, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,15 @@ SELECT page_id, host, path, rule,
          ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+@query
+def op5_hash_forest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query
+def op10_lm_score(spark, sf_dir):
+    target = table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_score.scores(table(spark, sf_dir, "documents"), target)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import ann, decontaminate, licenses, lm_score, mixing, ngram_join, suffix_dedup, url_filter
+from surveyspark.llm import (
+    ann, decontaminate, licenses, lm_score, mixing, ngram_join, pii, quality, suffix_dedup, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +94,26 @@ def op5_hash_forest(spark, sf_dir):
 def op10_lm_score(spark, sf_dir):
     target = table(spark, sf_dir, "labels").filter("quality = 1")
     return lm_score.scores(table(spark, sf_dir, "documents"), target)
+
+
+@query
+def op2_quality_knn(spark, sf_dir):
+    scored = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op3_pii(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+
+    def said(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))

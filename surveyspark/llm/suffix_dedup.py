@@ -157,8 +157,8 @@ def unsqueezed(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.Record
     """Batches of a few MB with the column at ``at`` expanded again."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
+        for lo in range(0, batch.num_rows, 100):
+            part = batch.slice(lo, 100)
             data = pa.array([opener.decompress(x.as_buffer()) for x in part.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [data if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
@@ -221,7 +221,7 @@ def contexts(rows: DataFrame, length: int, seed: int) -> DataFrame:
     shape = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in WIDE + DONE])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide, done = tx.Blobs(buckets, WIDE, 150_000), tx.Blobs(buckets, DONE, 500_000)
+        wide, done = tx.Blobs(buckets, WIDE, 100_000), tx.Blobs(buckets, DONE, 300_000)
 
         def out(blobs):
             batch = blobs.take()

@@ -168,8 +168,8 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int = 10_000) -> Iterator[
 
 
 def n_buckets(df: DataFrame) -> int:
-    """One bucket for each shuffle partition, so buckets are added as the cluster's setting grows."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Some buckets for each shuffle partition, so buckets are added as the cluster's setting grows."""
+    return max(1, 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -179,7 +179,7 @@ def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
 class Blobs:
     """Collects arrays of entries and gives one row of packed bytes for each bucket."""
 
-    def __init__(self, buckets: int, names: list[str], limit: int = 2_000_000):
+    def __init__(self, buckets: int, names: list[str], limit: int = 600_000):
         self.buckets, self.names, self.limit = buckets, names, limit
         self.parts: list[list[np.ndarray]] = []
         self.held = 0

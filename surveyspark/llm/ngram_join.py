@@ -9,10 +9,14 @@ The product of the document by n-gram incidence with its transpose, in two block
 2. For the pairs left, overlap counts are added up over ranges of n-grams, and a pair is dropped as
    soon as its count plus what is left of the smaller set is below the bound of its two sizes.
 
+An n-gram that no other node in the product has cannot be in any overlap, so a pair's overlap is at most
+the smaller count of n-grams that others have too; pairs below the bound even then are never made, which
+leaves out the many near copies of one text that differ too much from each other.
+
 Documents that share a passage do not meet in a block, since a block holds other n-grams too; near
-copies do, and within a block they are tried against one leader first.  Pairs that the links found
-so far already connect need no test; all other pairs of a block are tested in the end, so no link
-between components is lost.
+copies do, and within a block they are tried against one leader first, the node with the smallest share
+of n-grams of its own.  Pairs that the links found so far already connect need no test; all other pairs of a
+block within the bound are tested in the end, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -220,6 +224,40 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return overlap >= need
 
 
+def common_counts(sets: DataFrame) -> DataFrame:
+    """(node, common): how many of a node's n-grams another node has, too."""
+    buckets = tx.n_buckets(sets)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = tx.Blobs(buckets, ["code", "node"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                codes = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in codes])
+                code = np.concatenate(codes)
+                blobs.add(tx.bucket_of(code, buckets), code, node)
+                if blobs.full():
+                    yield blobs.take()
+        if (rest := blobs.take()) is not None:
+            yield rest
+
+    def meet(table: pa.Table) -> pa.Table:
+        code, node = tx.unpack(table, "code", np.uint64), tx.unpack(table, "node", np.int64)
+        order = np.argsort(code)
+        code, node = code[order], node[order]
+        same = code[1:] == code[:-1]
+        twin = np.zeros(len(code), bool)
+        twin[1:] |= same
+        twin[:-1] |= same
+        nodes, count = np.unique(node[twin], return_counts=True)
+        return pa.table({"node": nodes, "common": count.astype(np.int64)})
+
+    return (sets.select("node", "set").mapInArrow(emit, tx.Blobs(buckets, ["code", "node"]).schema())
+            .groupBy("bucket").applyInArrow(meet, "node bigint, common bigint")
+            .groupBy("node").agg(F.sum("common").alias("common")))
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, set) of the wanted nodes; ``wanted`` names one row of each by doc_id and text hash."""
 
@@ -257,37 +295,37 @@ def linked_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
         raise RuntimeError("Two different n-gram sets have one 64-bit hash; change the salts of set_hashes.")
     sets = materialise(node_sets(docs, wanted.select("row_id", "row_hash"), size))
 
-    links = tried = None
-    state = blocks.withColumn("component", F.col("node"))
-    for attempt in ("least", "greatest", "all"):
-        if attempt == "all":
-            a, b = state.alias("a"), state.alias("b")
-            pairs = (a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.component") < F.col("b.component")))
-                     .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"),
-                             F.least("a.n", "b.n").alias("low"), F.greatest("a.n", "b.n").alias("high")))
-        else:
-            pick = F.min if attempt == "least" else F.max
-            leader = state.groupBy("block").agg(pick(F.struct("node", "n", "component")).alias("leader"))
-            pairs = (state.join(leader, "block").filter(F.col("component") != F.col("leader.component"))
-                     .select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"),
-                             F.least("n", "leader.n").alias("low"), F.greatest("n", "leader.n").alias("high")))
-        pairs = pairs.filter(100 * F.col("low") >= percent * F.col("high")).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(overlap_links(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
-        state = (blocks.join(components, "node", "left")
-                 .select("block", "node", "n", F.coalesce("component", "node").alias("component")))
-        # Only blocks whose nodes are not connected yet need another look.
-        open_blocks = state.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        state = state.join(open_blocks.select("block"), "block", "left_semi")
-        if attempt != "all":
-            state = materialise(state)
-            if not state.limit(1).count():
-                break
+    # Nodes too many of whose n-grams are their own can link with nothing.
+    state = materialise(blocks.join(common_counts(sets), "node").filter(100 * F.col("common") >= percent * F.col("n"))
+                        .withColumn("component", F.col("node")))
+    alive = state
+
+    def within(x: str, y: str):
+        """Whether the overlap may still reach the bound of the two sizes."""
+        most = F.least(f"{x}.common", f"{y}.common")
+        return 100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
+
+    def pair(x: str, y: str) -> list:
+        return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+
+    leader = (alive.groupBy("block").agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("own"), "node", "n", "common"))
+                                         .alias("y")).select("block", "y.*"))
+    x, y = alive.alias("x"), leader.alias("y")
+    first = materialise(x.join(y, F.col("x.block") == F.col("y.block"))
+                        .filter((F.col("x.node") != F.col("y.node")) & within("x", "y")).select(*pair("x", "y")).distinct())
+    links = materialise(overlap_links(first, sets, percent))
+    components = connected_components(links)
+    state = (alive.drop("component").join(components, "node", "left")
+             .withColumn("component", F.coalesce("component", "node")))
+    # Only blocks whose nodes are not connected yet need another look.
+    open_blocks = state.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    state = materialise(state.join(open_blocks.select("block"), "block", "left_semi"))
+    x, y = state.alias("x"), state.alias("y")
+    others = materialise(x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component") < F.col("y.component")) & within("x", "y"))
+                         .select(*pair("x", "y")).distinct().join(first, ["a", "b"], "left_anti"))
+    more = materialise(overlap_links(others, sets, percent))
+    if more.limit(1).count():
+        components = connected_components(links.unionByName(more))
     return rows, components
 
 

@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-CENTRE_ROWS = 5000
-
-
 @dataclass(frozen=True)
 class Design:
     """Variables of a moment matrix.  ``shift`` holds constants subtracted for conditioning."""
@@ -37,14 +34,14 @@ def estimation_sample(df: DataFrame, y: Sequence[str], x: Sequence[str], weight:
 def design(sample: DataFrame, y: Sequence[str], x: Sequence[str], centre: bool = True) -> Design:
     """Variables with constants to subtract, so that Age and Age squared keep their digits apart.
 
-    Any constant within the data's range serves and none changes a result, so the first rows are
-    enough: no further pass over the data.
+    The constants are the means over the whole sample, to nine digits: the order in which rows are added up
+    changes later digits only, so it does not change the constants.
     """
     names = [*y, *x]
     if not centre:
         return Design(tuple(y), tuple(x), dict.fromkeys(names, 0.0))
-    means = sample.select(*names).limit(CENTRE_ROWS).agg(*[F.avg(F.col(n).cast("double")).alias(n) for n in names]).first()
-    return Design(tuple(y), tuple(x), {n: float(means[n] or 0.0) for n in names})
+    means = sample.agg(*[F.avg(F.col(n).cast("double")).alias(n) for n in names]).first()
+    return Design(tuple(y), tuple(x), {n: float(f"{means[n] or 0.0:.9g}") for n in names})
 
 
 def gram(sample: DataFrame, plan: Design, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -131,8 +131,9 @@ def kernel_densities(df: DataFrame, value: str, points: Mapping[float, float], w
     rows = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
     y, w = F.col(value).cast("double"), F.col(weight).cast("double")
     if bandwidth is None:
-        n, total, s1, s2 = rows.agg(F.count(F.lit(1)), F.sum(w), F.sum(w * y), F.sum(w * y * y)).first()
-        spread = max(s2 / total - (s1 / total) ** 2, 0.0) ** 0.5
+        n, total, s1 = rows.agg(F.count(F.lit(1)), F.sum(w), F.sum(w * y)).first()
+        # Squares around the mean: a large mean costs no digits.
+        spread = (rows.agg(F.sum(w * F.pow(y - F.lit(s1 / total), 2))).first()[0] / total) ** 0.5
         bandwidth = 1.06 * spread * n ** -0.2
     sums = [F.sum(w * F.exp(-0.5 * F.pow((y - F.lit(q)) / F.lit(bandwidth), 2))) for q in points.values()]
     row = rows.agg(F.sum(w), *sums).first()

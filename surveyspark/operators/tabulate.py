@@ -265,30 +265,36 @@ def oneway(df: DataFrame, column: str, weight: str | None = "Weight", by: Sequen
 # --- summaries -----------------------------------------------------------------------------------
 
 def weighted_summary(df: DataFrame, value: str, weight: str | None = "Weight", by: Sequence[str] = (),
-                     where: Column | None = None, weight_kind: str = "iweight", shift: float = 0.0) -> DataFrame:
+                     where: Column | None = None, weight_kind: str = "iweight") -> DataFrame:
     """Rows, sum of weights, mean, standard deviation, standard error, minimum and maximum.
 
     ``iweight`` takes the sum of weights as the number of observations; ``aweight`` rescales weights
-    to the number of rows.  Neither is a survey-design standard error.  For a variable whose mean is
-    far larger than its spread, a ``shift`` near the mean keeps all digits of the one-pass variance.
+    to the number of rows.  Neither is a survey-design standard error.  Squares are taken around each
+    group's mean, in a second aggregate, so a mean far larger than the spread costs no digits.
+    Groups are compared null-safely; without rows there is no summary.
     """
     if weight_kind not in {"iweight", "aweight"}:
         raise ValueError(f"unknown weight kind: {weight_kind}")
     rows = df if where is None else df.filter(where)
-    rows = rows.filter(F.col(value).isNotNull())
-    x = F.col(value).cast("double")
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    d = x - F.lit(shift)
-    sums = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(w).alias("sum_w"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2"),
-        F.min(x).alias("min"), F.max(x).alias("max"))
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = rows.filter(F.col(value).isNotNull()).select(
+        F.struct(F.lit(0).alias("all"), *[F.col(b).alias(f"k{i}") for i, b in enumerate(by)]).alias("group"),
+        F.col(value).cast("double").alias("x"), w.alias("w"))
+    sums = rows.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("centre"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    d = F.col("x") - F.col("centre")
+    squares = rows.join(sums.select("group", "centre"), "group").groupBy("group").agg(
+        F.sum(F.col("w") * d).alias("s1"), F.sum(F.col("w") * d * d).alias("s2"))
     observations = F.col("sum_w") if weight_kind == "iweight" else F.col("n").cast("double")
-    spread_ = F.col("s2") / F.col("sum_w") - F.pow(F.col("s1") / F.col("sum_w"), 2)
+    offset = F.try_divide("s1", "sum_w")
+    spread_ = F.try_divide("s2", "sum_w") - offset * offset
     return (
-        sums.withColumn("mean", F.lit(shift) + F.try_divide("s1", "sum_w"))
+        sums.join(squares, "group").withColumn("mean", F.col("centre") + offset)
         .withColumn("sd", F.sqrt(F.greatest(spread_, F.lit(0.0)) * F.try_divide(observations, observations - 1)))
         .withColumn("std_error", F.try_divide(F.col("sd"), F.sqrt(observations)))
-        .select(*by, "n", "sum_w", "mean", "sd", "std_error", "min", "max"))
+        .select(*[F.col("group")[f"k{i}"].alias(b) for i, b in enumerate(by)],
+                "n", "sum_w", "mean", "sd", "std_error", "min", "max"))
 
 
 def mean_interval(summary: DataFrame, z: float = 1.959963984540054) -> DataFrame:

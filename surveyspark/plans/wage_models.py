@@ -168,7 +168,7 @@ def _regressions(c: Comparison, ys, weighted, first, second) -> list[list]:
     x = [*(["indicator"] if c.indicator else []), *CORE, *(["dummy_male"] if c.male else [])]
     out = []
     for y in ys:
-        fit = rg.solve(moments, y, x)
+        fit = rg.solve(moments, y, x, "iweight")
         errors = np.sqrt(np.maximum(np.diag(fit.cov), 0))
         for term, value, error, gone in zip(fit.terms, fit.beta, errors, fit.omitted):
             out.append([c.name, "weighted" if weighted else "unweighted", y, term, value, error,
@@ -181,9 +181,9 @@ def _decompositions(c: Comparison, ys, weighted, first, second) -> list[list]:
         return []
     out = []
     for y in ys:
-        out += [[c.name, "threefold", y, *r] for r in dc.threefold(first, second, y, list(CORE), "aweight", True)]
+        out += [[c.name, "threefold", y, *r] for r in dc.threefold(first, second, y, list(CORE), "iweight", True)]
         if c.twofold and ys == WAGE:
-            out += [[c.name, "twofold", y, *r] for r in dc.twofold(first, second, y, list(CORE), "aweight", False)]
+            out += [[c.name, "twofold", y, *r] for r in dc.twofold(first, second, y, list(CORE), "iweight", False)]
     return out
 
 

@@ -4,8 +4,9 @@ The product of the document by n-gram incidence with its transpose, in two block
 
 1. Documents with equal n-gram sets become one row (a *node*).  Columns are first taken a block of
    n-grams at a time.  Two sets that link differ in at most H n-grams, where H follows from the sizes;
-   if the n-grams are dealt to more than H blocks by hash, one block at least holds the same n-grams in
-   both.  So pairs without an equal block have too small an overlap and are never made.
+   if the n-grams are dealt to 2H + 2 blocks by hash, at most H of a set's blocks differ from the other
+   set's.  With blocks ordered by rarity, it is enough to look at the H + 1 rarest of each set.  So pairs
+   without an equal one among these have too small an overlap and are never made.
 2. For the pairs left, overlap counts are added up over ranges of n-grams, and a pair is dropped as
    soon as its count plus what is left of the smaller set is below the bound of its two sizes.
 
@@ -15,8 +16,10 @@ leaves out the many near copies of one text that differ too much from each other
 
 Documents that share a passage do not meet in a block, since a block holds other n-grams too; near
 copies do, and within a block they are tried against one leader first, the node with the smallest share
-of n-grams of its own.  Pairs that the links found so far already connect need no test; all other pairs of a
-block within the bound are tested in the end, so no link between components is lost.
+of n-grams of its own.  Pairs that the links found so far already connect need no test.  The others are
+compared by their differences from one head of all nodes connected by blocks: two that link have enough
+differences in common that the rarest ones of each meet (``family_differences``), so no link between
+components is lost, and the many near copies of one text are not paired by what they all share.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.llm import text as tx
@@ -62,8 +65,8 @@ class Levels:
 
 
 def blocks_of(differing: int) -> int:
-    """Blocks of n-grams: more than can differ, and some to spare for blocks that stay empty."""
-    return differing + 1 + differing // 8
+    """Blocks of n-grams: twice as many as can differ, so that half of them need not be looked at."""
+    return 2 * (differing + 1)
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +113,12 @@ def document_sets(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
 
 
 def block_entries(code: np.ndarray, first: np.ndarray, node: np.ndarray, percent: int
-                  ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(block content hash, node, set size) of every block of every document."""
+                  ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block content hash, node, set size, spare) of every block of every document.
+
+    A linked set shares all but ``differing`` of the filled blocks, so a document may leave out all but its
+    ``differing + 1`` rarest ones: ``spare`` of them, doubled, plus one bit for the size class.
+    """
     levels = Levels(percent)
     n = np.diff(first)
     level = levels.of(np.maximum(n, 1))
@@ -138,27 +145,29 @@ def block_entries(code: np.ndarray, first: np.ndarray, node: np.ndarray, percent
         filled = edge[1:] > edge[:-1]
         owner = np.repeat(np.arange(len(n)), blocks)
         number = np.arange(base[-1]) - base[owner]
-        enough = np.bincount(owner[filled], minlength=len(n)) > differing
+        held = np.bincount(owner[filled], minlength=len(n))
+        enough = held > differing
+        spare = np.where(enough, held - differing - 1, 0) * 2 + (at & 1)
         keep = filled | ~enough[owner]
         owner, number, content = owner[keep], number[keep], content[keep]
         salt = tx.mix((at[owner] * 1_000_003 + number).astype(np.uint64))
-        yield tx.mix(content ^ salt), node[owner], n[owner]
+        yield tx.mix(content ^ salt), node[owner], n[owner], spare[owner]
 
 
 def shared_blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(block, node, n): the blocks that several nodes have."""
+    """(block, node, n, spare, nodes): the blocks that several nodes have, and how many have them."""
     buckets = tx.n_buckets(docs)
-    packed = tx.Blobs(buckets, ["block", "node", "n"])
-    schema = packed.schema()
+    names = ["block", "node", "n", "spare"]
+    schema = tx.Blobs(buckets, names).schema()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = tx.Blobs(buckets, ["block", "node", "n"])
+        blobs = tx.Blobs(buckets, names)
         for _, data, offsets in tx.chunks(batches, "_bytes"):
             code, doc = sets_of(data, offsets, size)
             first = np.searchsorted(doc, np.arange(len(offsets)))
             node, _ = set_hashes(code, first)
-            for block, owner, n in block_entries(code, first, node, percent):
-                blobs.add(tx.bucket_of(block, buckets), block, owner, n.astype(np.int32))
+            for block, owner, n, spare in block_entries(code, first, node, percent):
+                blobs.add(tx.bucket_of(block, buckets), block, owner, n.astype(np.int32), spare.astype(np.int32))
             if blobs.full():
                 yield blobs.take()
         if (rest := blobs.take()) is not None:
@@ -166,7 +175,7 @@ def shared_blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         block, node = tx.unpack(table, "block", np.uint64), tx.unpack(table, "node", np.uint64)
-        n = tx.unpack(table, "n", np.int32)
+        n, spare = tx.unpack(table, "n", np.int32), tx.unpack(table, "spare", np.int32)
         order = np.argsort(block)
         block = block[order]
         same = block[1:] == block[:-1]
@@ -174,19 +183,33 @@ def shared_blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
         twin[1:] |= same
         twin[:-1] |= same
         block, order = block[twin], order[twin]
-        node, n = node[order], n[order]
+        node, n, spare = node[order], n[order], spare[order]
         order = np.lexsort((node, block))
-        block, node, n = block[order], node[order], n[order]
+        block, node, n, spare = block[order], node[order], n[order], spare[order]
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (node[1:] != node[:-1])
-        block, node, n = block[new], node[new], n[new]
+        block, node, n, spare = block[new], node[new], n[new], spare[new]
         _, inverse, count = np.unique(block, return_inverse=True, return_counts=True)
         several = count[inverse] > 1 if len(block) else np.zeros(0, bool)
         return pa.table({"block": block[several].view(np.int64), "node": node[several].view(np.int64),
-                         "n": n[several]})
+                         "n": n[several], "spare": spare[several],
+                         "nodes": count[inverse][several].astype(np.int64) if len(block) else np.zeros(0, np.int64)})
 
     return (docs.select(tx.utf8().alias("_bytes")).mapInArrow(emit, schema)
-            .groupBy("bucket").applyInArrow(meet, "block bigint, node bigint, n int"))
+            .groupBy("bucket").applyInArrow(meet, "block bigint, node bigint, n int, spare int, nodes bigint"))
+
+
+def needed_blocks(shared: DataFrame) -> DataFrame:
+    """(block, node, n): each node's rarest blocks, enough for every link; what only one node is left with goes.
+
+    Blocks have one order, by how many nodes have them.  Two linked nodes share more blocks than either leaves
+    out, so the rarest block that they share is kept by both.
+    """
+    frequent = Window.partitionBy("node", F.col("spare") % 2).orderBy(F.desc("nodes"), F.desc("block"))
+    kept = materialise(shared.withColumn("place", F.row_number().over(frequent))
+                       .filter("place > floor(spare / 2)").select("block", "node", "n"))
+    several = kept.groupBy("block").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y")
+    return kept.join(several.select("block"), "block", "left_semi")
 
 
 def overlap_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,6 +302,58 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             .mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]))
 
 
+def family_differences(state: DataFrame, leader: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """One row of each node: its family, the family's head, the n-grams in which the two differ, and ``need``.
+
+    A family holds all nodes connected by blocks; its head leads most of them.  ``near`` nodes link with the head.
+    With s = |x| + |y|, two sets link if (100 + percent) * |x ^ y| <= (100 - percent) * s, and |x ^ y| is
+    |dx| + |dy| - 2 |dx & dy| for the differences dx and dy from the head.  Near nodes are all connected, so of two
+    nodes not connected one at least, y, is not near.  Then
+
+    * if x is near, |dx & dy| > (|dx| + (100 - percent) / (100 + percent) * (|head| - |x|)) / 2, whatever y is;
+    * |dx & dy| >= |dy| - |x ^ y| >= |dy| - (100 - percent) / percent * |y|, whatever x is, and at least 1.
+
+    So it is enough that the ``need`` rarest differences of two nodes have one in common.
+    """
+    led = state.select("block", "node").join(leader.select("block", F.col("node").alias("first")), "block")
+    edges = led.filter("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    families = connected_components(materialise(edges.distinct())).select("node", F.col("component").alias("family"))
+    heads = (led.groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
+             .join(families.withColumnRenamed("node", "first"), "first").groupBy("family")
+             .agg(F.max(F.struct("rows", "first")).alias("top")).select("family", F.col("top.first").alias("head")))
+    heads = heads.join(sets.select(F.col("node").alias("head"), F.col("set").alias("head_set")), "head")
+    nodes = state.select("node", "n", "common").distinct().join(families, "node").join(sets, "node").join(heads, "family")
+    left, total = 100 - percent, 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, need, found = [], [], []
+            for one, other in zip(batch.column(5), batch.column(6)):
+                x, head = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
+                differ = np.setxor1d(x, head, assume_unique=True)
+                d, n = len(differ), len(x)
+                near.append(total * d <= left * (n + len(head)))
+                shared = (total * d + left * (len(head) - n)) // (2 * total) + 1 if near[-1] else d - left * n // percent
+                need.append(d - max(shared, 1) + 1)
+                found.append(differ.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(5)]
+                + [pa.array(near, pa.bool_()), pa.array(need, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                names=["family", "head", "node", "n", "common", "near", "need", "differ"])
+
+    return nodes.select("family", "head", "node", "n", "common", "set", "head_set").mapInArrow(
+        run, "family bigint, head bigint, node bigint, n int, common bigint, near boolean, need int, differ array<bigint>")
+
+
+def rarest_differences(apart: DataFrame) -> DataFrame:
+    """(family, code, node, n, common, component): the ``need`` rarest differences of each node, by how many of the family have them."""
+    codes = apart.select("family", "node", "n", "common", "component", "need", F.explode("differ").alias("code"))
+    known = codes.groupBy("family", "code").agg(F.count(F.lit(1)).alias("nodes"))
+    rare = Window.partitionBy("node").orderBy("nodes", "code")
+    return (codes.join(known, ["family", "code"]).withColumn("place", F.row_number().over(rare))
+            .filter("place <= need and nodes > 1").select("family", "code", "node", "n", "common", "component"))
+
+
 def linked_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows, components): doc_id, n_shingles and node of each row, and the component of linked nodes."""
     docs = docs.select("doc_id", "text")
@@ -287,7 +362,7 @@ def linked_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     nodes = rows.filter("node is not null").groupBy("node").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row_id"), "row_hash")).alias("row"),
         F.min("check").alias("low"), F.max("check").alias("high"))
-    blocks = materialise(shared_blocks(docs, size, percent))
+    blocks = materialise(needed_blocks(shared_blocks(docs, size, percent)))
     in_blocks = blocks.select("node").distinct()
     wanted = nodes.join(in_blocks, "node").select("node", "row.*", "low", "high")
     wanted = materialise(wanted)
@@ -320,8 +395,15 @@ def linked_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     # Only blocks whose nodes are not connected yet need another look.
     open_blocks = state.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     state = materialise(state.join(open_blocks.select("block"), "block", "left_semi"))
-    x, y = state.alias("x"), state.alias("y")
-    others = materialise(x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component") < F.col("y.component")) & within("x", "y"))
+    apart = materialise(family_differences(state, leader, sets, percent))
+    near = apart.filter("near and node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    links = materialise(links.unionByName(near).distinct())
+    components = connected_components(links)
+    left = materialise(rarest_differences(apart.join(components, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))))
+    x, y = left.alias("x"), left.alias("y")
+    others = materialise(x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.code") == F.col("y.code"))
+                                & (F.col("x.component") < F.col("y.component")) & within("x", "y"))
                          .select(*pair("x", "y")).distinct().join(first, ["a", "b"], "left_anti"))
     more = materialise(overlap_links(others, sets, percent))
     if more.limit(1).count():

@@ -66,6 +66,29 @@ def test_ngram_join(docs):
     assert ngram_join.component_ids(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_of_one_text_changed_in_many_ways(spark):
+    """Copies with one to five changes, many of them alike: some link with the base, some with each other only."""
+    rng = np.random.default_rng(8)
+    base = [f"tok{i}" for i in range(70)]
+    texts = []
+    for _ in range(220):
+        w = list(base)
+        for _ in range(rng.integers(1, 6)):
+            at = int(rng.integers(0, 8)) * 8
+            w[at:at + int(rng.integers(0, 3))] = ["new"] * int(rng.integers(0, 3))
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(x & sets[j]) >= 85 * len(x | sets[j]):
+                low_id, high_id = sorted((group[i], group[j]))
+                group = [low_id if g == high_id else g for g in group]
+    assert 3 < len(set(group)) < 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.component_ids(docs).collect()} == dict(enumerate(group))
+
+
 def test_suffix_dedup(docs):
     data = sorted((((1 << 63) if r[0] is None else r[0]), (r[1] or "").encode()) for r in rows())
     want = []

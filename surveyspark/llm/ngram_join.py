@@ -397,8 +397,8 @@ def linked_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     state = materialise(state.join(open_blocks.select("block"), "block", "left_semi"))
     apart = materialise(family_differences(state, leader, sets, percent))
     near = apart.filter("near and node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    links = materialise(links.unionByName(near).distinct())
-    components = connected_components(links)
+    stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    components = connected_components(stars.unionByName(near))
     left = materialise(rarest_differences(apart.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))))
     x, y = left.alias("x"), left.alias("y")
@@ -407,7 +407,8 @@ def linked_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
                          .select(*pair("x", "y")).distinct().join(first, ["a", "b"], "left_anti"))
     more = materialise(overlap_links(others, sets, percent))
     if more.limit(1).count():
-        components = connected_components(links.unionByName(more))
+        stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        components = connected_components(stars.unionByName(more))
     return rows, components
 
 

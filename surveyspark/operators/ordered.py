@@ -36,6 +36,8 @@ def weighted_percentiles(df: DataFrame, value: str, probabilities: Sequence[floa
     """
     if not probabilities or any(not 0 < p < 1 for p in probabilities):
         raise ValueError("probabilities must lie strictly between 0 and 1")
+    if ranges < 2:
+        raise ValueError("at least two ranges are needed")
     keys = [f"__k{i}" for i in range(len(by))]
     rows = df.select(*[F.struct(F.col(b)).alias(k) for b, k in zip(by, keys)],
                      F.col(value).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"))
@@ -55,21 +57,24 @@ def weighted_percentiles(df: DataFrame, value: str, probabilities: Sequence[floa
     placed = placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     placed = placed.withColumn("target", F.col("p") * F.col("total"))
     wanted = materialise(_hit(placed, keys))
-    inside = inside.join(wanted.drop("n", "lo", "hi"), [*keys, "__bucket"])
+    inside = inside.join(wanted.drop("n"), [*keys, "__bucket"])
 
-    # Further cuts while a wanted range is still large.
-    for _ in range(4):
+    # Further cuts while a wanted range is still large, each between its own ends.  These fall into
+    # different parts, so every cut takes rows away.
+    while True:
         largest = wanted.filter("lo < hi").agg(F.max("n").alias("n")).first()["n"] or 0
         if largest <= small_range:
             break
-        inside = _bucketed(inside.drop("__bucket"), ranges)
+        part = F.floor((F.col("__y") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges)
+        part = F.when(F.col("hi") > F.col("lo"), F.least(part, F.lit(ranges - 1))).otherwise(0)
+        inside = inside.withColumn("__bucket", part.cast("int")).drop("lo", "hi")
         sums = _range_sums(inside, [*keys, "p", "target", "before", "next"])
         group = Window.partitionBy(*keys, "p")
         placed = sums.withColumns({
             "upto": F.col("before") + F.sum("w").over(_upto(group)),
             "next": F.coalesce(F.lead("lo").over(group.orderBy("__bucket")), F.col("next"))})
         wanted = materialise(_hit(placed, keys))
-        inside = inside.drop("target", "before", "next").join(wanted.drop("n", "lo", "hi"), [*keys, "p", "__bucket"])
+        inside = inside.drop("target", "before", "next").join(wanted.drop("n"), [*keys, "p", "__bucket"])
 
     values = inside.groupBy(*keys, "p", "target", "before", "next", "__y").agg(F.sum("__w").alias("w"))
     group = Window.partitionBy(*keys, "p")

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from surveyspark.operators.gram import estimation_sample
 from surveyspark.runtime import materialise, small_table
 
-# In units of the residual spread.  At the final width the check loss is within about 1e-6 of its minimum.
-START_WIDTH, FINAL_WIDTH, SHRINK = 0.3, 1e-3, 0.1
-MAX_PASSES = 120
+# In units of the residual spread.  At the final width coefficients are right to about six figures.
+START_WIDTH, FINAL_WIDTH, SHRINK = 0.3, 1e-6, 0.1
+# A search still open after so many passes is an error, never a result.
+MAX_PASSES = 500
 
 
 @dataclass
@@ -45,7 +46,8 @@ def quantile_regression(df: DataFrame, y: str, x: Sequence[str], taus: Sequence[
     """``(tau, term, estimate, n, share_below, objective, passes, converged)``.
 
     ``share_below`` is the weighted share of rows under the fit and ``objective`` the check loss.  A
-    smaller ``final_width`` gives a closer minimum for more passes.
+    smaller ``final_width`` gives a closer minimum for more passes.  A search that does not end within
+    ``max_passes`` raises RuntimeError.
     """
     if not taus or any(not 0 < t < 1 for t in taus):
         raise ValueError("quantiles must lie strictly between 0 and 1")
@@ -62,6 +64,8 @@ def quantile_regression(df: DataFrame, y: str, x: Sequence[str], taus: Sequence[
         for state, sums in zip(active, _pass(ready, means, scales, active)):
             _advance(state, sums, total)
         passes += 1
+    if not all(s.done for s in states):
+        raise RuntimeError(f"no minimum found in {passes} passes for quantiles {[s.tau for s in states if not s.done]}")
     _measure(ready, means, scales, states)
 
     rows = []

@@ -1,13 +1,13 @@
 """Cross-entropy difference of two matched n-gram models over one vocabulary.
 
 The background model is counted over all documents, the target model over those marked as target.  Both
-are bigram models interpolated with their unigram models, and both use the same vocabulary: the commonest
-words of the corpus and one symbol for the rest.  A token's loss difference is background loss minus target loss,
+are bigram models interpolated with their unigram models, and both use the same vocabulary: every word of the
+corpus.  A token's loss difference is background loss minus target loss,
 and a document's score is the mean over its tokens: higher is closer to the target.
 
-Vocabulary and unigram counts, and the counts of pairs of the commonest words, are small by parameter and are
-sent to all tasks.  All other bigrams, which grow with the corpus, are dealt to buckets, where a bucket has every
-occurrence: it adds up the counts and gives each document its part of the sum.
+Pairs of neighbouring words are counted in the tasks that read the texts, added up and written; word counts are sums
+of them.  Both tables grow with the corpus.  The loss differences of the pairs that hold a fixed share of all tokens, a bounded
+number, are sent to all tasks; all other pairs of a document meet their values in buckets.
 """
 
 from __future__ import annotations
@@ -16,212 +16,179 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm import text as tx
 from surveyspark.runtime import materialise
 
-# Words of the shared vocabulary; the rest is one symbol.
-VOCABULARY = 50_000
-# Pairs of this many commonest words are counted in one table.
-COMMON = 256
+# Words and pairs that make up one in this many tokens are sent to all tasks: so many at most.
+COMMON = 1 << 17
 # Weight of the bigram model in both models.
 BIGRAM = 0.7
+# Stands before the first and after the last word of a document.
+BOUND = 0
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): word hashes counted over all documents."""
+class Pairs:
+    """Neighbouring words of concatenated documents, with the bound before the first and after the last word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        words = tx.Words(tx.lower(data), offsets, tx.ALNUM)
+        some = words.count > 0
+        begin, end = words.first[:-1][some], words.first[1:][some]
+        self.size = words.count
+        hashes, docs = words.hashes(), words.doc()
+        self.first = np.insert(hashes, begin, np.uint64(BOUND))
+        self.second = np.insert(hashes, end, np.uint64(BOUND))
+        self.doc = np.insert(docs, begin, np.flatnonzero(some))
+        self.code = tx.mix(tx.mix(self.first) + self.second)
 
-        def merged():
-            unique, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return unique, np.bincount(inverse, np.concatenate([x[1] for x in held]), minlength=len(unique)).astype(np.int64)
 
-        def batch_of(word, n):
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(pair, first, second, n, t): pairs counted over all documents and over those of the target."""
+    names = ["pair", "first", "second", "n", "t"]
 
-        for _, data, offsets in tx.chunks(batches, "_bytes", 1 << 20):
-            held.append(np.unique(tx.Words(tx.lower(data), offsets, tx.ALNUM).hashes(), return_counts=True))
-            if len(held) > 32:
-                held[:] = [merged()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def added(code, first, second, n, t):
+            unique, at, inverse = np.unique(code, return_index=True, return_inverse=True)
+            return [unique, first[at], second[at], np.bincount(inverse, n, minlength=len(unique)).astype(np.int64),
+                    np.bincount(inverse, t, minlength=len(unique)).astype(np.int64)]
+
+        def batch_of(arrays):
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in arrays], names=names)
+
+        for batch, data, offsets in tx.chunks(batches, "_bytes", 1 << 20):
+            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = Pairs(data, offsets)
+            held.append(added(x.code, x.first, x.second, np.ones(len(x.code), np.int64), flag[x.doc]))
+            if sum(len(h[0]) for h in held) > 2_000_000:
+                held[:] = [added(*map(np.concatenate, zip(*held)))]
                 if len(held[0][0]) > 1_000_000:
-                    yield batch_of(*held.pop())
+                    yield batch_of(held.pop())
         if held:
-            yield batch_of(*merged())
-
-    return (docs.select(tx.utf8().alias("_bytes")).mapInArrow(run, "word bigint, n bigint")
-            .groupBy("word").agg(F.sum("n").alias("n")))
-
-
-class Vocabulary:
-    """The commonest words by rank, with counts; the last entry stands for all other words."""
-
-    def __init__(self, words: np.ndarray):
-        self.order = np.argsort(words)
-        self.words = words[self.order]
-        self.size = len(words) + 1
-        self.count = np.zeros((2, self.size), np.int64)
-
-    @classmethod
-    def of(cls, parts: dict) -> Vocabulary:
-        """From the arrays of another one; only arrays are broadcast."""
-        out = cls.__new__(cls)
-        out.__dict__.update(parts)
-        return out
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.size - 1, np.uint16)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            known = self.words[at] == hashes
-            out[known] = self.order[at[known]]
-        return out
-
-    def unigram(self, kind: int) -> np.ndarray:
-        """Add-one probabilities, so that no word has none."""
-        count = self.count[kind]
-        return (count + 1) / (count.sum() + self.size)
-
-    def difference(self, first: np.ndarray, second: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Background loss minus target loss of bigrams with n occurrences, t of them in the target."""
-        loss = []
-        for kind, count in ((0, n), (1, t)):
-            context = self.count[kind][first]
-            weight = np.where(context > 0, BIGRAM, 0.0)
-            loss.append(-np.log(weight * count / np.maximum(context, 1) + (1 - weight) * self.unigram(kind)[second]))
-        return loss[0] - loss[1]
-
-
-def token_ids(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """doc_id, key and the ids of each row's words as packed 16-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary.of(vocabulary.value)
+            yield batch_of(added(*map(np.concatenate, zip(*held))))
 
-        def each():
-            for batch, data, offsets in tx.chunks(batches, "_bytes"):
-                words = tx.Words(tx.lower(data), offsets, tx.ALNUM)
-                ids = known.ids(words.hashes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1),
-                     pa.array([ids[i:j].tobytes() for i, j in zip(words.first[:-1], words.first[1:])], pa.binary())],
-                    names=["doc_id", "key", "ids"])
-        yield from tx.gathered(each(), 2_000)
+    return (rows.select("_bytes", "is_target").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+            .groupBy("pair", "first", "second").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
 
-    return (docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), tx.utf8().alias("_bytes"))
-            .mapInArrow(run, "doc_id bigint, key bigint, ids binary"))
 
+def with_counts(pairs: DataFrame, words: DataFrame, common: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the counts of the words in column ``side``: common words are sent to all tasks, others are joined."""
+    names = [F.col("word").alias(side), F.col("n").alias(f"{side}_n"), F.col("t").alias(f"{side}_t")]
+    rare = words.join(F.broadcast(common.select("word")), "word", "left_anti")
+    known = F.broadcast(common.select(*names))
+    return (pairs.join(known, side)
+            .unionByName(pairs.join(known, side, "left_anti").join(rare.select(*names), side)))
 
-class Bigrams:
-    """Neighbouring ids of a batch of documents."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        column = batch.column(batch.schema.get_field_index("ids"))
-        flat = b"".join(x.as_buffer().to_pybytes() for x in column)
-        self.ids = np.frombuffer(flat, np.uint16).astype(np.int64)
-        self.size = np.array([len(x.as_buffer()) // 2 for x in column], np.int64)
-        doc = np.repeat(np.arange(len(self.size)), self.size)
-        near = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
-        self.word_doc = doc
-        self.doc, self.first, self.second = doc[near], self.ids[near], self.ids[near + 1] if len(near) else self.ids[near]
-        self.begin = (np.cumsum(self.size) - self.size)[self.size > 0]
+def pair_values(pairs: DataFrame, words: DataFrame, common: int) -> tuple[DataFrame, int]:
+    """(pair, n, value): background loss minus target loss of the second word after the first; the tokens of all documents."""
+    size, n, t = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    spark = pairs.sparkSession
+    # Before a first word is nothing, which has no count: the unigram model alone counts.
+    top = materialise(words.filter(F.col("n") * common >= n).unionByName(
+        spark.range(1).select(F.lit(BOUND).cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("t"))))
 
+    def loss(kind: str, total: int) -> Column:
+        context = F.col(f"first_{kind}")
+        weight = F.when(context > 0, BIGRAM).otherwise(0.0)
+        # Add-one probabilities, with a place for words not seen, so that no word has none.
+        unigram = (F.col(f"second_{kind}") + 1) / F.lit(float(total + size + 1))
+        return -F.log(weight * F.col(kind) / F.greatest(context, F.lit(1)) + (1 - weight) * unigram)
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+    counted = with_counts(with_counts(pairs.filter(F.col("second") != BOUND), words, top, "first"), words, top, "second")
+    return counted.select("pair", "n", (loss("n", n) - loss("t", t)).alias("value")), n
 
 
-def scores(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABULARY, common: int = COMMON) -> DataFrame:
+def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> DataFrame:
     """doc_id, n_tokens and score of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``target_ids`` has the doc_ids of the target's documents.  A NULL or wordless text has no tokens and score 0.
     Rows that repeat a doc_id are rows of their own; all of them count in the models.  Without a target document
-    the target model is its smoothing alone.  An empty table gives no rows.
+    the target model is its smoothing alone.  An empty table gives no rows.  ``common`` changes no score.
     """
     context = docs.sparkSession.sparkContext
-    top = (word_counts(docs).orderBy(F.desc("n"), "word").limit(min(vocabulary_size, 65_535)).collect())
-    vocabulary = Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    few = min(common, vocabulary.size)
     flags = target_ids.select(F.col("doc_id").alias("_target"), F.lit(True).alias("_flag")).filter("_target is not null").distinct()
-    rows = materialise(token_ids(docs, context.broadcast(vars(vocabulary))).join(flags, F.col("doc_id") == F.col("_target"), "left")
-                       .select("doc_id", "key", F.coalesce("_flag", F.lit(False)).alias("is_target"), "ids"))
-    size = vocabulary.size
-
-    # Counts of words and of pairs of the commonest ones: their number depends on the parameters alone.
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, t = np.zeros(size + few * few, np.int64), np.zeros(size + few * few, np.int64)
-        for batch in slices(batches):
-            flag, x = batch.column(1).to_numpy(zero_copy_only=False), Bigrams(batch)
-            use = (x.first < few) & (x.second < few)
-            code = np.concatenate([x.ids, size + x.first[use] * few + x.second[use]])
-            n += np.bincount(code, minlength=len(n))
-            t += np.bincount(code[flag[np.concatenate([x.word_doc, x.doc[use]])]], minlength=len(t))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(t[some])], names=["code", "n", "t"])
-
-    pair_count = np.zeros((2, few * few), np.int64)
-    for r in (rows.select("ids", "is_target").mapInArrow(count, "code bigint, n bigint, t bigint").groupBy("code")
-              .agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()):
-        if r["code"] < size:
-            vocabulary.count[:, r["code"]] = r["n"], r["t"]
-        else:
-            pair_count[:, r["code"] - size] = r["n"], r["t"]
-    shared = context.broadcast((vars(vocabulary), pair_count))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), tx.utf8().alias("_bytes"))
+    # Rows without doc_id match nothing; their keys spread them.
+    rows = materialise(keyed.join(flags, (F.coalesce("doc_id", "key") == F.col("_target")) & F.col("doc_id").isNotNull(), "left")
+                       .select("doc_id", "key", F.coalesce("_flag", F.lit(False)).alias("is_target"), "_bytes"))
+    pairs = materialise(pair_counts(rows))
+    words = materialise(pairs.filter(F.col("first") != BOUND).groupBy(F.col("first").alias("word"))
+                        .agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    valued, tokens = pair_values(pairs, words, common)
+    valued = materialise(valued)
+    often = F.col("n") * common >= tokens
+    top = valued.filter(often).select("pair", "value").toArrow()
+    code = top.column("pair").to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    shared = context.broadcast((code[order], top.column("value").to_numpy()[order]))
+    buckets = tx.n_buckets(rows)
+    names = ["pair", "row", "times"]
+
+    def places(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(known):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return at, known[at] == wanted
+
+    def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Key, words, sum over common pairs of each document; document, code of the other pairs."""
+        known, value = shared.value
+        for batch, data, offsets in tx.chunks(batches, "_bytes", 1 << 20):
+            x = Pairs(data, offsets)
+            use = x.second != np.uint64(BOUND)
+            doc, code = x.doc[use], x.code[use]
+            at, found = places(known, code)
+            part = np.bincount(doc[found], value[at[found]] if len(value) else None, minlength=len(x.size))
+            yield batch.column(batch.schema.get_field_index("key")).to_numpy(), x.size, part, doc[~found], code[~found]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """First words, which have no context, and pairs of the commonest words."""
-        v, pairs = Vocabulary.of(shared.value[0]), shared.value[1]
-        for batch in slices(batches):
-            x = Bigrams(batch)
-            part = np.zeros(len(x.size))
-            word = x.ids[x.begin]
-            part[x.size > 0] += np.log(v.unigram(1)[word]) - np.log(v.unigram(0)[word])
-            use = (x.first < few) & (x.second < few)
-            code = x.first[use] * few + x.second[use]
-            part += np.bincount(x.doc[use], v.difference(x.first[use], x.second[use], *pairs[:, code]), minlength=len(part))
+        for key, size, part, _, _ in per_document(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(np.ones(len(part), np.int64)), pa.array(x.size), pa.array(part)],
+                [pa.array(key), pa.array(np.ones(len(key), np.int64)), pa.array(size.astype(np.int64)), pa.array(part.astype(np.float64))],
                 names=["key", "copies", "n_tokens", "part"])
 
-    buckets = tx.n_buckets(rows)
-    names = ["pair", "row", "times", "is_target"]
-
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = tx.Blobs(buckets, names)
-        for batch in slices(batches):
-            flag, key, x = batch.column(2).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), Bigrams(batch)
-            use = (x.first >= few) | (x.second >= few)
-            code = x.doc[use] << 32 | x.first[use] << 16 | x.second[use]
-            unique, times = np.unique(code, return_counts=True)
-            doc, pair = unique >> 32, (unique & 0xFFFFFFFF).astype(np.uint32)
-            blobs.add(tx.bucket_of(tx.mix(pair.astype(np.uint64)), buckets), pair, key[doc], times.astype(np.int32), flag[doc])
+        for key, _, _, doc, code in per_document(batches):
+            order = np.lexsort((code, doc))
+            doc, code = doc[order], code[order]
+            edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))[:len(doc)])
+            times = np.diff(np.append(edge, len(doc)))
+            doc, code = doc[edge], code[edge]
+            blobs.add(tx.bucket_of(code, buckets), code, key[doc], times.astype(np.int32))
             if blobs.full():
                 yield blobs.take()
         if (left := blobs.take()) is not None:
             yield left
 
-    def add_up(data: pa.Table) -> pa.Table:
-        v = Vocabulary.of(shared.value[0])
-        pair, row = tx.unpack(data, "pair", np.uint32), tx.unpack(data, "row", np.int64)
-        times, flag = tx.unpack(data, "times", np.int32), tx.unpack(data, "is_target", bool)
-        unique, inverse = np.unique(pair, return_inverse=True)
-        n = np.bincount(inverse, times, minlength=len(unique))
-        t = np.bincount(inverse, times * flag, minlength=len(unique))
-        value = v.difference((unique >> 16).astype(np.int64), (unique & 0xFFFF).astype(np.int64), n, t)[inverse] * times
-        keys, at = np.unique(row, return_inverse=True)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = tx.bucket_of(batch.column(0).to_numpy().view(np.uint64), buckets).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], names=["bucket", "code", "value"])
+
+    def add_up(entries: pa.Table, table: pa.Table) -> pa.Table:
+        pair, row = tx.unpack(entries, "pair", np.uint64), tx.unpack(entries, "row", np.int64)
+        times = tx.unpack(entries, "times", np.int32)
+        code, value = table.column("code").to_numpy().view(np.uint64), table.column("value").to_numpy()
+        order = np.argsort(code)
+        at, found = places(code[order], pair)
+        if not found.all():
+            raise RuntimeError("A document has a pair of words that was not counted: its rows changed between two reads.")
+        keys, place = np.unique(row, return_inverse=True)
         none = np.zeros(len(keys), np.int64)
-        return pa.table({"key": keys, "copies": none, "n_tokens": none, "part": np.bincount(at, value, minlength=len(keys))})
+        part = np.bincount(place, value[order][at] * times if len(at) else None, minlength=len(keys)).astype(np.float64)
+        return pa.table({"key": keys, "copies": none, "n_tokens": none, "part": part})
 
     spec = "key bigint, copies bigint, n_tokens bigint, part double"
-    source = rows.select("ids", "key", "is_target")
-    parts = (source.mapInArrow(rest, tx.Blobs(buckets, names).schema()).groupBy("bucket").applyInArrow(add_up, spec)
-             .unionByName(source.mapInArrow(own, spec)))
+    source = rows.select("key", "_bytes")
+    values = valued.filter(~often).select("pair", "value").mapInArrow(dealt, "bucket int, code bigint, value double")
+    parts = (source.mapInArrow(rest, tx.Blobs(buckets, names).schema()).groupBy("bucket").cogroup(values.groupBy("bucket"))
+             .applyInArrow(add_up, spec).unionByName(source.mapInArrow(own, spec)))
     # Rows that repeat both doc_id and text have one key: each gets its share.
     summed = parts.groupBy("key").agg(F.sum("copies").alias("copies"), F.sum("n_tokens").alias("tokens"), F.sum("part").alias("part"))
     return (rows.select("doc_id", "key").join(summed, "key")

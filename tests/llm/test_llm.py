@@ -214,6 +214,33 @@ def test_lm_score(spark):
     assert lm_score.scores(docs.limit(0), docs.select("doc_id")).count() == 0
 
 
+def test_lm_score_models_every_word(spark):
+    """More distinct words than a fixed vocabulary would hold; common entries sent to all tasks, or none, change no score."""
+    data = [(i, " ".join(f"r{i}x{j} r{i}x{j // 2}" for j in range(110))) for i in range(500)] + [(-1, "a b a b r1x5"), (-2, "a b"), (None, "a")]
+    target = set(range(0, 500, 3)) | {-1}
+    count = [{}, {}]
+    for i, text in data:
+        w = text.split()
+        for kind in range(1 + (i in target)):
+            for x in [*w, *zip(w, w[1:])]:
+                count[kind][x] = count[kind].get(x, 0) + 1
+    size = sum(isinstance(x, str) for x in count[0])
+    total = [sum(n for x, n in c.items() if isinstance(x, str)) for c in count]
+    assert size > 50_000
+
+    def loss(kind, a, b):
+        c = count[kind]
+        weight = lm_score.BIGRAM if c.get(a) else 0
+        return -math.log(weight * c.get((a, b), 0) / max(c.get(a, 0), 1) + (1 - weight) * (c.get(b, 0) + 1) / (total[kind] + size + 1))
+
+    want = {i: sum(loss(0, a, b) - loss(1, a, b) for a, b in zip([None, *w], w)) / len(w) for i, text in data for w in [text.split()]}
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    flags = spark.createDataFrame([(i,) for i in target], "doc_id bigint")
+    for common in (0, 20, lm_score.COMMON):
+        got = {r.doc_id: r.score for r in lm_score.scores(docs, flags, common=common).collect()}
+        assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

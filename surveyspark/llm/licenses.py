@@ -59,7 +59,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containm
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and text_hash of each row.
 
     ``docs`` has doc_id and text; other columns are ignored.  ``labels`` and ``base_labels`` are sorted
-    arrays, of each block the labels of its closest templates; ``score`` is the largest containment of a template in a block, 1 where a phrase stands, 0 where no
+    arrays, of each block the labels of all templates that reach the threshold, but those whose words there
+    all belong to a closer one; ``score`` is the largest containment of a template in a block, 1 where a phrase stands, 0 where no
     template reaches the threshold.  A NULL or wordless text has no labels.  Rows that repeat a doc_id have
     results of their own.  An empty table gives no rows.
     """
@@ -109,13 +110,15 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containm
               .agg(F.count_distinct("token").alias("seen"), F.max("place").alias("place"), F.first("set").alias("set"))
               .filter(F.col("seen") + F.least(F.col("size") - 1 - F.col("place"), F.col("width") - F.col("seen")) >= F.col("need"))
               .join(whole_sets, "template")
-              .withColumn("overlap", F.size(F.array_intersect("set", "members")))
-              .filter(F.col("overlap") >= F.col("need"))
-              .withColumn("share", F.col("overlap") / F.col("size"))
-              # Of templates that resemble each other the closest name a block.
+              .withColumn("matched", F.array_intersect("set", "members"))
+              .filter(F.size("matched") >= F.col("need"))
+              .withColumn("share", F.size("matched") / F.col("size"))
               .groupBy("row_id", "text_hash", "block")
-              .agg(F.max("share").alias("best"), F.collect_list(F.struct("share", "label")).alias("hits"))
-              .select("row_id", "text_hash", "best", F.explode(F.filter("hits", lambda h: h["share"] == F.col("best"))).alias("hit"))
+              .agg(F.max("share").alias("best"), F.collect_list(F.struct("share", "label", "matched")).alias("hits"))
+              # Of templates that match the same words of a block the closest name it: one is left out only if all its
+              # words there, and so all their places, belong to a closer one.
+              .select("row_id", "text_hash", "best", F.explode(F.filter("hits", lambda h: ~F.exists("hits", lambda g: (
+                  (g["share"] > h["share"]) & (F.size(F.array_except(h["matched"], g["matched"])) == 0))))).alias("hit"))
               .groupBy("row_id", "text_hash").agg(F.collect_set("hit.label").alias("found"), F.max("best").alias("best"))
               .withColumnsRenamed({"row_id": "_id", "text_hash": "_hash"}))
     starts = F.transform("places", lambda p: p["start"])

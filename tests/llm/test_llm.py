@@ -135,6 +135,17 @@ def test_licenses(spark):
     assert got[6].first_word == 500 and got[6].score == 1
 
 
+def test_licenses_side_by_side(spark):
+    """Every template that reaches the threshold names its block, unless a closer one has all its words there."""
+    bsd = "redistribution and use in source and binary forms with or without modification are permitted"
+    gpl = "this work is licensed under the gnu general public license version 3"
+    texts = [(1, f"{bsd} licensed under the apache license version 2"), (2, gpl), (3, gpl.replace("general", "lesser general")),
+             (4, f"{gpl} or {bsd[:-10]}"), (5, "licensed under cc by 4 0"), (6, bsd)]
+    got = {r.doc_id: (r["labels"], r.score) for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {1: (["apache-2.0", "bsd"], 1), 2: (["gpl", "gpl-3.0"], 1), 3: (["gpl", "gpl-3.0", "lgpl-3.0"], 1),
+                   4: (["bsd", "gpl", "gpl-3.0"], 1), 5: (["cc-by", "cc-by-4.0"], 1), 6: (["bsd"], 1)}
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     by = {}

@@ -252,6 +252,19 @@ def test_lm_score_models_every_word(spark):
         assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    """Planted copies whose 5-word similarity is between 0.80 and 0.85, and one below 0.80."""
+    import corpus_pipeline
+
+    base = [f"tok{i}" for i in range(200)]
+    changed = [f"new{i}" if i in (30, 80, 130, 180) else x for i, x in enumerate(base)]
+    other = [f"else{i}" for i in range(200)]
+    far = [f"new{i}" if i in (30, 70, 110, 150, 190) else x for i, x in enumerate(other)]
+    texts = [base, base + [f"more{i}" for i in range(40)], changed, other, far]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 3, 4]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -28,6 +28,8 @@ SAMPLE = 2_000
 # A query ascends until its prefixes hold this many rows for each row of the table, over all trees.
 SHARE = 1.2
 BLOCK_ROWS = 4_096
+# An addition for small tables: prefixes hold at least so many rows; recall is measured without it.
+FLOOR = 2 * BLOCK_ROWS
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -69,8 +71,12 @@ def _prefix(label: Column, depth: Column | int) -> Column:
 
 def nearest(query_id: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
             ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, distances) of each query's k nearest rows but itself; ties go to smaller ids."""
+    """(query, ids, distances) of each query's k nearest ids but itself; ties go to smaller ids.
+
+    An id with several rows counts once, at its nearest row.
+    """
     norm = (rows * rows).sum(axis=1)
+    repeats = len(np.unique(ids)) < len(ids)
     for lo in range(0, len(queries), 256):
         part = queries[lo:lo + 256]
         rough = norm[None, :] - 2 * part @ rows.T
@@ -80,22 +86,30 @@ def nearest(query_id: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
                 value = rough[i, other]
                 # Rounding of the quick form must not lose a row: keep all that could be among the nearest.
                 slack = 1e-9 * (1 + abs(float(q @ q)) + float(norm.max()))
-                other = other[value <= np.partition(value, k - 1)[k - 1] + slack]
+                most = k
+                near = value <= np.partition(value, most - 1)[most - 1] + slack
+                while repeats and len(np.unique(ids[other[near]])) < k and most < len(other):
+                    most = min(2 * most, len(other))
+                    near = value <= np.partition(value, most - 1)[most - 1] + slack
+                other = other[near]
             distance = np.sqrt(((rows[other] - q) ** 2).sum(axis=1))
-            order = np.lexsort((ids[other], distance))[:k]
+            order = np.lexsort((ids[other], distance))
+            if repeats:
+                order = order[np.sort(np.unique(ids[other][order], return_index=True)[1])]
+            order = order[:k]
             yield query_id[lo + i], ids[other][order], distance[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, share: float = SHARE, seed: int = 1
-           ) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, share: float = SHARE, seed: int = 1,
+           floor: int = FLOOR) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each query, nearest first.
 
     ``vectors`` has vec_id and embedding and is indexed whole; ``queries`` are rows of it.  Vectors that are NULL, zero,
     of another dimension than most, or hold NULL or non-finite parts take no part.  Ties go to the smaller vec_id.
-    Repeated vec_ids count once, with their nearest vector.  Small tables are searched whole.  Other columns are ignored.
+    Repeated vec_ids count once, with their nearest vector.  Small tables (``floor``) are searched whole.  Other columns are ignored.
     """
     schema = "query_id bigint, vec_id bigint, score double"
-    good = materialise(usable(vectors))
+    good = materialise(usable(vectors).dropDuplicates(["vec_id", "vector"]))
     n = good.count()
     if not n:
         return (good.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double"))
@@ -115,7 +129,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TRE
     asked = materialise(asked.select("vec_id", "place", "vector", label("vector").alias("labels")))
     steps = (asked.select("place", F.posexplode("labels").alias("tree", "label"))
              .select("place", "tree", "label", depths).withColumn("prefix", _prefix(F.col("label"), F.col("depth"))))
-    enough = min(max(share * n, 2.0 * BLOCK_ROWS), float(trees * n))
+    enough = min(max(share * n, float(floor)), float(trees * n))
     depth = (steps.join(by_depth, ["tree", "depth", "prefix"]).groupBy("place", "depth").agg(F.sum("rows").alias("rows"))
              .filter(F.col("rows") >= enough).groupBy("place").agg(F.max("depth").alias("depth")))
 

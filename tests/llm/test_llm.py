@@ -196,6 +196,34 @@ def test_forest(spark):
     assert ann.search(vectors.filter("vec_id > 800"), vectors).count() == 0
 
 
+def test_forest_counts_repeated_ids_once(spark):
+    """Every row twice, one near vector ten times, one id with many different near vectors: still k ids for each query."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(1, x[1].tolist())] * 8 + [(2, (x[0] + j / 1000).tolist()) for j in range(1, 30)]
+    vectors = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got = ann.search(vectors, vectors.filter("vec_id in (0, 7)")).collect()
+    for q in (0, 7):
+        best = {}
+        for i, v in data:
+            if i != q:
+                best[i] = min(best.get(i, math.inf), math.dist(v, x[q]))
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == sorted(
+            best, key=lambda i: (best[i], i))[:10]
+
+
+def test_forest_recall_by_share_alone(spark):
+    """Vectors without near structure, without the addition for small tables."""
+    x = np.random.default_rng(6).normal(size=(8000, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.search(vectors, vectors.filter("vec_id % 200 = 0"), floor=0).collect()}
+    want = set()
+    for q in range(0, 8000, 200):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        want |= {(q, int(i)) for i in np.lexsort((np.arange(8000), d)) if i != q and d[i] <= np.partition(d, 10)[10]}
+    assert len(want) == 400 and len(got & want) >= 0.9 * len(want)
+
+
 def test_personal_data(spark):
     texts = [(1, "mail a.b@x.org, c@d and 1.2.3.4 but 999.1.1.1"), (2, None), (3, ""), (4, "4111 1111 1111 1111 +1 (415) 555-0100"),
              (5, "é é@é z@y.z.w 4111 1111 1111 1112"), (6, "9" * 5000 + "@" * 50)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.llm import (
-    ann, decontaminate, licenses, lm_score, mixing, ngram_join, pii, quality, suffix_dedup, url_filter)
+    ann, decontaminate, licenses, lm_score, mixing, ngram_join, pii, quality, suffix_dedup, url_filter, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,8 @@ def op3_pii(spark, sf_dir):
     base = F.filter("spans", lambda s: s["base"])
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.llm import (
-    ann, decontaminate, licenses, lm_score, mixing, ngram_join, pii, prefix_trie, quality, suffix_dedup, url_filter,
-    whitening)
+    ann, decontaminate, licenses, lm_score, mixing, ngram_join, pii, prefix_trie, quality, simhash, suffix_dedup,
+    url_filter, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,3 +128,8 @@ def op12_whitening(spark, sf_dir):
 @query
 def op13_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(*prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op11_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

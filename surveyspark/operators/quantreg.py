@@ -1,8 +1,12 @@
-"""Weighted linear quantile regression over distributed rows.
-
-The check loss is smoothed by a logistic kernel of width h, ``tau r + h log(1 + exp(-r / h))``, and
-minimised by damped Newton steps while h shrinks (cf. Fernandes, Guerre and Horta 2021).  Every pass
-is one Spark job that returns k x k sums per quantile; all quantiles share it.
+"""Exact weighted linear quantile regression over distributed rows.
+
+The minimum of the check loss lies on a vertex: a plane through as many rows as there are coefficients.  Only rows near
+that plane decide which vertex it is.  So a pass over the rows keeps a band around the current plane, whose width
+follows each row's leverage, and turns every row outside it, whose sign is taken as fixed, into one sum of k numbers.  The rows of the
+band are gathered (equal ones as one; a share of them, with raised weights, while they are too many) and the small problem, the
+band plus the fixed sum, is solved exactly by exchanging rows of the basis.  The band then narrows about the
+new plane.  Once it was gathered whole and no row outside it has changed its sign, the vertex is the minimum over all rows
+(cf. Portnoy and Koenker 1997).  All quantiles share the passes.
 """
 
 from __future__ import annotations
@@ -12,42 +16,68 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.operators.gram import estimation_sample
+from surveyspark.operators.regression import _independent
 from surveyspark.runtime import materialise, small_table
 
-# In units of the residual spread.  At the final width coefficients are right to about six figures.
-START_WIDTH, FINAL_WIDTH, SHRINK = 0.3, 1e-6, 0.1
+# Points of a band that are aimed at, and how many more may turn out to be there, for each quantile.
+POINTS, SLACK = 8_192, 4
+# A band holds this many standard errors of the plane that a share of the rows gave.
+MARGIN = 6.0
 # A search still open after so many passes is an error, never a result.
-MAX_PASSES = 500
+MAX_PASSES = 40
+# Ties are broken by this much, in units of the spread of y; the basis found is solved again without it.
+NOISE = 1e-10
+# Residuals up to this size, in the same units, count as zero.
+ZERO = 1e-9
 
 
 @dataclass
-class _State:
-    """Search state of one quantile, in standardised units."""
+class _Search:
+    """Where one quantile stands, in standardised units: a plane, its band, and the band solved before."""
 
     tau: float
     beta: np.ndarray
-    width: float = START_WIDTH
-    damping: float = 0.0
-    loss: float = np.inf
-    gradient: np.ndarray | None = None
-    hessian: np.ndarray | None = None
-    trial: np.ndarray | None = None
+    half: float = np.inf
+    share: float = 1.0
+    solved: tuple[np.ndarray, float] | None = None
     done: bool = False
     stats: dict = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class _Frame:
+    """Kept columns, units, and the matrix that turns a standardised row into its leverage."""
+
+    kept: list[int]
+    means: np.ndarray
+    scales: np.ndarray
+    root: np.ndarray
+    n: int
+    total: float
+
+    def chance(self, leverage: np.ndarray, share: float) -> np.ndarray:
+        """Of being drawn: half of it by leverage, so that rows of rare kinds are always there; ``share`` on average at most."""
+        return np.minimum(1.0, share * (0.5 + 0.5 * leverage ** 2 / len(self.kept)))
+
+    def standardised(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """y, (1, x) and leverage of rows (y, x)."""
+        v = (values - self.means) / self.scales
+        z = np.concatenate([np.ones((len(v), 1)), v[:, 1:]], axis=1)[:, self.kept]
+        return v[:, 0], z, np.maximum(np.sqrt(((z @ self.root) ** 2).sum(axis=1)), 1e-6)
+
+
 def quantile_regression(df: DataFrame, y: str, x: Sequence[str], taus: Sequence[float], weight: str | None = None,
-                        where: Column | None = None, max_passes: int = MAX_PASSES,
-                        final_width: float = FINAL_WIDTH) -> DataFrame:
-    """``(tau, term, estimate, n, share_below, objective, passes, converged)``.
+                        where: Column | None = None, max_passes: int = MAX_PASSES, points: int = POINTS) -> DataFrame:
+    """``(tau, term, estimate, n, share_below, objective, passes, converged)``, exact up to rounding.
 
-    ``share_below`` is the weighted share of rows under the fit and ``objective`` the check loss.  A
-    smaller ``final_width`` gives a closer minimum for more passes.  A search that does not end within
-    ``max_passes`` raises RuntimeError.
+    ``share_below`` is the weighted share of rows under the fit and ``objective`` the check loss.  Terms that earlier
+    ones explain are zero.  If several vertices share the minimum, one of them is returned.  At most ``points`` times a small
+    factor rows reach the driver for each quantile and pass.  A search that does not end within ``max_passes`` raises RuntimeError.
     """
     if not taus or any(not 0 < t < 1 for t in taus):
         raise ValueError("quantiles must lie strictly between 0 and 1")
@@ -56,30 +86,36 @@ def quantile_regression(df: DataFrame, y: str, x: Sequence[str], taus: Sequence[
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     ready = sample.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)], w.alias("w"))
     ready = ready.filter("w > 0")
-    means, scales, n, total = _scales(ready, len(columns))
-    states = _least_squares_start(ready, means, scales, taus, total, final_width)
-    passes = 1
-    while passes < max_passes and not all(s.done for s in states):
-        active = [s for s in states if not s.done]
-        for state, sums in zip(active, _pass(ready, means, scales, active)):
-            _advance(state, sums, total)
+    frame, start = _frame(ready, len(columns))
+    searches = [_Search(tau, start.copy(), share=min(1.0, points / frame.n)) for tau in taus]
+    passes = 2
+    while passes < max_passes and not all(s.done for s in searches):
+        active = [s for s in searches if not s.done]
+        for search, sums, rows in zip(active, *_pass(ready, frame, active, points)):
+            _advance(search, frame, sums, rows, points)
         passes += 1
-    if not all(s.done for s in states):
-        raise RuntimeError(f"no minimum found in {passes} passes for quantiles {[s.tau for s in states if not s.done]}")
-    _measure(ready, means, scales, states)
-
-    rows = []
-    for s in states:
-        slopes = s.beta[1:] * scales[0] / scales[1:]
-        intercept = means[0] + scales[0] * s.beta[0] - float(slopes @ means[1:])
+    if not all(s.done for s in searches):
+        raise RuntimeError(f"no minimum found in {passes} passes for quantiles {[s.tau for s in searches if not s.done]}")
+
+    out = []
+    for s in searches:
+        beta = np.zeros(len(columns))
+        beta[frame.kept] = s.beta
+        slopes = beta[1:] * frame.scales[0] / frame.scales[1:]
+        intercept = frame.means[0] + frame.scales[0] * beta[0] - float(slopes @ frame.means[1:])
         for term, value in zip([*x, "_cons"], [*slopes, intercept]):
-            rows.append((float(s.tau), term, float(value), n, s.stats["share"], s.stats["objective"], passes, s.done))
+            out.append((float(s.tau), term, float(value), frame.n, s.stats["share"], s.stats["objective"], passes, s.done))
     return small_table(
-        df.sparkSession, rows, "tau double, term string, estimate double, n bigint, share_below double, objective double, "
-              "passes int, converged boolean")
+        df.sparkSession, out, "tau double, term string, estimate double, n bigint, share_below double, objective double, "
+             "passes int, converged boolean")
+
 
+def _values(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
 
-def _scales(ready: DataFrame, size: int):
+
+def _frame(ready: DataFrame, size: int) -> tuple[_Frame, np.ndarray]:
+    """Units of the columns, then the least-squares plane and the leverage matrix: two passes."""
     w = F.col("w")
     row = ready.agg(
         F.count(F.lit(1)), F.sum(w), *[F.sum(w * F.col(f"v{i}")) for i in range(size)],
@@ -88,126 +124,194 @@ def _scales(ready: DataFrame, size: int):
         raise ValueError("the estimation sample is empty")
     means = np.array(row[2:2 + size], dtype=float) / row[1]
     scales = np.array([s if s and s > 0 else 1.0 for s in row[2 + size:]], dtype=float)
-    return means, scales, int(row[0]), float(row[1])
-
-
-def _standardised(batch: pa.RecordBatch, means, scales):
-    values = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
-    v = (values[:, :-1] - means) / scales
-    z = np.concatenate([np.ones((len(v), 1)), v[:, 1:]], axis=1)
-    return v[:, 0], z, values[:, -1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((size + 1, size + 1))
+        for batch in batches:
+            values = _values(batch)
+            v = np.concatenate([np.ones((len(values), 1)), (values[:, :-1] - means) / scales], axis=1)
+            out += (v * values[:, -1:]).T @ v
+        at = np.indices(out.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0].ravel(), pa.int32()), pa.array(at[1].ravel(), pa.int32()), pa.array(out.ravel())],
+                                         names=["i", "j", "v"])
+
+    moments = np.zeros((size + 1, size + 1))
+    for r in ready.mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        moments[r["i"], r["j"]] = r["v"] / row[1]
+    place = [0, *range(2, size + 1)]
+    kept = _independent(moments[np.ix_(place, place)])
+    used = [place[i] for i in kept]
+    inverse = np.linalg.inv(moments[np.ix_(used, used)])
+    frame = _Frame(kept, means, scales, np.linalg.cholesky((inverse + inverse.T) / 2), int(row[0]), float(row[1]))
+    return frame, inverse @ moments[used, 1]
+
+
+def _pass(ready: DataFrame, frame: _Frame, active: list[_Search], points: int) -> tuple[list[np.ndarray], list[tuple | None]]:
+    """For each search the sums over all rows, and the points of its band (None if there are too many).
+
+    Sums: the fixed part, weight and rows in the band, rows outside the last solved band that changed their sign, weight below
+    the plane, check loss.
+    """
+    k = len(frame.kept)
+    tries = [(s.tau, s.beta, s.half, s.share, s.solved) for s in active]
 
-def _sum_over_rows(ready: DataFrame, means, scales, blocks: int, length: int, compute) -> np.ndarray:
-    """Add up ``compute(y, z, w) -> (blocks, length)`` over all rows: numpy per batch, Spark across them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((blocks, length))
+        sums = np.zeros((len(tries), k + 5))
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            if batch.num_rows:
-                out += compute(*_standardised(batch, means, scales))
-        where = np.indices(out.shape)
+            if not batch.num_rows:
+                continue
+            values = _values(batch)
+            w = values[:, -1]
+            y, z, leverage = frame.standardised(values[:, :-1])
+            draw = rng.random(len(w))
+            for b, (tau, beta, half, share, solved) in enumerate(tries):
+                r = y - z @ beta
+                inside = np.abs(r) <= half * leverage
+                below = r < -ZERO
+                push = w * np.where(r > 0, tau, tau - 1)
+                sums[b, :k] += z.T @ np.where(inside, 0.0, push)
+                sums[b, k:k + 2] += w[inside].sum(), inside.sum()
+                if solved is not None:
+                    old = y - z @ solved[0]
+                    sums[b, k + 2] += ((np.abs(old) > solved[1] * leverage) & (np.sign(old) * r < 0)).sum()
+                sums[b, k + 3:] += w[below].sum(), push @ r
+                chance = frame.chance(leverage, share) if share < 1 else np.ones(len(w))
+                rows = np.flatnonzero(inside & (draw < chance))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), b), pa.int32()), pa.array(np.full(len(rows), -1), pa.int32()), pa.array(w[rows] / chance[rows]),
+                     pa.FixedSizeListArray.from_arrays(values[rows, :-1].ravel(), values.shape[1] - 1).cast(pa.list_(pa.float64()))],
+                    names=["b", "i", "v", "point"])
+        at = np.indices(sums.shape)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(where[0].ravel(), pa.int32()), pa.array(where[1].ravel(), pa.int32()), pa.array(out.ravel())],
-            names=["b", "i", "v"])
-
-    sums = ready.mapInArrow(run, "b int, i int, v double").groupBy("b", "i").agg(F.sum("v").alias("v"))
-    out = np.zeros((blocks, length))
-    for r in sums.collect():  # blocks x length numbers, whatever the row count
-        out[r["b"], r["i"]] = r["v"]
-    return out
-
-
-def _least_squares_start(ready, means, scales, taus, total, final_width=FINAL_WIDTH) -> list[_State]:
-    """Least squares, with the intercept moved to the quantile of a logistic error."""
-    k = len(means)
-
-    def compute(y, z, w):
-        zw = z * w[:, None]
-        return np.concatenate([(zw.T @ z).ravel(), zw.T @ y, [float((w * y) @ y)]])[None, :]
-
-    flat = _sum_over_rows(ready, means, scales, 1, k * k + k + 1, compute)[0]
-    zz, zy, yy = flat[:k * k].reshape(k, k), flat[k * k:-1], flat[-1]
-    beta = np.linalg.pinv(zz) @ zy
-    spread = max((yy - beta @ zy) / total, 1e-12) ** 0.5
-    out = []
-    for tau in taus:
-        start = beta.copy()
-        start[0] += spread * np.log(tau / (1 - tau)) * 3 ** 0.5 / np.pi
-        out.append(_State(tau, start, width=START_WIDTH * spread, trial=start))
-        out[-1].stats["final"] = final_width * spread
-    return out
-
-
-def _pass(ready, means, scales, active: list[_State]) -> np.ndarray:
-    """Smoothed loss, gradient and Hessian of every active quantile at its trial point.
-
-    The loss is also taken at the next, narrower width, so that shrinking costs no pass of its own.
+            [pa.array(at[0].ravel(), pa.int32()), pa.array(at[1].ravel(), pa.int32()), pa.array(sums.ravel()),
+             pa.nulls(sums.size, pa.list_(pa.float64()))], names=["b", "i", "v", "point"])
+
+    found = materialise(ready.mapInArrow(run, "b int, i int, v double, point array<double>").groupBy("b", "i", "point").agg(
+        F.sum("v").alias("v"), F.count(F.lit(1)).alias("c")))
+    sizes = dict(found.filter("i = -1").groupBy("b").count().collect())
+    fine = [b for b in range(len(tries)) if sizes.get(b, 0) <= SLACK * points]
+    # Bounded by the check above: sums, and at most so many points for each quantile.
+    table = found.filter((F.col("i") >= 0) | F.col("b").isin(fine)).toArrow()
+    which, at, value, count = (table.column(c).to_numpy() for c in ("b", "i", "v", "c"))
+    sums = np.zeros((len(tries), k + 5))
+    sums[which[at >= 0], at[at >= 0]] = value[at >= 0]
+    rows: list[tuple | None] = []
+    for b in range(len(tries)):
+        if b not in fine:
+            rows.append(None)
+            continue
+        use = np.flatnonzero((at < 0) & (which == b))
+        flat = table.column("point").take(pa.array(use)).combine_chunks()
+        values = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(use), len(frame.means))
+        order = np.lexsort(values.T)
+        rows.append((values[order], value[use][order], count[use][order]))
+    return list(sums), rows
+
+
+def _advance(s: _Search, frame: _Frame, sums: np.ndarray, rows: tuple | None, points: int) -> None:
+    """End the search, or solve the band and choose the next one."""
+    k = len(frame.kept)
+    fixed, weight, inside, changed, below, loss = sums[:k], sums[k], sums[k + 1], sums[k + 2], sums[k + 3], sums[k + 4]
+    if s.solved is not None and changed == 0:
+        s.stats, s.done = {"share": below / frame.total, "objective": frame.scales[0] * loss}, True
+        return
+    if rows is None:
+        # More different points than expected: gather a share of them.
+        s.share, s.solved = s.share / (2 * SLACK), None
+        return
+    values, w, count = rows
+    y, z, leverage = frame.standardised(values)
+    whole = s.share >= 1
+    scaled = w if whole or not w.sum() else w * (weight / w.sum())
+    found = solve_vertex(y, z, scaled, s.tau, fixed, s.beta, frame.total) if len(y) >= k else None
+    if found is None:
+        # The band does not hold the plane: look further around the same one.
+        s.share, s.half, s.solved = s.share / 4 if np.isfinite(s.half) and not whole else min(1.0, 2 * s.share), 4 * s.half, None
+        return
+    if whole and inside >= frame.n:
+        r = y - z @ found
+        s.beta, s.done = found, True
+        s.stats = {"share": w[r < -ZERO].sum() / frame.total, "objective": frame.scales[0] * float(w @ (r * np.where(r > 0, s.tau, s.tau - 1)))}
+        return
+    if whole:
+        # If a sign has changed after all, the next pass solves a wider band about the new plane.
+        s.solved = (s.beta, s.half)
+        s.beta, s.half = found, 1.5 * s.half
+        return
+    # Different points of the band: those drawn once stand for others not drawn.
+    mass = np.where(count > 1, 1.0, 1.0 / frame.chance(leverage, s.share))
+    target = max(points / 2, min(0.5, MARGIN * (k / len(y)) ** 0.5) * mass.sum())
+    near = np.abs(y - z @ found) / leverage
+    order = np.argsort(near)
+    near, reach = near[order], np.cumsum(mass[order])
+    rank = int(np.searchsorted(reach, target))
+    few = min(63, len(near) - 1)
+    half = near[min(rank, len(near) - 1)] if rank >= few else near[few] * target / reach[few]
+    s.beta, s.half, s.solved = found, max(float(half), 10 * NOISE), None
+    s.share = 1.0 if target <= 0.75 * points else points / target
+
+
+def solve_vertex(y: np.ndarray, z: np.ndarray, w: np.ndarray, tau: float, fixed: np.ndarray, start: np.ndarray,
+                 total: float) -> np.ndarray | None:
+    """Minimum of the check loss minus ``fixed @ beta`` by basis exchange from the rows nearest to ``start``.
+
+    Each step leaves the row whose multiplier is farthest outside its bounds and walks to where the slope along that edge
+    turns.  None if the rows do not span the columns or the loss falls without end.
     """
-    k = len(means)
-    tries = [(s.tau, s.trial, s.width) for s in active]
-
-    def compute(y, z, w):
-        out = np.empty((len(tries), 1 + k + k * k))
-        for j, (tau, beta, h) in enumerate(tries):
-            u = (y - z @ beta) / h
-            tail = np.log1p(np.exp(-np.abs(u)))
-            below = 0.5 * (1 - np.tanh(u / 2))
-            out[j, 0] = w @ (h * (tau * u + np.maximum(-u, 0) + tail))
-            out[j, 1:1 + k] = -(z.T @ (w * (tau - below)))
-            out[j, 1 + k:] = ((z * (w * below * (1 - below) / h)[:, None]).T @ z).ravel()
-        return out
-
-    return _sum_over_rows(ready, means, scales, len(tries), 1 + k + k * k, compute)
-
-
-def _advance(s: _State, sums: np.ndarray, total: float) -> None:
-    """Accept or reject the trial point, then propose the next one."""
-    k = len(s.beta)
-    loss, gradient, hessian = sums[0] / total, sums[1:1 + k] / total, sums[1 + k:].reshape(k, k) / total
-    if s.gradient is None or loss <= s.loss + 1e-12 * abs(s.loss):
-        s.beta, s.loss, s.gradient, s.hessian = s.trial, loss, gradient, hessian
-        s.damping = s.damping / 10 if s.damping > 1e-10 else 0.0
-        step = _step(s)
-        decrement = float(-s.gradient @ step)
-        if decrement <= 1e-3 * s.width ** 2 + 1e-14 or np.abs(s.gradient).max() < 1e-7:
-            if s.width <= s.stats["final"] * 1.0001:
-                s.done = True
-                return
-            # Close enough for this width.  Re-evaluate after the step with a narrower kernel.
-            s.width = max(s.width * SHRINK, s.stats["final"])
-            s.loss, s.gradient, base = np.inf, None, s.beta
-            s.trial = base + step
-            return
-    else:
-        s.damping = max(s.damping * 10, 1e-3)
-        if s.damping > 1e9:
-            s.done = s.width <= s.stats["final"] * 1.0001
-            if not s.done:
-                s.width, s.loss, s.gradient, s.trial, s.damping = max(s.width * SHRINK, s.stats["final"]), np.inf, None, s.beta, 0.0
-            return
-    s.trial = s.beta + _step(s)
-
-
-def _step(s: _State) -> np.ndarray:
-    size = np.trace(s.hessian) / len(s.beta)
-    damped = s.hessian + (s.damping * size + 1e-10 * size + 1e-12) * np.eye(len(s.beta))
-    step = np.linalg.solve(damped, -s.gradient)
-    # A kernel that sees few rows gives a flat Hessian: never move further than a few widths' worth.
-    longest = max(20 * s.width, 0.02) * len(step) ** 0.5
-    length = np.linalg.norm(step)
-    return step if length <= longest else step * (longest / length)
-
-
-def _measure(ready, means, scales, states: list[_State]) -> None:
-    fits = [(s.tau, s.beta) for s in states]
-    unit = scales[0]
-
-    def compute(y, z, w):
-        out = np.empty((len(fits), 3))
-        for j, (tau, beta) in enumerate(fits):
-            r = y - z @ beta
-            out[j] = w.sum(), w[r < 0].sum(), unit * (w @ (r * (tau - (r < 0))))
-        return out
-
-    for s, (total, below, loss) in zip(states, _sum_over_rows(ready, means, scales, len(fits), 3, compute)):
-        s.stats |= {"share": float(below / total), "objective": float(loss)}
+    n, k = z.shape
+    noisy = y + NOISE * np.random.default_rng(n).uniform(-1, 1, n)
+    basis = _basis(z, np.argsort(np.abs(noisy - z @ start), kind="stable"))
+    if basis is None:
+        return None
+    tolerance = 1e-12 * total
+    for _ in range(200 * k + n):
+        inverse = np.linalg.inv(z[basis])
+        beta = inverse @ noisy[basis]
+        r = noisy - z @ beta
+        r[basis] = 0.0
+        push = w * np.where(r > 0, tau, tau - 1)
+        push[basis] = 0.0
+        multiplier = -inverse.T @ (z.T @ push + fixed)
+        over, under = multiplier - tau * w[basis], (tau - 1) * w[basis] - multiplier
+        excess = np.maximum(over, under)
+        j = int(np.argmax(excess / np.sqrt((inverse ** 2).sum(axis=0))))
+        if excess[j] <= tolerance:
+            return np.linalg.solve(z[basis], y[basis])
+        move = inverse[:, j] * (-1.0 if over[j] >= under[j] else 1.0)
+        step = z @ move
+        step[basis] = 0.0
+        ahead = np.flatnonzero(r * step > 0)
+        at = r[ahead] / step[ahead]
+        order = np.argsort(at, kind="stable")
+        gain = np.cumsum(w[ahead][order] * np.abs(step[ahead][order]))
+        stop = int(np.searchsorted(gain, excess[j]))
+        if stop >= len(order):
+            return None
+        basis[j] = ahead[order[stop]]
+    return None
+
+
+def _basis(z: np.ndarray, order: np.ndarray) -> np.ndarray | None:
+    """The first rows in ``order`` that are independent."""
+    k = z.shape[1]
+    rows: list[int] = []
+    span = np.zeros((0, k))
+    for lo in range(0, len(order), 256):
+        part = z[order[lo:lo + 256]]
+        rest = part - (part @ span.T) @ span
+        rest -= (rest @ span.T) @ span
+        size = np.sqrt((part ** 2).sum(axis=1))
+        while len(rows) < k:
+            length = np.sqrt((rest ** 2).sum(axis=1))
+            good = np.flatnonzero(length > 1e-7 * size)
+            if not len(good):
+                break
+            rows.append(int(order[lo + good[0]]))
+            axis = rest[good[0]] / length[good[0]]
+            span = np.vstack([span, axis])
+            rest = rest - np.outer(rest @ axis, axis)
+            rest -= np.outer(rest @ axis, axis)
+        if len(rows) == k:
+            return np.array(rows)
+    return None

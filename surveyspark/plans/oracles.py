@@ -607,6 +607,18 @@ oracle("rif_standard", "SELECT Segment, " + ", ".join(
     "dens AS (SELECT " + ", ".join(
         f"sum(Weight * exp(-0.5 * ((log_wage - q{i}) / h) ** 2)) / (any_value(sw) * any_value(h) * sqrt(2 * pi())) AS f{i}" for i in (25, 75, 90))
     + " FROM wages, q, band WHERE log_wage IS NOT NULL AND Weight > 0)")
+_FIVE = (0.1, 0.25, 0.5, 0.75, 0.9)
+oracle("quantile_by_dummy", f"""
+SELECT a.p AS tau, term, {R("CASE term WHEN '_cons' THEN a.value ELSE b.value - a.value END")} AS estimate, n
+FROM percentiles a JOIN percentiles b ON a.p = b.p AND a.female = 0 AND b.female = 1 CROSS JOIN (VALUES ('female'), ('_cons')) t(term)
+CROSS JOIN (SELECT count(*) AS n FROM wages WHERE log_wage IS NOT NULL AND Weight > 0)""",
+       _LINE, _WAGES, _percentiles("log_wage", "wages", _FIVE, "female"))
+oracle("quantile_optimality", f"""
+SELECT CAST(tau AS DOUBLE) AS tau, term, n, TRUE AS optimal
+FROM (VALUES {', '.join(f'({t})' for t in _FIVE)}) q(tau)
+CROSS JOIN (VALUES ('Age'), ('age_sq'), ('urban'), ('Line'), ('Discount'), ('female'), ('_cons')) t(term)
+CROSS JOIN (SELECT count(*) AS n FROM wages WHERE log_wage IS NOT NULL AND Age IS NOT NULL AND urban IS NOT NULL AND Weight > 0)""",
+       _LINE, _WAGES)
 _SAMPLE = "sample AS (SELECT * FROM wages WHERE log_wage IS NOT NULL AND Age IS NOT NULL AND urban IS NOT NULL AND Weight IS NOT NULL)"
 oracle("estimation_sample", f"""
 SELECT Segment, count(*) AS n, {R('sum(log_wage)')} AS total, {R('sum(Weight)')} AS weighted FROM sample

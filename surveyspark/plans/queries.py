@@ -580,6 +580,40 @@ def quantile_regression(spark, sf_dir):
                                   [0.1, 0.25, 0.5, 0.75, 0.9], "Weight")
 
 
+_TAUS = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+@query
+def quantile_by_dummy(spark, sf_dir):
+    """One dummy: the fit must give the weighted quantile of each group."""
+    fit = qr.quantile_regression(_wages(spark, sf_dir), "log_wage", ["female"], _TAUS, "Weight")
+    return rounded(fit.select("tau", "term", "estimate", "n"))
+
+
+@query
+def quantile_optimality(spark, sf_dir):
+    """Whether the rows on each fitted plane can balance the pull of all other rows, term by term."""
+    terms = [*_COVARIATES, "female"]
+    rows = gm.estimation_sample(_wages(spark, sf_dir), ["log_wage"], terms, "Weight").filter("Weight > 0")
+    fit = {(r["tau"], r["term"]): r["estimate"]
+           for r in qr.quantile_regression(rows, "log_wage", terms, _TAUS, "Weight").collect()}
+    sums, checks = [], []
+    for i, tau in enumerate(_TAUS):
+        r = F.col("log_wage") - sum((fit[tau, t] * F.col(t) for t in terms), F.lit(fit[tau, "_cons"]))
+        on_plane = F.abs(r) <= 1e-8
+        push = F.when(on_plane, 0.0).when(r > 0, tau).otherwise(tau - 1) * F.col("Weight")
+        sums.append(F.count_if(on_plane).alias(f"on_{i}"))
+        for j, t in enumerate([*terms, "_cons"]):
+            z = F.lit(1.0) if t == "_cons" else F.col(t)
+            sums += [F.sum(push * z).alias(f"pull_{i}_{j}"),
+                     F.sum(F.when(on_plane, F.col("Weight") * F.abs(z)).otherwise(0.0)).alias(f"hold_{i}_{j}")]
+            # Rows on the plane push by tau at most one way and by 1 - tau the other.
+            fine = F.abs(f"pull_{i}_{j}") <= F.col(f"hold_{i}_{j}") * max(tau, 1 - tau) + 1e-6
+            checks.append(F.struct(F.lit(tau).alias("tau"), F.lit(t).alias("term"), F.col("n"),
+                                   (fine & (F.col(f"on_{i}") > len(terms))).alias("optimal")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), *sums).select(F.inline(F.array(*checks)))
+
+
 @query
 def wage_regressions(spark, sf_dir):
     return rounded(wm.regressions(_prepared(spark, sf_dir, "video")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,18 @@ def check_report(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
+def counters(checks: Sequence[Check]) -> dict[str, Column]:
+    """Violation counts by check name, to be observed while the rows are written."""
+    return {c.name: F.count_if(c.broken) for c in checks}
+
+
+def refuse(counts: Mapping[str, int], strict: bool = True) -> None:
+    """In strict mode raise with every check that is broken in ``counts``."""
+    failed = sorted((name, n) for name, n in counts.items() if n)
+    if strict and failed:
+        raise CheckFailed("; ".join(f"{name}: {n:,} rows" for name, n in failed))
+
+
 def violations(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """The offending rows, each with the names of the checks it breaks."""
     names = F.array_compact(F.array(*[F.when(c.broken, F.lit(c.name)) for c in checks]))

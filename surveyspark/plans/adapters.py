@@ -139,6 +139,39 @@ def coded_files(spark: SparkSession, sf_dir: str, matched_only: bool = True) ->
             units.select(*[F.expr(text).alias(name) for name, text in HOUSEHOLD.items()]))
 
 
+# Every household is visited again once, with a visit number, a multiplier and a column of its own.
+REVISIT_SHARED = {**SHARED, "visit": "concat('V', CAST(2 + o_orderkey % 3 AS STRING))", "mult": _text("1 + CAST(floor(o_totalprice) AS BIGINT)"),
+                  "nss": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 2 AS STRING) END"}
+REVISIT_HOUSEHOLD = {
+    **{f"{name}_hhrv": text for name, text in REVISIT_SHARED.items()},
+    "b3q4_hhrv": HOUSEHOLD["b3q4_hhv1"],
+    "b3q9_hhrv": _text("o_orderkey % 11"),
+}
+# Line items as they are: pairs of order and line number repeat, as keys of a revisit file may.
+REVISIT_PERSON_BASE = ("SELECT l_orderkey, l_linenumber, l_partkey AS pk, l_suppkey AS sk, l_extendedprice AS price, "
+                       "l_returnflag AS flag FROM lineitem")
+REVISIT_PERSON = {
+    **{f"{name.upper() if name in ('nss', 'nsc') else name}_perrv": text for name, text in REVISIT_SHARED.items()},
+    "b4q1_perrv": PERSON["b4q1_perv1"],
+    "b4q5_perrv": PERSON["b4q5_perv1"],
+    "b4q6_perrv": _text("(pk * 7 + l_linenumber) % 90"),
+}
+
+
+def visit_files(spark: SparkSession, sf_dir: str, repeats: bool = True) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Households and persons of first visits and revisits; without ``repeats`` persons of revisits are distinct by key."""
+    persons, households = coded_files(spark, sf_dir, matched_only=False)
+    lineitem, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    units = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    base = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
+                           F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"))
+    if not repeats:
+        base = base.groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("pk", "sk", "price", "flag")])
+    again = base.join(units, F.col("l_orderkey") == F.col("o_orderkey"))
+    return ({"first": households, "revisit": units.select(*[F.expr(text).alias(name) for name, text in REVISIT_HOUSEHOLD.items()])},
+            {"first": persons, "revisit": again.select(*[F.expr(text).alias(name) for name, text in REVISIT_PERSON.items()])})
+
+
 LINE = {
     "Age": ("CAST(p_size AS DOUBLE)", "part"),
     "Sector_code": ("CASE WHEN l_linestatus = 'O' THEN '1' ELSE '2' END", None),

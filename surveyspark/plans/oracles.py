@@ -193,6 +193,67 @@ UNION ALL SELECT 'l_orderkey+l_linenumber repeated',
   (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))""")
 
 
+_VISIT_FILES = f"""{_FILES},
+hh_again AS (SELECT {_select(ad.REVISIT_HOUSEHOLD)} FROM orders JOIN customer ON o_custkey = c_custkey),
+per_again_raw AS (SELECT {_select(ad.REVISIT_PERSON)} FROM ({ad.REVISIT_PERSON_BASE}) b JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey),
+per_again AS (SELECT {_select(ad.REVISIT_PERSON)} FROM (SELECT l_orderkey, l_linenumber, max(pk) AS pk, max(sk) AS sk, max(price) AS price, max(flag) AS flag
+  FROM ({ad.REVISIT_PERSON_BASE}) GROUP BY ALL) b JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+_KEY_NAMES = ("qtr", "visit", "b1q3", "b1q1", "b1q13", "b1q14", "b1q15")
+
+
+def _visit_key(suffix):
+    return " || ".join(f"{c}_{suffix}" for c in _KEY_NAMES)
+
+
+def _visit_weight(suffix, nss="nss", nsc="nsc"):
+    """Single precision; two missing counts agree."""
+    return (f"CAST(CAST(CAST(mult_{suffix} AS DOUBLE) / CASE WHEN {nss}_{suffix} IS NOT DISTINCT FROM {nsc}_{suffix} THEN 100.0e0 "
+            f"ELSE 200.0e0 END AS FLOAT) AS DOUBLE)")
+
+
+def _visit_report(level, file, suffix, source, visits, person):
+    widths = {"qtr": ("Quarter", 2, "Q[1-4]"), "visit": ("Visit", 2, visits), "b1q3": ("Sector_code", 1, "[0-9]+"), "b1q1": ("FSU", 12, "[0-9]+"),
+              "b1q13": ("Hamlet", 1, "[0-9]+"), "b1q14": ("Second_stage_stratum", 1, "[0-9]+"), "b1q15": ("Household_number", 2, "[0-9]+")}
+    rules = [(name, f"length({c}_{suffix}) = {width} AND regexp_full_match({c}_{suffix}, '{pattern}')") for c, (name, width, pattern) in widths.items()]
+    key, name = _visit_key(suffix), "HHID"
+    if person:
+        rules.append(("Person_number", f"regexp_full_match(b4q1_{suffix}, '[0-9]{{2}}')"))
+        key, name = f"{key} || b4q1_{suffix}", "PID"
+    out = [f"SELECT '{level}' AS level, '{file}' AS file, '{rule}' AS \"check\", count(*) FILTER (WHERE NOT coalesce({holds}, FALSE)) AS violations FROM {source}"
+           for rule, holds in rules]
+    out.append(f"SELECT '{level}', '{file}', '{name} missing', count(*) FILTER (WHERE {key} IS NULL) FROM {source}")
+    out.append(f"SELECT '{level}', '{file}', '{name} repeated', count(*) FROM (SELECT 1 FROM {source} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1)")
+    return out
+
+
+oracle("visits_key_report", " UNION ALL ".join(
+    _visit_report("household", "first", "hhv1", "all_households", "V1", False) + _visit_report("household", "revisit", "hhrv", "hh_again", "V[2-4]", False)
+    + _visit_report("person", "first", "perv1", "persons", "V1", True) + _visit_report("person", "revisit", "perrv", "per_again_raw", "V[2-4]", True)
+    + [f"SELECT 'household', 'both', 'HHID in both files', count(*) FROM (SELECT {_visit_key('hhv1')} AS k FROM all_households INTERSECT SELECT {_visit_key('hhrv')} FROM hh_again)",
+       f"SELECT 'person', 'both', 'PID in both files', count(*) FROM (SELECT {_visit_key('perv1')} || b4q1_perv1 AS k FROM persons INTERSECT SELECT {_visit_key('perrv')} || b4q1_perrv FROM per_again_raw)"]),
+       _VISIT_FILES)
+oracle("visits_repeated_records", " UNION ALL ".join(
+    f"""SELECT '{file}' AS file, {_visit_key(suffix)} AS HHID, {_visit_key(suffix)} || b4q1_{suffix} AS PID, b4q6_{suffix} AS b4q6, times
+FROM (SELECT *, count(*) OVER (PARTITION BY {_visit_key(suffix)}, b4q1_{suffix}) AS times FROM {source}) WHERE times > 1"""
+    for file, suffix, source in (("first", "perv1", "persons"), ("revisit", "perrv", "per_again_raw"))), _VISIT_FILES)
+_STACKED_HOUSEHOLDS = f"""stacked_households AS (
+  SELECT {_visit_key('hhv1')} AS HHID, visit_hhv1 AS Visit, b3q4_hhv1 AS b3q4, b3q2_hhv1 AS b3q2, CAST(NULL AS VARCHAR) AS b3q9, {_visit_weight('hhv1')} AS weight,
+    CAST(CAST(CAST(mult_hhv1 AS DOUBLE) / 100.0e0 AS FLOAT) AS DOUBLE) AS weight_plain, 'left_only' AS _merge FROM all_households
+  UNION ALL SELECT {_visit_key('hhrv')}, visit_hhrv, b3q4_hhrv, NULL, b3q9_hhrv, {_visit_weight('hhrv')},
+    CAST(CAST(CAST(mult_hhrv AS DOUBLE) / 100.0e0 AS FLOAT) AS DOUBLE), 'right_only' FROM hh_again)"""
+oracle("visits_stacked", "SELECT * FROM stacked_households", _VISIT_FILES, _STACKED_HOUSEHOLDS)
+oracle("visits_attached", f"""
+SELECT coalesce(h.HHID, p.HHID) AS HHID, PID, coalesce(h.Visit, p.Visit) AS Visit, b4q5, b4q6, b3q2, b3q9, b4q7,
+  CASE WHEN h.HHID IS NULL THEN p.weight ELSE h.weight END AS weight,
+  CASE WHEN p.PID IS NULL THEN 'left_only' WHEN h.HHID IS NULL THEN 'right_only' ELSE 'both' END AS _merge
+FROM stacked_households h FULL JOIN (
+  SELECT {_visit_key('perv1')} AS HHID, {_visit_key('perv1')} || b4q1_perv1 AS PID, visit_perv1 AS Visit, b4q5_perv1 AS b4q5, b4q6_perv1 AS b4q6, b4q7_perv1 AS b4q7,
+    {_visit_weight('perv1', 'NSS', 'NSC')} AS weight FROM persons
+  UNION ALL SELECT {_visit_key('perrv')}, {_visit_key('perrv')} || b4q1_perrv, visit_perrv, b4q5_perrv, b4q6_perrv, NULL,
+    {_visit_weight('perrv', 'NSS', 'NSC')} FROM per_again) p ON h.HHID = p.HHID""", _VISIT_FILES, _STACKED_HOUSEHOLDS)
+
+
 def _counted(rules, source):
     return " UNION ALL ".join(
         f"SELECT '{name}' AS \"check\", count(*) FILTER (WHERE NOT coalesce({rule}, FALSE)) AS violations FROM {source}"

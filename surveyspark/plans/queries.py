@@ -25,9 +25,10 @@ from surveyspark.operators import tabulate as tb
 from surveyspark.operators.populations import population, slices
 from surveyspark.plans import adapters as ad
 from surveyspark.plans import catalogue as ct
+from surveyspark.plans import visits as vs
 from surveyspark.plans import wage_models as wm
 from surveyspark.plans import workflow as wf
-from surveyspark.runtime import materialise
+from surveyspark.runtime import RunFolder
 from surveyspark.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,11 +134,7 @@ def key_report_lineitem(spark, sf_dir):
 
 @query
 def check_report_files(spark, sf_dir):
-    persons, households = wf.key_files(*ad.coded_files(spark, sf_dir), ad.KEY_PARTS)
-    out = None
-    for report in wf.file_checks(persons, households, ad.KEY_PARTS):
-        out = report if out is None else out.unionByName(report)
-    return out
+    return wf.file_report(wf.land(*ad.coded_files(spark, sf_dir), RunFolder(spark), ad.KEY_PARTS))
 
 
 @query
@@ -170,6 +167,34 @@ def stack_visits(spark, sf_dir):
     return mg.stack_visits(first, again).withColumnRenamed("b3q2", "household_type")
 
 
+@query
+def visits_key_report(spark, sf_dir):
+    """Key checks of both levels and files; line items repeat their pair of order and line, so revisit persons have repeated keys."""
+    layout = vs.lay_out(*ad.visit_files(spark, sf_dir), key_parts=ad.KEY_PARTS)
+    households = vs.key_report(layout.households, ["HHID"], ad.KEY_PARTS).withColumn("level", F.lit("household"))
+    return households.unionByName(vs.key_report(layout.persons, ["HHID", "PID"], ad.KEY_PARTS).withColumn("level", F.lit("person")))
+
+
+@query
+def visits_repeated_records(spark, sf_dir):
+    layout = vs.lay_out(*ad.visit_files(spark, sf_dir), key_parts=ad.KEY_PARTS)
+    return vs.repeated_records(layout.persons, ["HHID", "PID"]).select("file", "HHID", "PID", "b4q6", "times")
+
+
+@query
+def visits_stacked(spark, sf_dir):
+    """Households of all visits under each other, with both historical weights."""
+    layout = vs.lay_out(*ad.visit_files(spark, sf_dir, repeats=False), key_parts=ad.KEY_PARTS)
+    return vs.stacked(layout.households, ["HHID"], layout.added[0]).select("HHID", "Visit", "b3q4", "b3q2", "b3q9", "weight", "weight_plain", "_merge")
+
+
+@query
+def visits_attached(spark, sf_dir):
+    """Persons of all visits with their household of the same visit."""
+    layout = vs.lay_out(*ad.visit_files(spark, sf_dir, repeats=False), key_parts=ad.KEY_PARTS)
+    return vs.attached(layout).select("HHID", "PID", "Visit", "b4q5", "b4q6", "b3q2", "b3q9", "b4q7", "weight", "_merge")
+
+
 # --- derivations ---------------------------------------------------------------------------------
 
 @query

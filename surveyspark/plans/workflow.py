@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark import codebook as cb
 from surveyspark.functions import recode, status, weights
 from surveyspark.operators import checks as ck
 from surveyspark.operators import merge as mg
-from surveyspark.runtime import materialise, small_table
+from surveyspark.runtime import RunFolder, observed, small_table
 
 MODES = ("annual", "video")
 
@@ -34,15 +34,40 @@ def key_files(persons: DataFrame, households: DataFrame,
     return persons, households
 
 
-def file_checks(persons: DataFrame, households: DataFrame,
-                key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> list[DataFrame]:
-    """Reports on the keyed files before they are merged."""
-    return [
-        ck.check_report(persons, ck.key_part_checks("perv1", key_parts) + [ck.serial_check("b4q1_perv1")]),
-        ck.check_report(households, ck.key_part_checks("hhv1", key_parts)),
-        ck.key_report(households, ["HHID"]),
-        ck.key_report(persons, ["PID"]),
-    ]
+@dataclass(frozen=True)
+class Landed:
+    """Both keyed files as written tables, with what the writes counted."""
+
+    persons: DataFrame
+    households: DataFrame
+    person_facts: dict[str, int]
+    household_facts: dict[str, int]
+
+    def key_reports(self) -> list[DataFrame]:
+        return [ck.key_report(self.households, ["HHID"]), ck.key_report(self.persons, ["PID"])]
+
+
+def land(persons: DataFrame, households: DataFrame, run: RunFolder, key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> Landed:
+    """Read each file once: key it, write it, and count its rows and broken key parts on the way."""
+    persons, households = key_files(persons, households, key_parts)
+
+    def counted(df: DataFrame, checks: list[ck.Check]):
+        df, observation = observed(df, {"rows": F.count(F.lit(1)), **ck.counters(checks)})
+        return df, [observation]
+
+    persons, person_facts = run.table("persons", lambda: counted(
+        persons, ck.key_part_checks("perv1", key_parts) + [ck.serial_check("b4q1_perv1")]))
+    households, household_facts = run.table("households", lambda: counted(households, ck.key_part_checks("hhv1", key_parts)))
+    return Landed(persons, households, person_facts, household_facts)
+
+
+def file_report(landed: Landed) -> DataFrame:
+    """``(check, violations)`` of both files before they are merged."""
+    parts = [(name, n) for facts in (landed.person_facts, landed.household_facts) for name, n in facts.items() if name != "rows"]
+    out = small_table(landed.persons.sparkSession, parts, "check string, violations bigint")
+    for report in landed.key_reports():
+        out = out.unionByName(report)
+    return out
 
 
 def merge_files(persons: DataFrame, households: DataFrame) -> DataFrame:
@@ -116,66 +141,80 @@ def prepared_checks(teaching: bool = False) -> list[ck.Check]:
     return out
 
 
-def audit_table(households: DataFrame, merged: DataFrame, data: DataFrame, used: DataFrame,
-                mode: str, source: str) -> DataFrame:
-    """One row of run counts."""
-    def merge_rows(outcome: str):
-        return F.count_if(F.col("_merge") == outcome)
-
-    pieces = [
-        households.agg(F.count(F.lit(1)).alias("households")),
-        merged.agg(
-            F.count_if(F.col("_merge") != mg.RIGHT_ONLY).alias("persons_before_filter"),
-            merge_rows(mg.BOTH).alias("matched_persons"),
-            merge_rows(mg.LEFT_ONLY).alias("persons_without_household"),
-            merge_rows(mg.RIGHT_ONLY).alias("households_without_persons")),
-        data.agg(
-            F.count_if(F.col("Gender_original") == "3").alias("gender_code_3_records"),
-            F.count_if(F.col("Contributing_quarters") < 4).alias("persons_with_fewer_than_four_quarters")),
-        used.agg(F.count(F.lit(1)).alias("persons_used"), F.sum("Weight").alias("sum_of_weights")),
-    ]
-    # One-row tables put side by side.
-    out = small_table(households.sparkSession, [(1, mode, source)], "__k int, mode string, input_directory string")
-    for piece in pieces:
-        out = out.join(piece.withColumn("__k", F.lit(1)), "__k")
-    return out.drop("__k")
-
-
-def check_merged(merged: DataFrame, key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> None:
-    """Stop on unmatched rows of either file, then on columns that disagree; one pass for both."""
-    no_household, no_persons = "persons have no household", "households have no persons"
-    checks = [ck.Check(no_household, F.col("_merge") != mg.LEFT_ONLY), ck.Check(no_persons, F.col("_merge") != mg.RIGHT_ONLY)]
-    checks += [ck.Check(f"{a} = {b}", F.col(a) == F.col(b)) for a, b in agreement_pairs(key_parts)]
-    failed = dict(ck.enforce(ck.check_report(merged, checks), strict=False))
-    if no_household in failed or no_persons in failed:
-        raise ck.CheckFailed(f"merge stopped: {failed.get(no_household, 0):,} {no_household}; "
-                             f"{failed.get(no_persons, 0):,} {no_persons}")
-    if failed:
-        raise ck.CheckFailed("; ".join(f"{name}: {count:,} rows" for name, count in sorted(failed.items())))
+def _used(mode: str) -> Column:
+    """Rows that a mode keeps."""
+    return F.col("Gender_original").isin("1", "2") if mode == "video" else F.lit(True)
+
+
+def _final_weight(mode: str) -> Column:
+    return weights.historical_weight() if mode == "video" else weights.annual_weight()
+
+
+def merge_metrics(key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> dict[str, Column]:
+    """Outcomes of the merge, and matched rows whose files disagree."""
+    both = F.col("_merge") == mg.BOTH
+    out = {"persons_before_filter": F.count_if(F.col("_merge") != mg.RIGHT_ONLY), "matched_persons": F.count_if(both),
+           "persons_without_household": F.count_if(F.col("_merge") == mg.LEFT_ONLY),
+           "households_without_persons": F.count_if(F.col("_merge") == mg.RIGHT_ONLY)}
+    checks = [ck.Check(f"{a} = {b}", F.col(a) == F.col(b)) for a, b in agreement_pairs(key_parts)]
+    return out | ck.counters(checks)
+
+
+def row_metrics(mode: str) -> dict[str, Column]:
+    """Counts of the analysis rows, and their broken checks."""
+    return {"gender_code_3_records": F.count_if(F.col("Gender_original") == "3"),
+            "persons_with_fewer_than_four_quarters": F.count_if(F.col("Contributing_quarters") < 4),
+            "persons_used": F.count_if(_used(mode)), "sum_of_weights": F.sum(F.when(_used(mode), _final_weight(mode))),
+            **ck.counters(analysis_checks())}
+
+
+AUDIT = ("households", "persons_before_filter", "matched_persons", "persons_without_household", "households_without_persons",
+         "gender_code_3_records", "persons_with_fewer_than_four_quarters", "persons_used", "sum_of_weights")
+
+
+def audit_table(spark: SparkSession, facts: dict, mode: str, source: str) -> DataFrame:
+    """One row of run counts, all of them observed during the writes."""
+    kinds = ", ".join(f"{name} {'double' if name == 'sum_of_weights' else 'bigint'}" for name in AUDIT)
+    return small_table(spark, [(mode, source, *[facts[name] for name in AUDIT])], f"mode string, input_directory string, {kinds}")
+
+
+def refuse_merge(facts: dict, key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> None:
+    """Stop on unmatched rows of either file, then on columns that disagree."""
+    alone, empty = facts["persons_without_household"], facts["households_without_persons"]
+    if alone or empty:
+        raise ck.CheckFailed(f"merge stopped: {alone:,} persons have no household; {empty:,} households have no persons")
+    ck.refuse({name: facts[name] for name in (f"{a} = {b}" for a, b in agreement_pairs(key_parts))})
 
 
 def first_visits(persons: DataFrame, households: DataFrame, mode: str = "annual", source: str = "",
-                 key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS, strict: bool = True) -> FirstVisits:
+                 key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS, strict: bool = True, run: RunFolder | None = None) -> FirstVisits:
     """Keyed, merged, checked and weighted person rows.
 
-    In strict mode all file checks are counted first and reported together, then the merge, then the
-    row checks; nothing is returned unless they hold.  The merged rows are written once for all the
-    passes that follow.
+    Each file is read once, into a landing table; the merge is written once.  Every check but the uniqueness of keys, and the whole
+    audit, is counted during these writes.  In strict mode file checks are reported together, then the merge, then the row checks; nothing is
+    returned unless they hold.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    persons, households = key_files(persons, households, key_parts)
+    run = run or RunFolder(persons.sparkSession)
+    landed = land(persons, households, run, key_parts)
     if strict:
-        ck.enforce(*file_checks(persons, households, key_parts))
-    merged = merge_files(persons, households)
-    if strict:
-        merged = materialise(merged)
-        check_merged(merged, key_parts)
-    data = analysis_columns(merged, key_parts)
+        broken = {n: v for facts in (landed.person_facts, landed.household_facts) for n, v in facts.items() if n != "rows"}
+        for report in landed.key_reports():
+            broken |= {r["check"]: r["violations"] for r in report.collect()}
+        ck.refuse(broken)
+
+    def merge():
+        merged, outcomes = observed(merge_files(landed.persons, landed.households), merge_metrics(key_parts))
+        rows, counts = observed(analysis_columns(merged, key_parts), row_metrics(mode))
+        return rows, [outcomes, counts]
+
+    data, facts = run.table("merged", merge)
     if strict:
-        ck.enforce(ck.check_report(data, analysis_checks()))
-    used = apply_mode(data, mode)
-    return FirstVisits(used, audit_table(households, merged, data, used, mode, source))
+        refuse_merge(facts, key_parts)
+        ck.refuse({c.name: facts[c.name] for c in analysis_checks()})
+    facts["households"] = landed.household_facts["rows"]
+    return FirstVisits(apply_mode(data, mode), audit_table(persons.sparkSession, facts, mode, source))
 
 
 def prepared(persons: DataFrame, households: DataFrame, mode: str = "annual",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_spark(app: str = "surveyspark", **conf: str) -> SparkSession:
@@ -47,6 +48,50 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, metrics: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates that the next write of it computes on the way."""
+    observation = Observation(f"o{uuid.uuid4().hex}")
+    return df.observe(observation, *[c.alias(n) for n, c in metrics.items()]), observation
+
+
+class RunFolder:
+    """The written tables of one run, with a manifest of what is finished.
+
+    A table whose manifest entry exists is read instead of made, so a run that was killed goes on after its last finished
+    table when it is given the same folder.  ``remove`` deletes everything at the end.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = (path or f"{shared_folder(spark).rstrip('/')}/surveyspark-runs/{uuid.uuid4().hex}").rstrip("/")
+
+    def _file(self, path: str):
+        java = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return java, java.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def finished(self, name: str) -> bool:
+        path, system = self._file(f"{self.path}/{name}.done/_SUCCESS")
+        return system.exists(path)
+
+    def table(self, name: str, make: Callable[[], tuple[DataFrame, Sequence[Observation]]]) -> tuple[DataFrame, dict]:
+        """The table ``name`` and what was observed during its write; ``make`` is called only if it isn't finished."""
+        if not self.finished(name):
+            df, observations = make()
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            facts = {k: v for o in observations for k, v in o.get.items()}
+            self.spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}.done")
+        facts = json.loads(self.spark.read.text(f"{self.path}/{name}.done").first()[0])
+        return self.spark.read.parquet(f"{self.path}/{name}"), facts
+
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """:meth:`table` without observations."""
+        return self.table(name, lambda: (make(), ()))[0]
+
+    def remove(self) -> None:
+        path, system = self._file(self.path)
+        system.delete(path, True)
+
+
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 

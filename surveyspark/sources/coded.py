@@ -27,27 +27,48 @@ def require_rows(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def read_coded_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Chosen columns of a headed CSV as trimmed text; blanks become NULL, ``NA`` stays text.
-
-    Columns are selected by header name.  A byte-order mark and CRLF line ends are accepted.
-    """
+def _csv(spark: SparkSession, path: str) -> DataFrame:
     try:
         raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"')
                .option("escape", '"').option("nullValue", "").option("enforceSchema", False).csv(path))
     except AnalysisException as error:
         raise BadInput(f"cannot read {path}") from error
-    raw = raw.withColumnsRenamed({c: c.lstrip("﻿") for c in raw.columns if c.startswith("﻿")})
-    return _clean(raw, columns, path)
+    return raw.withColumnsRenamed({c: c.lstrip("\ufeff") for c in raw.columns if c.startswith("\ufeff")})
 
 
-def read_prepared(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """The same columns from a prepared Parquet table."""
+def _parquet(spark: SparkSession, path: str) -> DataFrame:
     try:
-        raw = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as error:
         raise BadInput(f"cannot read {path}") from error
-    return _clean(raw, columns, path)
+
+
+def read_coded_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Chosen columns of a headed CSV as trimmed text; blanks become NULL, ``NA`` stays text.
+
+    Columns are selected by header name.  A byte-order mark and CRLF line ends are accepted.
+    """
+    return _clean(_csv(spark, path), columns, path)
+
+
+def read_all_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
+    """All columns of a headed CSV, read like :func:`read_coded_csv`."""
+    return _all(_csv(spark, path), required, path)
+
+
+def read_all_prepared(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
+    """All columns of a prepared Parquet table, as text."""
+    return _all(_parquet(spark, path), required, path)
+
+
+def _all(raw: DataFrame, required: Sequence[str], name: str) -> DataFrame:
+    require_columns(raw, required, name)
+    return _clean(raw, raw.columns, name)
+
+
+def read_prepared(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The same columns from a prepared Parquet table."""
+    return _clean(_parquet(spark, path), columns, path)
 
 
 def _clean(raw: DataFrame, columns: Sequence[str], name: str) -> DataFrame:

@@ -61,6 +61,8 @@ def _numbers(line: str) -> Column:
     return F.regexp_extract_all(F.col(line), F.lit(f"({_NUMBER})"), F.lit(1))
 
 
+# Fixed values below: how the published pages print their lines.
+
 def division_rows(pages: DataFrame, keys: Sequence[str] = ("page_no",)) -> DataFrame:
     """``Division d`` lines with nine numbers, one output row per number.
 
@@ -97,11 +99,17 @@ def group_rows(pages: DataFrame, keys: Sequence[str] = ("page_no",),
         *keys, "group_label", "Sector", "gender", "code", "printed")
 
 
-def log_rows(pages: DataFrame, document: str = "document", page: str = "page_no") -> DataFrame:
-    """Cells of the tables printed in a results log.
+# The two table commands whose layout is known, and the lines printed under them.
+STATUS_COMMAND, DIVISION_COMMAND = r"^tab\s+Gender\s+Broad_Status", r"^tab\s+NCO_Divison\s+Gender"
+STATUS_LINE = r"(?m)^(\s*(?:Male|Female|Total)(?:\s+" + _NUMBER + r"){4}\s+100\.00)"
+DIVISION_LINE = r"(?m)^(\s*[1-9](?:\s+" + _NUMBER + r"){3}\s*)$"
+STATUS_LINES, DIVISION_LINES = 3, 9
+
+
+def _log_parts(pages: DataFrame, document: str, page: str) -> DataFrame:
+    """Text pieces with the command that they follow; ``own`` marks the piece that holds the command itself.
 
-    Sector, age and group are read from the command line above each table.  A table may continue on
-    the next page: what precedes the first command of a page belongs to the last command before it.
+    A table may continue on the next page: what precedes the first command of a page belongs to the last command before it.
     """
     command_line = r"(?m)^(\s*\d+\s*\.[^\r\n]*)"
     # Mark command lines, then cut each page in front of the marks.
@@ -119,43 +127,81 @@ def log_rows(pages: DataFrame, document: str = "document", page: str = "page_no"
     carried = every.select(document, page, F.last("last", ignorenulls=True).over(before).alias("carried"),
                            F.last(F.when(F.col("last").isNotNull(), F.col(page)), ignorenulls=True)
                            .over(before).alias("carried_page"))
-    parts = parts.join(carried, [document, page], "left").select(
+    return parts.join(carried, [document, page], "left").select(
         document,
         F.when(F.col("part") > 0, F.col(page)).otherwise(F.col("carried_page")).alias("command_page"),
         F.when(F.col("part") > 0, F.col("part")).otherwise(F.col("carried.part")).alias("command_part"),
-        F.coalesce("command", "carried.command").alias("command"), "rest")
-    status = F.col("command").rlike(r"^tab\s+Gender\s+Broad_Status")
-    divisions = F.col("command").rlike(r"^tab\s+NCO_Divison\s+Gender")
-    parts = parts.filter(status | divisions)
-    status_row = r"(?m)^(\s*(?:Male|Female|Total)(?:\s+" + _NUMBER + r"){4}\s+100\.00)"
-    division_row = r"(?m)^(\s*[1-9](?:\s+" + _NUMBER + r"){3}\s*)$"
-    pattern = F.when(status, F.lit(status_row)).otherwise(F.lit(division_row))
-    heads = [document, "command_page", "command_part", "command"]
-    lines = parts.select(*heads, status.alias("is_status"),
-                         F.explode(F.regexp_extract_all(F.col("rest"), pattern, F.lit(1))).alias("line"))
-    cells = lines.select(*heads, "is_status", "line", F.posexplode(_numbers("line")).alias("position", "printed"))
-    # The closing 100.00 of a status row is no cell.
-    cells = cells.filter(~F.col("is_status") | (F.col("position") < 4))
-    name = F.regexp_extract("line", r"^\s*(\w+)", 1)
+        F.coalesce("command", "carried.command").alias("command"), "rest", (F.col("part") > 0).alias("own"))
+
+
+def log_commands(pages: DataFrame, document: str = "document", page: str = "page_no") -> DataFrame:
+    """One row for each supported table command of a results log: what its table shows, and how far it could be read.
+
+    Sector, age and group come from the command.  ``lines`` are the table lines read and ``expected`` those its layout has;
+    ``readable`` also needs known codes in the command.  ``cells`` holds what was read, so a lost table is a row that says so.
+    """
+    parts = _log_parts(pages, document, page)
+    is_status = F.col("command").rlike(STATUS_COMMAND)
+    parts = parts.filter(is_status | F.col("command").rlike(DIVISION_COMMAND)).withColumn("is_status", is_status)
+    pattern = F.when(F.col("is_status"), F.lit(STATUS_LINE)).otherwise(F.lit(DIVISION_LINE))
+    # A table has a handful of lines, on few pages.
+    tables = parts.withColumn("found", F.regexp_extract_all("rest", pattern, F.lit(1))).groupBy(
+        document, "command_page", "command_part", "command", "is_status").agg(F.flatten(F.collect_list("found")).alias("found"))
     sector = F.regexp_extract("command", r"Sector\s*==\s*(\d+)", 1)
-    group_sheets = {"Social_group": ("Social_Group", "employment_social_group"),
-                    "Religion": ("Religion", "employment_religion")}
+    known = F.lit(True)
     sheet, group = F.lit("employment_status"), F.lit(None).cast("string")
-    for column, (written, target) in group_sheets.items():
+    for column, (written, target) in {"Social_group": ("Social_Group", "employment_social_group"),
+                                      "Religion": ("Religion", "employment_religion")}.items():
         code = F.regexp_extract("command", written + r"\s*==\s*(\d+)", 1)
         labels = F.create_map(*[F.lit(v) for pair in cb.LABELS[column].items() for v in pair])
         sheet = F.when(code != "", F.lit(target)).otherwise(sheet)
         group = F.when(code != "", F.try_element_at(labels, code)).otherwise(group)
-    return cells.select(
-        *heads,
+        known = known & ((code == "") | ~F.col("is_status") | F.try_element_at(labels, code).isNotNull())
+    expected = F.when(F.col("is_status"), STATUS_LINES).otherwise(DIVISION_LINES)
+    names = F.transform("found", lambda line: F.regexp_extract(line, r"^\s*(\w+)", 1))
+    return tables.select(
+        document, "command_page", "command_part", "command", "is_status",
         F.when(F.col("is_status"), sheet).otherwise("NCO_division").alias("sheet"),
         F.when(F.col("command").rlike(r"Age\s*>=\s*15"), "15+").otherwise("All ages").alias("Age_group"),
         F.when(sector == "1", "Rural").when(sector == "2", "Urban").otherwise(cb.POOLED_SECTOR).alias("Sector"),
         F.when(F.col("is_status"), group).alias("group_label"),
-        F.when(F.col("is_status"), _nth(("1", "2", "3", "4"), "position")).otherwise(name).alias("code"),
-        F.when(F.col("is_status"), F.when(name == "Total", "Persons").otherwise(name))
+        F.size("found").alias("lines"), expected.alias("expected"),
+        (known & sector.isin("", "1", "2") & (F.size("found") == expected) & (F.size(F.array_distinct(names)) == expected)).alias("readable"),
+        "found")
+
+
+def log_cells(commands: DataFrame, document: str = "document") -> DataFrame:
+    """Every cell that the commands of :func:`log_commands` should have printed; ``printed`` is NULL where it was not read."""
+    heads = [document, "command_page", "command_part", "command", "is_status", "sheet", "Age_group", "Sector", "group_label"]
+    row_name = F.array(*map(F.lit, ("Male", "Female", "Total")))
+    rows = commands.select(*heads, "found", F.explode(F.when(F.col("is_status"), row_name).otherwise(
+        F.array(*[F.lit(str(d)) for d in range(1, DIVISION_LINES + 1)]))).alias("row"))
+    line = F.get(F.filter("found", lambda x: F.regexp_extract(x, r"^\s*(\w+)", 1) == F.col("row")), F.lit(0))
+    # The closing 100.00 of a status line is no cell.
+    cells = rows.withColumn("numbers", F.regexp_extract_all(line, F.lit(f"({_NUMBER})"), F.lit(1))).select(
+        *heads, "row", "numbers", F.explode(F.sequence(F.lit(0), F.when(F.col("is_status"), 3).otherwise(2))).alias("position"))
+    return cells.select(
+        *heads[:4], "is_status", "sheet", "Age_group", "Sector", "group_label",
+        F.when(F.col("is_status"), _nth(("1", "2", "3", "4"), "position")).otherwise(F.col("row")).alias("code"),
+        F.when(F.col("is_status"), F.when(F.col("row") == "Total", "Persons").otherwise(F.col("row")))
         .otherwise(_nth(cb.GENDERS, "position")).alias("gender"),
-        "printed", F.lit(2).alias("decimals"))
+        F.get("numbers", F.col("position")).alias("printed"), F.lit(2).alias("decimals"))
+
+
+def log_rows(pages: DataFrame, document: str = "document", page: str = "page_no") -> DataFrame:
+    """Cells that could be read of the tables printed in a results log."""
+    cells = log_cells(log_commands(pages, document, page), document)
+    return cells.filter(F.col("printed").isNotNull()).drop("is_status")
+
+
+def require_readable(commands: DataFrame) -> None:
+    """Stop if a log holds no supported command, or one whose table could not be read in full."""
+    total, lost, example = commands.agg(
+        F.count(F.lit(1)), F.count_if(~F.col("readable")), F.min(F.when(~F.col("readable"), F.col("command")))).first()
+    if not total:
+        raise CheckFailed("the log holds no table command of a known layout")
+    if lost:
+        raise CheckFailed(f"{lost:,} of {total:,} logged tables could not be read, for example: {example}")
 
 
 def expect_rows(cells: DataFrame, block: Sequence[str], expected: int) -> DataFrame:

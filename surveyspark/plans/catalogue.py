@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark import codebook as cb
+from surveyspark.functions import weights
 from surveyspark.functions.recode import label_table
 from surveyspark.operators import tabulate as tb
 from surveyspark.operators.populations import age_bits, age_group, population, sector_memberships
@@ -33,21 +34,19 @@ class TableSpec:
     ages: tuple[str, ...]
     group: str | None = None
     combined: bool = True
-    note: str = ""
 
 
-def _shares(sheet, column, who, ages, group=None, combined=True, note=""):
-    return TableSpec(sheet, SHARES, column, who, tuple(ages), group, combined, note)
+def _shares(sheet, column, who, ages, group=None, combined=True):
+    return TableSpec(sheet, SHARES, column, who, tuple(ages), group, combined)
 
 
-_RATE_NOTE = "Participation and worker rates are per person, the unemployment rate is per member of the labour force."
 _ALL_15 = ("All ages", "15+")
 
 # The 31 sheets, their populations and their ages.
 CATALOGUE: tuple[TableSpec, ...] = (
-    TableSpec("rates", RATES, None, "All persons", ("All ages", "15+", "15-29"), note=_RATE_NOTE),
-    TableSpec("rates_social_group", RATES, None, "All persons", _ALL_15, "Social_group", note=_RATE_NOTE),
-    TableSpec("rates_state_youth", RATES, None, "All persons", ("15-29",), "State_code", note=_RATE_NOTE),
+    TableSpec("rates", RATES, None, "All persons", ("All ages", "15+", "15-29")),
+    TableSpec("rates_social_group", RATES, None, "All persons", _ALL_15, "Social_group"),
+    TableSpec("rates_state_youth", RATES, None, "All persons", ("15-29",), "State_code"),
     _shares("employment_status", "Broad_status", "Workers", _ALL_15),
     _shares("employment_social_group", "Broad_status", "Workers", _ALL_15, "Social_group"),
     _shares("employment_religion", "Broad_status", "Workers", _ALL_15, "Religion"),
@@ -59,70 +58,57 @@ CATALOGUE: tuple[TableSpec, ...] = (
     _shares("NCO_group", "NCO", "Workers", _ALL_15),
     _shares("NCO_subdivision", "NCO_subdivision", "Workers", _ALL_15),
     _shares("NCO_division", "NCO_division", "Workers", _ALL_15),
-    _shares("vocational_labour_force", "Training_code", "Labour force", ("15-59",),
-            note="Working-age members of the labour force only."),
-    _shares("vocational_15_59", "Training_code", "All persons", ("15-59",),
-            note="Everybody of working age, in the labour force or not."),
-    _shares("social_security", "Social_security", "Employees", ("15+",),
-            note="Regular and casual employees by their selected job, in every industry."),
-    _shares("household_type", "Household_type", "Labour force", ("15+",), combined=False,
-            note="Codes mean different things in rural and urban areas, so sectors are never pooled."),
+    _shares("vocational_labour_force", "Training_code", "Labour force", ("15-59",)),
+    _shares("vocational_15_59", "Training_code", "All persons", ("15-59",)),
+    _shares("social_security", "Social_security", "Employees", ("15+",)),
+    _shares("household_type", "Household_type", "Labour force", ("15+",), combined=False),
     _shares("religion", "Religion", "Labour force", ("15+",)),
     _shares("social_group", "Social_group", "Labour force", ("15+",)),
     _shares("household_spending", "Household_spending_band", "Labour force", ("15+",)),
     _shares("marital_status", "Marital_status", "Labour force", ("15+",)),
-    _shares("attendance", "Attendance_group", "Labour force", ("15-29",),
-            note="What is attended now, not what was completed."),
-    _shares("training_field", "Training_field", "Formal trainees in labour force", ("15-59",),
-            note="Field of the latest formal training, as coded."),
-    _shares("training_duration", "Training_duration", "Formal trainees in labour force", ("15-59",),
-            note="Length bands of formal training."),
-    _shares("training_type", "Training_type", "Formal trainees in labour force", ("15-59",),
-            note="Formal training on or off the job."),
-    _shares("economic_months", "Economic_months", "Workers", ("15+",),
-            note="Duration bands of the selected activity, not numbers of months."),
-    _shares("efforts_to_find_work", "Efforts_to_find_work", "Principal unemployed", ("15+",),
-            note="Mainly seeking work, including those with some subsidiary work."),
-    _shares("unemployment_duration", "Unemployment_duration", "Unemployed", ("15+",),
-            note="Seeking work without any subsidiary work; duration bands."),
-    _shares("reason_not_working", "Reason_not_working", "Non-workers", ("15+",),
-            note="Non-workers who gave a reason for having stopped."),
-    TableSpec("mean_HH_spending", MEANS, None, "All persons", ("All ages",),
-              note="Person-weighted mean of household spending; no standard errors."),
+    _shares("attendance", "Attendance_group", "Labour force", ("15-29",)),
+    _shares("training_field", "Training_field", "Formal trainees in labour force", ("15-59",)),
+    _shares("training_duration", "Training_duration", "Formal trainees in labour force", ("15-59",)),
+    _shares("training_type", "Training_type", "Formal trainees in labour force", ("15-59",)),
+    _shares("economic_months", "Economic_months", "Workers", ("15+",)),
+    _shares("efforts_to_find_work", "Efforts_to_find_work", "Principal unemployed", ("15+",)),
+    _shares("unemployment_duration", "Unemployment_duration", "Unemployed", ("15+",)),
+    _shares("reason_not_working", "Reason_not_working", "Non-workers", ("15+",)),
+    TableSpec("mean_HH_spending", MEANS, None, "All persons", ("All ages",)),
 )
 
 _STATES = ("work", "seek", "out")
 
 
+def _measure(spec: TableSpec) -> str:
+    """What a sheet shows, put together from its specification."""
+    if spec.kind == RATES:
+        what = "rates LFPR, WPR, UR"
+    else:
+        what = f"{'mean' if spec.kind == MEANS else 'percent'} of {spec.column}"
+    by = f" by {spec.group}" if spec.group else ""
+    return f"{what}{by}; sectors {', '.join([*cb.SECTORS, *([cb.POOLED_SECTOR] if spec.combined else [])])}; weighted"
+
+
 def guide(spark: SparkSession, specs: Sequence[TableSpec] = CATALOGUE) -> DataFrame:
-    """Population, ages and meaning of every sheet."""
-    share = "Percent of reported answers within an age, sector, gender and group; blanks are left out."
-    rows = [(s.sheet, s.population, "; ".join(s.ages), f"{share} {s.note}".strip() if s.kind == SHARES else s.note)
-            for s in specs]
+    """One row for each sheet, derived from its specification."""
+    rows = [(s.sheet, s.population, "; ".join(s.ages), _measure(s)) for s in specs]
     return small_table(spark, rows, "Sheet string, Population string, Ages string, Meaning string")
 
 
-def notes(spark: SparkSession, mode: str) -> DataFrame:
-    """What a reader of the tables must know, one topic per row."""
-    rows = [
-        ("Mode", mode),
-        ("Inputs", "Coded person and household files of the first visit; revisits are not used."),
-        ("Annual weight", "Multiplier over 100 (equal sampling counts) or 200, over contributing quarters."),
-        ("Gender", "Annual tables count code 3 with code 1 and keep the original code."),
-        ("Historical mode", "Earlier weights without the quarter division; code 3 is dropped."),
-        ("Ages", "Age groups overlap: compare tables of the same age group only."),
-        ("Percentages", "Weighted percentages, not sample counts."),
-        ("Subtotals", "All self-employed already contains its two parts."),
-        ("Rates", "Labour force / persons, workers / persons, unemployed / labour force, times 100."),
-        ("Selected job", "The principal job if the person works there, else the subsidiary job, with its own details."),
-        ("Blanks", "A blank may mean not asked; the guide names each question's population."),
-        ("Durations", "Bands, not months."),
-        ("Spending", "Bands of household spending, not spending per head."),
-        ("Household type", "Rural and urban codes differ, so there is no pooled view."),
-        ("Unlabelled codes", "Shown as coded."),
-        ("Precision", "Point estimates without survey-design standard errors."),
-    ]
-    return small_table(spark, rows, "Topic string, Explanation string")
+def notes(spark: SparkSession, mode: str, specs: Sequence[TableSpec] = CATALOGUE) -> DataFrame:
+    """The definitions that were used: weight, populations, age groups and bands, written out from the code that applies them."""
+    def text(column: Column) -> str:
+        return column._jc.toString()
+
+    weight = weights.historical_weight() if mode == "video" else weights.annual_weight()
+    rows = [("mode", mode, mode), ("weight", "Weight", text(weight))]
+    rows += [("population", name, text(population(name))) for name in dict.fromkeys(s.population for s in specs)]
+    ages = [age_group(name) for name in dict.fromkeys(a for s in specs for a in s.ages)]
+    rows += [("age group", g.name, f"{g.lower} to {g.upper}" if g.upper is not None else f"{g.lower} and over") for g in ages]
+    for column, bands in (("NIC_broad", cb.NIC_BROAD_BANDS), ("NIC_three", cb.NIC_THREE_BANDS), ("Attendance_group", cb.ATTENDANCE_BANDS)):
+        rows += [("band", f"{column} {b.code}", f"{b.lower} to {b.upper}") for b in bands]
+    return small_table(spark, rows, "Topic string, Name string, Definition string")
 
 
 def _code(spec: TableSpec) -> Column:

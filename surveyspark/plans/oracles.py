@@ -814,3 +814,23 @@ oracle("extract_log_rows", " UNION ALL ".join(
     f"CAST(1 + l_partkey % 9 AS VARCHAR) AS code, '{g}' AS gender, {_printed(f'l_linenumber = {i}')} AS printed "
     "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 5"
     for i, g in enumerate(("Male", "Female", "Persons"), 1)))
+
+_LOG_NAME = "CASE l_returnflag WHEN 'A' THEN 'Male' WHEN 'N' THEN 'Female' ELSE 'Total' END"
+_LOG_LINES = f"""log_lines AS (SELECT s_nationkey AS k, {_LOG_NAME} AS name, {", ".join(f"""
+  count(*) FILTER (WHERE l_linenumber = {i}) || '.' || lpad(CAST(coalesce(sum(l_partkey) FILTER (WHERE l_linenumber = {i}), 0) % 100 AS VARCHAR), 2, '0') AS n{i}"""
+  for i in range(1, 5))}
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+log_read AS (SELECT * FROM log_lines WHERE NOT (name = 'Total' AND k % 3 = 0)),
+logs AS (SELECT DISTINCT s_nationkey AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+named_logs AS (SELECT k, CASE k % 4 WHEN 0 THEN 'ST' WHEN 1 THEN 'SC' WHEN 2 THEN 'OBC' END AS group_label FROM logs)"""
+oracle("log_commands_read", """
+SELECT CAST(k AS VARCHAR) AS document, 'tab Gender Broad_Status [iw=weight] if Sector==1 & Age>=15 & Social_Group==' || (1 + k % 4) || ', nof row' AS command,
+  'employment_social_group' AS sheet, '15+' AS Age_group, 'Rural' AS Sector, group_label,
+  CAST((SELECT count(*) FROM log_read r WHERE r.k = l.k) AS INT) AS lines, 3 AS expected,
+  (SELECT count(*) FROM log_read r WHERE r.k = l.k) = 3 AND group_label IS NOT NULL AS readable
+FROM named_logs l""", _LOG_LINES)
+oracle("log_status_cells", """
+SELECT CAST(l.k AS VARCHAR) AS document, 'Rural' AS Sector, group_label, code, CASE g.name WHEN 'Total' THEN 'Persons' ELSE g.name END AS gender,
+  CASE code WHEN '1' THEN n1 WHEN '2' THEN n2 WHEN '3' THEN n3 ELSE n4 END AS printed
+FROM named_logs l CROSS JOIN (VALUES ('Male'), ('Female'), ('Total')) g(name) CROSS JOIN (VALUES ('1'), ('2'), ('3'), ('4')) c(code)
+LEFT JOIN log_read r ON r.k = l.k AND r.name = g.name""", _LOG_LINES)

@@ -742,6 +742,40 @@ def extract_log_rows(spark, sf_dir):
     return rc.log_rows(pages).select("document", "sheet", "Age_group", "Sector", "code", "gender", "printed")
 
 
+def _status_log(spark, sf_dir):
+    """A log per nation with one status table over two pages; some totals are misprinted, some group codes are unknown."""
+    rows = ad.table(spark, sf_dir, "lineitem").join(
+        ad.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    name = F.when(F.col("l_returnflag") == "A", "Male").when(F.col("l_returnflag") == "N", "Female").otherwise("Total")
+    cells = rows.groupBy("s_nationkey", name.alias("name")).agg(
+        *[_whole_and_part(F.count_if(F.col("l_linenumber") == i), F.sum(F.when(F.col("l_linenumber") == i, F.col("l_partkey")).otherwise(0))).alias(f"n{i}")
+          for i in range(1, 5)])
+    closing = F.when((F.col("name") == "Total") & (F.col("s_nationkey") % 3 == 0), "99.00").otherwise("100.00")
+    lines = cells.withColumn("line", F.concat(F.lit("  "), "name", F.lit("   "), F.concat_ws("   ", "n1", "n2", "n3", "n4", closing)))
+    # Three lines at most for each nation.
+    both = lines.groupBy("s_nationkey").agg(
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("name") != "Total", F.col("line")))), "\n").alias("head"),
+        F.max(F.when(F.col("name") == "Total", F.col("line"))).alias("foot"))
+    command = F.concat(F.lit("  7 . tab Gender Broad_Status [iw=weight] if Sector==1 & Age>=15 & Social_Group=="),
+                       (1 + F.col("s_nationkey") % 4).cast("string"), F.lit(", nof row\n\n"))
+    document = F.col("s_nationkey").cast("string").alias("document")
+    return both.select(document, F.lit(1).alias("page_no"), F.concat(F.lit("log\n"), command, "head").alias("text")).unionByName(
+        both.select(document, F.lit(2).alias("page_no"), F.concat(F.coalesce("foot", F.lit("")), F.lit("\n  8 . count\n  Male  1.00  1.00  1.00  1.00  100.00\n")).alias("text")))
+
+
+@query
+def log_commands_read(spark, sf_dir):
+    """Every table command of the logs and whether its table could be read."""
+    return rc.log_commands(_status_log(spark, sf_dir)).select(
+        "document", "command", "sheet", "Age_group", "Sector", "group_label", "lines", "expected", "readable")
+
+
+@query
+def log_status_cells(spark, sf_dir):
+    """Every cell that the logs should hold; a cell that could not be read is NULL."""
+    return rc.log_cells(rc.log_commands(_status_log(spark, sf_dir))).select("document", "Sector", "group_label", "code", "gender", "printed")
+
+
 @query
 def wage_quantile_models(spark, sf_dir):
     return wm.quantile_models(_prepared(spark, sf_dir, "video"))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 
 from surveyspark.plans import catalogue as ct
 from surveyspark.plans import job
@@ -24,11 +25,33 @@ def test_whole_job(spark, tmp_path):
     audit = spark.read.json(str(out / "merge_audit")).first()
     assert audit["persons_used"] == 28 and audit["mode"] == "annual"
     assert spark.read.option("header", True).csv(str(out / "table_guide")).count() == 31
+    notes = {(r["Topic"], r["Name"]): r["Definition"] for r in spark.read.option("header", True).csv(str(out / "notes")).collect()}
+    assert notes["age group", "15-29"] == "15 to 29" and "Worker" in notes["population", "Workers"] and notes["band", "NIC_three 6"] == "5 to 43"
     assert spark.read.parquet(str(out / "merged_first_visit")).count() == 28
     assert job.main(["--data-dir", str(tmp_path), "--check-only"]) == 0
     assert job.main(["--data-dir", str(tmp_path / "nowhere"), "--check-only"]) == 1
 
 
+def test_a_killed_run_goes_on(spark, tmp_path, monkeypatch):
+    """Finished tables of a run that was cut short are used again, and nothing is left in its folder at the end."""
+    invented.write_csv(tmp_path)
+    folder = tmp_path / "run"
+    command = ["--data-dir", str(tmp_path), "--output-dir", str(tmp_path / "out"), "--run-folder", str(folder)]
+
+    def dies(*_):
+        raise PySparkException("an executor was lost once too often")
+
+    with monkeypatch.context() as change:
+        change.setattr(job.ct, "report_cells", dies)
+        assert job.main(command) == 1
+    assert {p.name for p in folder.glob("*.done")} == {"persons.done", "households.done", "merged.done", "prepared.done"}
+    with monkeypatch.context() as change:
+        change.setattr(job.wf, "merge_files", dies)
+        assert job.main(command) == 0, "the merge is not made again"
+    assert not folder.exists()
+    assert spark.read.parquet(str(tmp_path / "out" / "report_cells")).select("sheet").distinct().count() == 31
+
+
 def test_mismatch_fails_after_saving(spark, tmp_path):
     invented.write_csv(tmp_path)
     line = " 2 . tab NCO_Divison Gender [iw=weight] if Age>=15, nof col\n"

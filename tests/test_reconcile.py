@@ -45,6 +45,32 @@ def test_log_rows_across_pages(spark):
         enforce(rc.expect_rows(cells, ["document", "command_page", "command_part"], 12))
 
 
+def test_a_lost_table_is_a_row(spark):
+    """Every supported command has its row, whether its table could be read or not."""
+    whole = "\n".join(f"  {g}   40.10   14.20   12.40   33.30   100.00" for g in ("Male", "Female", "Total"))
+    divisions = "\n".join(f"   {d}   1.00   2.00   3.00  " for d in range(1, 10))
+    text = "\n".join([
+        " 1 . tab Gender Broad_Status [iw=weight], nof row", whole,
+        " 2 . tab Gender Broad_Status [iw=weight] if Sector==2, nof row", "  Male  40,10  14,20  12,40  33,30  100,00",
+        " 3 . tab Gender Broad_Status [iw=weight] if Religion==99, nof row", whole,
+        " 4 . tab NCO_Divison Gender [iw=weight] if Sector==7, nof col", divisions,
+        " 5 . tab NCO_Divison Gender [iw=weight], nof col", divisions.replace("   9 ", "   8 "),
+        " 6 . tab Gender Broad_Status [iw=weight] if Age>=15, nof row", whole.replace("Female", "Fem."),
+        " 7 . count", whole])
+    commands = rc.log_commands(spark.createDataFrame([("log", 1, text)], "document string, page_no int, text string"))
+    got = {r["command_part"]: (r["lines"], r["expected"], r["readable"]) for r in commands.collect()}
+    assert got == {1: (3, 3, True), 2: (0, 3, False), 3: (3, 3, False), 4: (9, 9, False), 5: (9, 9, False), 6: (2, 3, False)}
+    cells = rc.log_cells(commands).collect()
+    assert len(cells) == 4 * 12 + 2 * 27
+    assert {r["command_part"]: sum(c["printed"] is None for c in cells if c["command_part"] == r["command_part"]) for r in cells} == {
+        1: 0, 2: 12, 3: 0, 4: 0, 5: 3, 6: 4}
+    with pytest.raises(CheckFailed, match="5 of 6 logged tables"):
+        rc.require_readable(commands)
+    rc.require_readable(commands.filter("command_part = 1"))
+    with pytest.raises(CheckFailed, match="no table command"):
+        rc.require_readable(commands.filter("command_part = 99"))
+
+
 def test_comparison(spark):
     cells = spark.createDataFrame(
         [("s", "All ages", "Rural", None, "1", "Male", 2.675), ("s", "All ages", "Rural", None, "2", "Male", 12.35),

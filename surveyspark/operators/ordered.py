@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +17,8 @@ from pyspark.sql.window import Window
 from surveyspark.runtime import materialise
 
 RANGES = 512
+# Cut points of each group's first ranges.
+CUTS = 63
 # Rows left in the fullest wanted range above which the ranges are cut again.
 SMALL_RANGE = 2_000_000
 _TIE = 1e-12
@@ -47,7 +48,7 @@ def weighted_percentiles(df: DataFrame, value: str, probabilities: Sequence[floa
         rows = materialise(rows)
 
     # First cut: all rows; every group needs its total anyway.
-    inside = _bucketed(rows, ranges)
+    inside = _bucketed(rows, keys, min(CUTS, ranges - 1))
     sums = _range_sums(inside, keys)
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     # One row per range of a group: at most `ranges` rows in a window partition.
@@ -61,11 +62,16 @@ def weighted_percentiles(df: DataFrame, value: str, probabilities: Sequence[floa
 
     # Further cuts while a wanted range is still large, each between its own ends.  These fall into
     # different parts, so every cut takes rows away.
+    # Halves keep the difference of very large ends finite.
+    before_cut = None
     while True:
-        largest = wanted.filter("lo < hi").agg(F.max("n").alias("n")).first()["n"] or 0
-        if largest <= small_range:
+        largest = wanted.filter("lo < hi").agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
+        if (largest["n"] or 0) <= small_range:
             break
-        part = F.floor((F.col("__y") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges)
+        if before_cut is not None and largest["all"] >= before_cut:
+            raise RuntimeError("a range of values cannot be cut any further")
+        before_cut = largest["all"]
+        part = F.floor((F.col("__y") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * ranges)
         part = F.when(F.col("hi") > F.col("lo"), F.least(part, F.lit(ranges - 1))).otherwise(0)
         inside = inside.withColumn("__bucket", part.cast("int")).drop("lo", "hi")
         sums = _range_sums(inside, [*keys, "p", "target", "before", "next"])
@@ -105,14 +111,23 @@ def _hit(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return chosen.select(*keys, "p", "__bucket", "target", before.alias("before"), "next", "n", "lo", "hi")
 
 
-def _bucketed(rows: DataFrame, ranges: int) -> DataFrame:
-    """Number the value range of every row.  The cut points only balance the work."""
-    cuts = rows.agg(F.percentile_approx("__y", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("c")).first()["c"]
-    splits = [-float("inf"), *sorted(set(cuts or [0.0])), float("inf")]
-    if len(splits) < 3:
-        splits.insert(1, 0.0)
-    splitter = Bucketizer(splits=splits, inputCol="__y", outputCol="__bucket", handleInvalid="keep")
-    return splitter.transform(rows).withColumn("__bucket", F.col("__bucket").cast("int"))
+def _bucketed(rows: DataFrame, keys: Sequence[str], cuts: int) -> DataFrame:
+    """Number the value range of every row among the quantile sketch's cut points of its own group.
+
+    The cut points only balance the work.  Infinite values have ranges of their own at both ends, so every other range has finite ends.
+    """
+    infinite = float("inf")
+    sketch = F.percentile_approx("__y", [i / (cuts + 1) for i in range(1, cuts + 1)], 16 * (cuts + 1))
+    # One short array per group, met by a map-side combined aggregate.
+    points = rows.filter(F.abs("__y") < infinite).groupBy(*keys).agg(sketch.alias("__c"))
+    if keys:
+        rows = rows.join(points, [*keys], "left")
+    else:
+        found = points.first()["__c"] or []
+        rows = rows.withColumn("__c", F.array(*map(F.lit, found)).cast("array<double>"))
+    below = F.coalesce(F.size(F.filter("__c", lambda c: c < F.col("__y"))), F.lit(0))
+    bucket = F.when(F.col("__y") == -infinite, -1).when(F.col("__y") == infinite, cuts + 1).otherwise(below)
+    return rows.withColumn("__bucket", bucket.cast("int")).drop("__c")
 
 
 def reference_rif(value: str, quantile: float, p: float) -> Column:

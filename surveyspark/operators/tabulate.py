@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -269,29 +271,29 @@ def weighted_summary(df: DataFrame, value: str, weight: str | None = "Weight", b
     """Rows, sum of weights, mean, standard deviation, standard error, minimum and maximum.
 
     ``iweight`` takes the sum of weights as the number of observations; ``aweight`` rescales weights
-    to the number of rows.  Neither is a survey-design standard error.  Squares are taken around each
-    group's mean, in a second aggregate, so a mean far larger than the spread costs no digits.
-    Groups are compared null-safely; without rows there is no summary.
+    to the number of rows.  Neither is a survey-design standard error.  Means and squares around them are one mergeable
+    state, combined map-side in a single pass, so a mean far larger than the spread costs no digits.
+    Weights must not be negative.  Groups are compared null-safely; without rows there is no summary.
     """
     if weight_kind not in {"iweight", "aweight"}:
         raise ValueError(f"unknown weight kind: {weight_kind}")
     rows = df if where is None else df.filter(where)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = rows.filter(F.col(value).isNotNull()).select(
+    rows = rows.filter(F.col(value).isNotNull() & w.isNotNull()).select(
         F.struct(F.lit(0).alias("all"), *[F.col(b).alias(f"k{i}") for i, b in enumerate(by)]).alias("group"),
         F.col(value).cast("double").alias("x"), w.alias("w"))
+    # The state refuses groups without any weight, which have no mean here.
+    state = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.array("x")), F.when(F.col("w") == 0, 1e-300).otherwise(F.col("w")))
     sums = rows.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("centre"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    d = F.col("x") - F.col("centre")
-    squares = rows.join(sums.select("group", "centre"), "group").groupBy("group").agg(
-        F.sum(F.col("w") * d).alias("s1"), F.sum(F.col("w") * d * d).alias("s2"))
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"),
+        F.min("x").alias("min"), F.max("x").alias("max"), state.alias("state"))
+    weighed = F.col("sum_w") > 0
     observations = F.col("sum_w") if weight_kind == "iweight" else F.col("n").cast("double")
-    offset = F.try_divide("s1", "sum_w")
-    spread_ = F.try_divide("s2", "sum_w") - offset * offset
+    # The state's variance is the squares over (sum w - sum w^2 / sum w).
+    spread_ = vector_to_array("state.variance")[0] * (1 - F.try_divide("sum_w2", F.col("sum_w") * F.col("sum_w")))
     return (
-        sums.join(squares, "group").withColumn("mean", F.col("centre") + offset)
-        .withColumn("sd", F.sqrt(F.greatest(spread_, F.lit(0.0)) * F.try_divide(observations, observations - 1)))
+        sums.withColumn("mean", F.when(weighed, vector_to_array("state.mean")[0]))
+        .withColumn("sd", F.when(weighed, F.sqrt(F.greatest(spread_, F.lit(0.0)) * F.try_divide(observations, observations - 1))))
         .withColumn("std_error", F.try_divide(F.col("sd"), F.sqrt(observations)))
         .select(*[F.col("group")[f"k{i}"].alias(b) for i, b in enumerate(by)],
                 "n", "sum_w", "mean", "sd", "std_error", "min", "max"))

@@ -530,8 +530,8 @@ FROM (SELECT Segment, count(*) AS n, sum(Weight) AS sw, sum(Weight * Spending) /
 oracle("mean_over_se", f"""
 SELECT Gender, n, {R('mean')} AS mean, {R('se')} AS std_error, {R('mean - 1.959963984540054 * se')} AS ci_low,
   {R('mean + 1.959963984540054 * se')} AS ci_high
-FROM (SELECT Gender, n, mean, sqrt(v / (n - 1)) AS se FROM (
-  SELECT Gender, count(*) AS n, sum(Weight * Spending) / sum(Weight) AS mean,
+FROM (SELECT Gender, n, mean, sqrt(v / (sw - 1)) AS se FROM (
+  SELECT Gender, count(*) AS n, sum(Weight) AS sw, sum(Weight * Spending) / sum(Weight) AS mean,
     sum(Weight * Spending * Spending) / sum(Weight) - (sum(Weight * Spending) / sum(Weight)) ** 2 AS v
   FROM line WHERE Spending IS NOT NULL AND Sector_code = '1' GROUP BY Gender))""", _LINE)
 oracle("population_total", f"""

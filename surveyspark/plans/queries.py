@@ -444,7 +444,7 @@ def weighted_summary(spark, sf_dir):
 @query
 def mean_over_se(spark, sf_dir):
     rows = ad.respondents(spark, sf_dir, "Spending", "Sector_code")
-    table = tb.weighted_summary(rows, "Spending", by=["Gender"], where=F.col("Sector_code") == "1", weight_kind="aweight")
+    table = tb.weighted_summary(rows, "Spending", by=["Gender"], where=F.col("Sector_code") == "1", weight_kind="iweight")
     return rounded(tb.mean_interval(table).select("Gender", "n", "mean", "std_error", "ci_low", "ci_high"))
 
 

@@ -1,8 +1,8 @@
 """The wage models: regressions and gap decompositions over regular employees.
 
 The models differ in dependent variable, weights and group comparison, but all of them are moment sums
-over the same rows.  One pass therefore collects the moments of every model block; the models are then
-solved from those small matrices.
+over the same rows.  One pass therefore adds every row to one cell of a moment cube; blocks of models are rolled up
+from its cells and solved from small matrices.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +22,9 @@ from surveyspark.functions import recode, status
 from surveyspark.operators import decompose as dc
 from surveyspark.operators import ordered as od
 from surveyspark.operators import regression as rg
-from surveyspark.operators.gram import Design, Moments, design, gram
+from surveyspark.operators.gram import Design, Moments
 from surveyspark.operators.quantreg import quantile_regression
-from surveyspark.runtime import materialise
+from surveyspark.runtime import materialise_observed
 
 PERCENTILES = (0.25, 0.75, 0.9)
 RIFS = ("rif25", "rif75", "rif90")
@@ -75,10 +76,11 @@ def group_dummies() -> dict[str, Column]:
     }
 
 
-def model_table(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
-    """Regular employees with every model column, including the influence variables.
+def _regular_employees(prepared: DataFrame, rif_kind: str) -> tuple[DataFrame, Design]:
+    """The model table, and its design with the constants to subtract.
 
-    Percentiles come from all regular employees with a wage, whatever their social group.
+    Means are observed while the table is written, to nine digits, as later ones depend on the order of adding up.  The mean of an
+    influence variable is near its quantile less 1 / (1 - p), or near the quantile itself.
     """
     compared = F.col("Social_group").isin(*COMPARED_GROUPS)
     education = F.col("General_education").cast("int")
@@ -94,40 +96,94 @@ def model_table(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
         **group_dummies(),
     })
     groups = [c.group for c in COMPARISONS]
-    table = materialise(rows.select("log_wage", "Weight", "Social_group", *CORE, "dummy_male", *groups))
-    with_rif, _ = od.add_rif(table, "log_wage", PERCENTILES, kind=rif_kind, cut_lineage=False)
-    return with_rif
+    x = [*CORE, "dummy_male"]
+    table, means = materialise_observed(rows.select("log_wage", "Weight", "Social_group", *x, *groups),
+                                        {n: F.avg(F.col(n).cast("double")) for n in (*WAGE, *x)})
+    with_rif, quantiles = od.add_rif(table, "log_wage", PERCENTILES, kind=rif_kind, cut_lineage=False)
+    for name, (p, q) in zip(RIFS, sorted(quantiles.items())):
+        means[name] = q - 1 / (1 - p) if rif_kind == "reference" else q
+    shift = {n: float(f"{means.get(n) or 0.0:.9g}") for n in (*WAGE, *RIFS, *x)}
+    return with_rif, Design((*WAGE, *RIFS), tuple(x), shift)
+
+
+def model_table(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
+    """Regular employees with every model column, including the influence variables.
 
+    Percentiles come from all regular employees with a wage, whatever their social group.
+    """
+    return _regular_employees(prepared, rif_kind)[0]
 
-def block_moments(table: DataFrame) -> tuple[DataFrame, Design]:
-    """Moment rows by comparison, variable set, weighting and side of the comparison.
 
-    A row enters a block if it has all of the block's columns.  Reference-kind influence variables
-    exist for rows without a wage; the log wage does not.
+def moment_cells(table: DataFrame, plan: Design) -> DataFrame:
+    """``(cell, i, v)``: moment sums of each kind of row, as a cube that all models are rolled up from.
+
+    The kind of a row tells its side in every comparison and which dependent variables it has.  Each row is added to one cell, once
+    weighted and once not: entry 0 is the row count, then the upper triangle with weights, then without.
     """
+    known = [F.when(F.col(c.group).isin(0, 1), F.col(c.group).cast("int")).otherwise(2) for c in COMPARISONS]
+    known += [F.col(name).isNotNull().cast("int") for name in (WAGE[0], RIFS[0])]
+    cell = F.lit(0)
+    for digit in known:
+        cell = cell * 3 + digit
     complete = F.lit(True)
-    for column in (*CORE, "dummy_male"):
+    for column in plan.x:
         complete = complete & F.col(column).isNotNull()
-    has_wage = F.col("log_wage").isNotNull()
-    has_rif = F.col(RIFS[0]).isNotNull()
+    # A missing dependent variable adds nothing to the models that do not use it.
+    rows = table.filter(complete).select(
+        cell.alias("cell"), F.coalesce(F.col("Weight").cast("double"), F.lit(0.0)).alias("w"),
+        *[F.coalesce(F.col(n).cast("double") - F.lit(plan.shift[n]), F.lit(0.0)).alias(n) for n in (*plan.x, *plan.y)])
+    size = len(plan.names)
+    upper = np.triu_indices(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            z = np.column_stack([np.ones(batch.num_rows), *values[2:]])
+            for kind in np.unique(values[0]).tolist():
+                here = values[0] == kind
+                part, w = z[here], values[1][here]
+                each = np.concatenate([[len(w)], ((part * w[:, None]).T @ part)[upper], (part.T @ part)[upper]])
+                sums[kind] = sums.get(kind, 0.0) + each
+        for kind, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), kind), pa.int32()), pa.array(np.arange(len(total)), pa.int32()),
+                                              pa.array(total)], names=["cell", "i", "v"])
+
+    return rows.mapInArrow(run, "cell int, i int, v double").groupBy("cell", "i").agg(F.sum("v").alias("v"))
+
+
+def block_moments(prepared: DataFrame, rif_kind: str = "reference") -> tuple[DataFrame, Design]:
+    """Moment rows by comparison, variable set and weighting, both sides of the comparison next to each other.
+
+    Rolled up from the cells; a cell enters a block if its rows have all of the block's columns.  Reference-kind influence variables
+    exist for rows without a wage; the log wage does not.
+    """
+    table, plan = _regular_employees(prepared, rif_kind)
+    digits = len(COMPARISONS) + 2
+
+    def digit(place: int) -> Column:
+        return F.floor(F.col("cell") / 3 ** (digits - 1 - place)).cast("int") % 3
+
+    length = len(plan.names) * (len(plan.names) + 1) // 2
     blocks = []
-    for c in COMPARISONS:
-        for name, known in (("wage", has_wage), ("rif", has_rif)):
+    for place, c in enumerate(COMPARISONS):
+        for offset, name in enumerate(("wage", "rif")):
             for weighted in (False, True):
-                weight = F.col("Weight") if weighted else F.lit(1.0)
-                blocks.append(F.when(complete & known & F.col(c.group).isin(0, 1), F.struct(
+                first = 1 if weighted else 1 + length
+                index = F.when(F.col("i") == 0, -1).otherwise(F.col("i") - first)
+                inside = (digit(place) < 2) & (digit(len(COMPARISONS) + offset) == 1) & (index >= -1) & (index < length) & (
+                    (F.col("i") == 0) | (F.col("i") >= first))
+                blocks.append(F.when(inside, F.struct(
                     F.lit(c.name).alias("comparison"), F.lit(name).alias("variables"), F.lit(weighted).alias("weighted"),
-                    F.col(c.group).alias("side"), weight.alias("w"))))
-    rows = table.select("*", F.explode(F.array(*blocks)).alias("block")).filter(F.col("block").isNotNull())
-    # A missing log wage adds nothing to the blocks that do not use it.
-    rows = rows.select("block.*", *CORE, "dummy_male", F.coalesce("log_wage", F.lit(0.0)).alias("log_wage"),
-                       *[F.coalesce(r, F.lit(0.0)).alias(r) for r in RIFS])
-    ys = [*WAGE, *RIFS]
-    plan = design(table, ys, [*CORE, "dummy_male"])
-    keys = ["comparison", "variables", "weighted", "side"]
-    sums = gram(rows, plan, "w", keys)
-    sides = sums.groupBy(*keys[:-1]).agg(*[
-        F.max(F.when(F.col("side") == g, F.col(c))).alias(f"{c}{g}") for g in (0, 1) for c in ("n", "moments")])
+                    digit(place).alias("side"), index.alias("index"))))
+    keys = ["comparison", "variables", "weighted"]
+    # From here on a few thousand numbers, whatever the row count.
+    entries = moment_cells(table, plan).select("v", F.explode(F.array_compact(F.array(*blocks))).alias("block")).select("block.*", "v")
+    sums = entries.groupBy(*keys, "side", "index").agg(F.sum("v").alias("v"))
+    sides = sums.groupBy(*keys).agg(*[piece for g in (0, 1) for piece in (
+        F.max(F.when((F.col("side") == g) & (F.col("index") < 0), F.col("v"))).cast("bigint").alias(f"n{g}"),
+        F.transform(F.sort_array(F.collect_list(F.when((F.col("side") == g) & (F.col("index") >= 0), F.struct("index", "v")))),
+                    lambda x: x["v"]).alias(f"moments{g}"))])
     return sides.filter("n0 IS NOT NULL AND n1 IS NOT NULL"), plan
 
 
@@ -189,7 +245,7 @@ def _decompositions(c: Comparison, ys, weighted, first, second) -> list[list]:
 
 def regressions(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
     """All mean and influence-variable regressions; ``indicator`` is the dummy of the first group."""
-    sides, plan = block_moments(model_table(prepared, rif_kind))
+    sides, plan = block_moments(prepared, rif_kind)
     schema = T.StructType([T.StructField("comparison", T.StringType()), T.StructField("weighting", T.StringType()),
                            *rg.COEFFICIENTS.fields])
     return _solve_blocks(sides, plan, schema, _regressions)
@@ -197,7 +253,7 @@ def regressions(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
 
 def decompositions(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
     """All weighted gaps: threefold with details, and the pooled split of the first two wage gaps."""
-    sides, plan = block_moments(model_table(prepared, rif_kind))
+    sides, plan = block_moments(prepared, rif_kind)
     schema = T.StructType([T.StructField("comparison", T.StringType()), T.StructField("split", T.StringType()),
                            *dc.TERMS.fields])
     return _solve_blocks(sides, plan, schema, _decompositions)

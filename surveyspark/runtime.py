@@ -54,6 +54,12 @@ def observed(df: DataFrame, metrics: Mapping[str, Column]) -> tuple[DataFrame, O
     return df.observe(observation, *[c.alias(n) for n, c in metrics.items()]), observation
 
 
+def materialise_observed(df: DataFrame, metrics: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """:func:`materialise`, and aggregates of the rows taken during the write."""
+    watched, observation = observed(df, metrics)
+    return materialise(watched), observation.get
+
+
 class RunFolder:
     """The written tables of one run, with a manifest of what is finished.
 

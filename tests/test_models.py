@@ -116,6 +116,21 @@ def test_percentiles_against_brute_force(spark, data, settings):
     assert got == {0.25: 1.5, 0.5: 2.5, 0.6: 3.0}
 
 
+@pytest.mark.parametrize("ranges", [2, 8])
+def test_percentiles_of_unlike_groups_and_infinite_values(spark, ranges):
+    """A hot group far from the others, infinities at both ends and the largest finite numbers."""
+    rng = np.random.default_rng(8)
+    groups = {"hot": 1e9 + rng.normal(size=400), "low": rng.normal(size=30), None: np.array([-np.inf] * 5 + [1.0, 2.0, 3.0, np.inf]),
+              "wide": np.array([-1.7e308, -1.0, 0.0, 1.0, 1.7e308] * 9), "none": np.array([-np.inf] * 4)}
+    rows = [(g, float(y), float(w)) for g, ys in groups.items() for y, w in zip(ys, rng.uniform(0.5, 2, len(ys)))]
+    df = spark.createDataFrame(rows, "g string, y double, w double").repartition(4)
+    got = {(r["g"], r["p"]): r["value"] for r in od.weighted_percentiles(df, "y", [0.2, 0.5, 0.9], "w", ["g"], ranges=ranges, small_range=10).collect()}
+    for g in groups:
+        y, w = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        for p in (0.2, 0.5, 0.9):
+            assert got[g, p] == brute_percentile(y, w, p)
+
+
 def test_percentiles_with_one_value_on_most_rows(spark):
     rows = [(5.0, 1.0)] * 800 + [(float(v), 1.0) for v in range(10, 110)] + [(-1.0, 1.0)] * 100
     got = od.weighted_percentiles(spark.createDataFrame(rows, "y double, w double"), "y", [0.05, 0.5, 0.95], "w", ranges=8, small_range=10)

@@ -1,5 +1,6 @@
 """Tables against a plain per-slice computation in Python, and the special rules one by one."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,24 @@ def test_crosstab_margins_and_oneway(spark):
     assert rows["x"][0] == 14.0 and rows["y"][2] == pytest.approx(100.0)
     missing = {r["r"]: r["n"] for r in tb.crosstab_counts(df, "r").collect()}
     assert missing == {"a": 2, "b": 1, None: 1}
+
+
+@pytest.mark.parametrize("kind", ["iweight", "aweight"])
+def test_summary_keeps_its_digits(spark, kind):
+    """Means far larger than the spread, groups far from each other, weightless and single rows, in one pass."""
+    rng = np.random.default_rng(4)
+    groups = {"far": 1e9 + rng.normal(size=500), "near": rng.normal(size=300), None: rng.normal(size=40) * 1e-6 - 1e6, "one": np.array([5.0])}
+    rows = [(g, float(x), float(w)) for g, xs in groups.items() for x, w in zip(xs, rng.uniform(0.5, 2, len(xs)))]
+    df = spark.createDataFrame([*rows, ("void", 3.0, 0.0), ("void", 4.0, 0.0), ("far", None, 1.0), ("far", 2.0, None)], "g string, x double, w double").repartition(4)
+    table = tb.weighted_summary(df, "x", "w", ["g"], weight_kind=kind)
+    got = {r["g"]: r for r in table.collect()}
+    for g in ("far", "near", None):
+        x, w = (np.array([r[i] for r in rows if r[0] == g], np.longdouble) for i in (1, 2))
+        mean = (w * x).sum() / w.sum()
+        observations = w.sum() if kind == "iweight" else len(x)
+        sd = np.sqrt((w * (x - mean) ** 2).sum() / w.sum() * observations / (observations - 1))
+        assert got[g]["n"] == len(x) and got[g]["mean"] == pytest.approx(float(mean), rel=1e-13)
+        assert got[g]["sd"] == pytest.approx(float(sd), rel=1e-9) and got[g]["min"] == float(x.min())
+    assert (got["void"]["n"], got["void"]["mean"], got["void"]["sd"]) == (2, None, None)
+    assert (got["one"]["mean"], got["one"]["n"]) == (5.0, 1)
+    assert table._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

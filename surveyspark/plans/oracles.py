@@ -81,6 +81,7 @@ base AS (
     b5pt3q6_perv1 AS Months_principal, b5pt3q7_perv1 AS Months_subsidiary, b5pt3q8_perv1 AS Efforts_to_find_work,
     b5pt3q9_perv1 AS Unemployment_duration, b5pt3q11_perv1 AS Reason_not_working,
     CAST(no_qtr_perv1 AS INT) AS Contributing_quarters, {weight} AS Weight,
+    {quarter} / CAST(no_qtr_perv1 AS DOUBLE) AS Annual_weight,
     b3q2_hhv1 AS Household_type, b3q3_hhv1 AS Religion, b3q4_hhv1 AS Social_group, {spending} AS Household_monthly_spending,
     CASE WHEN {spending} < 0 THEN NULL WHEN {spending} <= 9999 THEN '1' WHEN {spending} <= 19999 THEN '2'
          WHEN {spending} <= 29999 THEN '3' WHEN {spending} <= 39999 THEN '4' WHEN {spending} <= 49999 THEN '5'
@@ -631,6 +632,79 @@ oracle("historical_industry_table", _crosstab("industry", "Gender", "hist", "Lab
 oracle("historical_training_oneway", _oneway("Training_code", "prepared", "Labour_force AND Age >= 15", "Sector_code, Gender", 5),
        _prepared("video"))
 
+# Codes, bands and slices of the historical tables, written out here again.
+_HISTORY = """
+hist_codes AS (SELECT *, left(coalesce(NIC_principal, NIC_subsidiary), 2) AS Industry, coalesce(NCO_principal, NCO_subsidiary) AS Occupation,
+    coalesce(Security_principal, Security_subsidiary) AS Benefits, coalesce(Months_principal, Months_subsidiary) AS Months,
+    CASE WHEN Principal_status IN (11, 12) THEN '1' WHEN Principal_status = 21 THEN '2' WHEN Principal_status = 31 THEN '3'
+         WHEN Principal_status IN (41, 51) THEN '4' WHEN Subsidiary_status IN (11, 12) THEN '1' WHEN Subsidiary_status = 21 THEN '2'
+         WHEN Subsidiary_status = 31 THEN '3' WHEN Subsidiary_status IN (41, 51) THEN '4' END AS Status FROM prepared),
+hist AS (SELECT *, left(Occupation, 1) AS Occupation_division, left(Occupation, 2) AS Occupation_subdivision,
+    CASE WHEN CAST(Industry AS INT) BETWEEN 1 AND 3 THEN '1' WHEN CAST(Industry AS INT) BETWEEN 5 AND 9 THEN '2'
+         WHEN CAST(Industry AS INT) BETWEEN 10 AND 33 THEN '3' WHEN CAST(Industry AS INT) BETWEEN 35 AND 39 THEN '4'
+         WHEN CAST(Industry AS INT) BETWEEN 41 AND 43 THEN '5' WHEN CAST(Industry AS INT) BETWEEN 45 AND 47 THEN '7'
+         WHEN CAST(Industry AS INT) BETWEEN 49 AND 53 THEN '8' WHEN CAST(Industry AS INT) BETWEEN 55 AND 56 THEN '9'
+         WHEN CAST(Industry AS INT) BETWEEN 58 AND 99 THEN '10' ELSE Industry END AS Industry_broad,
+    CASE WHEN CAST(Industry AS INT) BETWEEN 1 AND 3 THEN '1' WHEN CAST(Industry AS INT) BETWEEN 5 AND 43 THEN '6'
+         WHEN CAST(Industry AS INT) BETWEEN 45 AND 99 THEN '11' ELSE Industry END AS Industry_three FROM hist_codes),
+both_weights AS (SELECT *, 'historical' AS weighting, Weight AS w FROM hist UNION ALL SELECT *, 'annual', Annual_weight FROM hist)"""
+_HIST_AGES = {"all": ("All ages", "Age >= 0"), "15": ("15+", "Age >= 15"), "youth": ("15-29", "Age BETWEEN 15 AND 29"), "adult": ("15-59", "Age BETWEEN 15 AND 59")}
+_FLAG = "CAST(CAST({} AS INT) AS VARCHAR)"
+# (table, column, who, ages, group, total, pooled sectors, running, only)
+_HIST_TABLES = [
+    ("lfpr_social_group", _FLAG.format("Labour_force"), "TRUE", ["all"], "Social_group", True, True, False, "1"),
+    ("wpr_social_group", _FLAG.format("Worker"), "TRUE", ["all"], "Social_group", True, True, False, "1"),
+    ("ur_social_group", _FLAG.format("Unemployed"), "Labour_force", ["all"], "Social_group", True, True, False, "1"),
+    ("lfpr_state_youth", _FLAG.format("Labour_force"), "TRUE", ["youth"], "State_code", True, True, False, "1"),
+    ("labour_force_social_group", _FLAG.format("Labour_force"), "TRUE", ["all"], "Social_group", True, True, False, None),
+    ("industry_division", "Industry", "Labour_force", ["all"], None, False, True, False, None),
+    ("industry_broad", "Industry_broad", "Labour_force", ["all"], None, False, True, False, None),
+    ("industry_three", "Industry_three", "Labour_force", ["all"], None, False, True, False, None),
+    ("status_industry_broad", "Status", "Labour_force", ["all", "15"], "Industry_broad", True, True, False, None),
+    ("status_industry_three", "Status", "Labour_force", ["all", "15"], "Industry_three", True, True, False, None),
+    ("status_labour_force", "Status", "Labour_force", ["all"], None, False, True, False, None),
+    ("status_everybody", "Status", "TRUE", ["15"], None, False, True, False, None),
+    ("training_everybody", "Training_code", "TRUE", ["adult"], None, False, True, True, None),
+    ("training_labour_force", "Training_code", "Labour_force", ["15"], None, False, True, True, None),
+    ("occupation_group", "Occupation", "Labour_force", ["all", "15"], None, False, True, False, None),
+    ("status_social_group", "Status", "Labour_force", ["15"], "Social_group", False, True, False, None),
+    ("status_religion", "Status", "Labour_force", ["15"], "Religion", False, True, False, None),
+    ("household_type", "Household_type", "Labour_force", ["15"], None, False, False, False, None),
+] + [(name, column, "Labour_force", ["15"], None, False, True, False, None) for name, column in (
+    ("occupation_division", "Occupation_division"), ("occupation_subdivision", "Occupation_subdivision"), ("benefits", "Benefits"),
+    ("religion", "Religion"), ("social_group", "Social_group"), ("spending_band", "Household_spending_band"), ("marital_status", "Marital_status"),
+    ("attendance", "Attendance_group"), ("training_field", "Training_field"), ("training_duration", "Training_duration"),
+    ("training_type", "Training_type"), ("activity_duration", "Months"), ("search_efforts", "Efforts_to_find_work"),
+    ("unemployment_spell", "Unemployment_duration"), ("reason_not_working", "Reason_not_working"))]
+
+
+def _hist_table(name, column, who, ages, group, total, pooled, running, only):
+    """One statement per age group and, for tables with a total, per grouping."""
+    out = []
+    for age in ages:
+        label, inside = _HIST_AGES[age]
+        for grouping in ([group, "'Total'"] if group and total else [group or "NULL"]):
+            need = f"AND {group} IS NOT NULL" if group else ""
+            sectors = "" if pooled else "WHERE Sector <> 'Rural + Urban'"
+            slice_ = 'PARTITION BY Sector, gender, "group", weighting'
+            out.append(f"""
+SELECT '{name}' AS "table", '{label}' AS Age_group, Sector, gender AS Gender, "group", code, weighting, n, percent, running FROM (
+  SELECT *, {R(f'100 * sw / sum(sw) OVER ({slice_})', 5)} AS percent,
+    {R(f'100 * sum(sw) OVER ({slice_} ORDER BY code) / sum(sw) OVER ({slice_})', 5) if running else 'CAST(NULL AS DOUBLE)'} AS running FROM (
+    SELECT Sector, g.gender AS gender, CAST({grouping} AS VARCHAR) AS "group", {column} AS code, weighting, count(*) AS n, sum(w) AS sw
+    FROM both_weights m JOIN (SELECT * FROM sectors {sectors}) s ON {_OWN_SECTOR} JOIN genders g ON g.gender IN (m.Gender, 'Persons')
+    WHERE {who} AND {inside} AND {column} IS NOT NULL {need} GROUP BY ALL)) {f"WHERE code = '{only}'" if only else ''}""")
+    return " UNION ALL ".join(out)
+
+
+oracle("historical_tables", " UNION ALL ".join(_hist_table(*t) for t in _HIST_TABLES), _prepared("video"), _HISTORY, _SECTORS, _GENDERS)
+oracle("historical_spending_means", f"""
+SELECT Sector, gender AS Gender, n, {R('mean', 4)} AS mean, {R('sqrt(v / (sw - 1))', 4)} AS std_error FROM (
+  SELECT Sector, g.gender AS gender, count(*) AS n, sum(Weight) AS sw, sum(Weight * Household_monthly_spending) / sum(Weight) AS mean,
+    sum(Weight * Household_monthly_spending ** 2) / sum(Weight) - (sum(Weight * Household_monthly_spending) / sum(Weight)) ** 2 AS v
+  FROM prepared m JOIN sectors s ON {_OWN_SECTOR} JOIN genders g ON g.gender IN (m.Gender, 'Persons')
+  WHERE Household_monthly_spending IS NOT NULL GROUP BY ALL)""", _prepared("video"), _SECTORS, _GENDERS)
+
 # --- percentiles and models ----------------------------------------------------------------------
 
 

@@ -25,6 +25,7 @@ from surveyspark.operators import tabulate as tb
 from surveyspark.operators.populations import population, slices
 from surveyspark.plans import adapters as ad
 from surveyspark.plans import catalogue as ct
+from surveyspark.plans import report_tables as rt
 from surveyspark.plans import visits as vs
 from surveyspark.plans import wage_models as wm
 from surveyspark.plans import workflow as wf
@@ -508,6 +509,19 @@ def historical_training_oneway(spark, sf_dir):
                              where=F.col("Labour_force") & (F.col("Age") >= 15)), SUMS)
 
 
+@query
+def historical_tables(spark, sf_dir):
+    """Every table of the historical report in one pass, with the historical and the annual weight side by side."""
+    return rounded(rt.report_tables(_prepared(spark, sf_dir, "video")), SUMS)
+
+
+@query
+def historical_spending_means(spark, sf_dir):
+    """Mean household spending and its standard error, by sector and gender and pooled."""
+    means = rt.spending_means(_prepared(spark, sf_dir, "video"))
+    return rounded(means.select("Sector", "Gender", "n", "mean", "std_error"), 4)
+
+
 # --- percentiles and models ----------------------------------------------------------------------
 
 @query

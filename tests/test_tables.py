@@ -163,7 +163,7 @@ def test_crosstab_margins_and_oneway(spark):
 def test_summary_keeps_its_digits(spark, kind):
     """Means far larger than the spread, groups far from each other, weightless and single rows, in one pass."""
     rng = np.random.default_rng(4)
-    groups = {"far": 1e9 + rng.normal(size=500), "near": rng.normal(size=300), None: rng.normal(size=40) * 1e-6 - 1e6, "one": np.array([5.0])}
+    groups = {"far": 1e9 + rng.normal(size=500), "near": rng.normal(size=300), None: rng.normal(size=40) * 1e-3 - 1e6, "one": np.array([5.0])}
     rows = [(g, float(x), float(w)) for g, xs in groups.items() for x, w in zip(xs, rng.uniform(0.5, 2, len(xs)))]
     df = spark.createDataFrame([*rows, ("void", 3.0, 0.0), ("void", 4.0, 0.0), ("far", None, 1.0), ("far", 2.0, None)], "g string, x double, w double").repartition(4)
     table = tb.weighted_summary(df, "x", "w", ["g"], weight_kind=kind)

@@ -7,10 +7,11 @@ are then made from those cells, whose number depends on the code lists and not o
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -271,34 +272,91 @@ def weighted_summary(df: DataFrame, value: str, weight: str | None = "Weight", b
     """Rows, sum of weights, mean, standard deviation, standard error, minimum and maximum.
 
     ``iweight`` takes the sum of weights as the number of observations; ``aweight`` rescales weights
-    to the number of rows.  Neither is a survey-design standard error.  Means and squares around them are one mergeable
-    state, combined map-side in a single pass, so a mean far larger than the spread costs no digits.
-    Weights must not be negative.  Groups are compared null-safely; without rows there is no summary.
+    to the number of rows.  Neither is a survey-design standard error.  Tasks keep one mergeable state for each group, with squares
+    around its mean, and only states are shuffled: one pass, and a mean far larger than the spread costs no digits.
+    Groups are compared null-safely; without rows there is no summary.
     """
     if weight_kind not in {"iweight", "aweight"}:
         raise ValueError(f"unknown weight kind: {weight_kind}")
     rows = df if where is None else df.filter(where)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    keys = [f"k{i}" for i in range(len(by))]
     rows = rows.filter(F.col(value).isNotNull() & w.isNotNull()).select(
-        F.struct(F.lit(0).alias("all"), *[F.col(b).alias(f"k{i}") for i, b in enumerate(by)]).alias("group"),
-        F.col(value).cast("double").alias("x"), w.alias("w"))
-    # The state refuses groups without any weight, which have no mean here.
-    state = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.array("x")), F.when(F.col("w") == 0, 1e-300).otherwise(F.col("w")))
-    sums = rows.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"),
-        F.min("x").alias("min"), F.max("x").alias("max"), state.alias("state"))
-    weighed = F.col("sum_w") > 0
+        *[F.col(b).alias(k) for b, k in zip(by, keys)], w.alias("w"), F.col(value).cast("double").alias("x"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema[:-2])
+    states = rows.mapInArrow(_states, kinds + ", ".join(f"{c} {'bigint' if c == 'n' else 'double'}" for c in STATE))
+    states = states.select(F.struct(F.lit(0).alias("all"), *keys).alias("group"), *STATE)
+    centre = F.try_divide(F.sum(F.col("sum_w") * F.col("mean")).over(Window.partitionBy("group")), F.sum("sum_w").over(Window.partitionBy("group")))
+    d = F.col("mean") - F.col("centre")
+    sums = states.withColumn("centre", centre).groupBy("group").agg(
+        F.sum("n").alias("n"), F.sum("sum_w").alias("sum_w"), F.first("centre").alias("centre"),
+        F.sum(F.col("sum_w") * d).alias("s1"), F.sum(F.col("squares") + F.col("sum_w") * d * d).alias("s2"),
+        F.min("min").alias("min"), F.max("max").alias("max"))
     observations = F.col("sum_w") if weight_kind == "iweight" else F.col("n").cast("double")
-    # The state's variance is the squares over (sum w - sum w^2 / sum w).
-    spread_ = vector_to_array("state.variance")[0] * (1 - F.try_divide("sum_w2", F.col("sum_w") * F.col("sum_w")))
+    offset = F.try_divide("s1", "sum_w")
+    spread_ = F.try_divide("s2", "sum_w") - offset * offset
     return (
-        sums.withColumn("mean", F.when(weighed, vector_to_array("state.mean")[0]))
-        .withColumn("sd", F.when(weighed, F.sqrt(F.greatest(spread_, F.lit(0.0)) * F.try_divide(observations, observations - 1))))
+        sums.withColumn("mean", F.col("centre") + offset)
+        .withColumn("sd", F.when(F.col("sum_w") > 0, F.sqrt(F.greatest(spread_, F.lit(0.0)) * F.try_divide(observations, observations - 1))))
         .withColumn("std_error", F.try_divide(F.col("sd"), F.sqrt(observations)))
-        .select(*[F.col("group")[f"k{i}"].alias(b) for i, b in enumerate(by)],
+        .select(*[F.col("group")[k].alias(b) for b, k in zip(by, keys)],
                 "n", "sum_w", "mean", "sd", "std_error", "min", "max"))
 
 
+STATE = ("n", "sum_w", "mean", "squares", "min", "max")
+# Groups that a task keeps states of before it hands them on.
+HELD_GROUPS = 50_000
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mergeable states by group: rows, weight, mean, weighted squares around it, ends."""
+    held: dict[tuple, list] = {}
+    keys: pa.Schema | None = None
+
+    def flush() -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], f.type) for i, f in enumerate(keys)]
+        columns += [pa.array([v[i] for v in held.values()], pa.int64() if i == 0 else pa.float64()) for i in range(len(STATE))]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names=[*keys.names, *STATE])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = pa.schema(list(batch.schema)[:-2])
+        code = np.zeros(batch.num_rows, np.int64)
+        for i in range(len(keys)):
+            encoded = pc.dictionary_encode(batch.column(i), null_encoding="encode")
+            code = np.unique(code * len(encoded.dictionary) + encoded.indices.to_numpy(), return_inverse=True)[1]
+        size = int(code.max()) + 1
+        w, x = (batch.column(len(keys) + i).to_numpy() for i in range(2))
+        n, weight = np.bincount(code, minlength=size), np.bincount(code, w, size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # Around the first value of a group, so that sums lose no digits.
+            first = np.zeros(size)
+            first[code[::-1]] = x[::-1]
+            mean = first + np.where(weight != 0, np.bincount(code, w * (x - first[code]), size) / weight, 0.0)
+        squares = np.bincount(code, w * (x - mean[code]) ** 2, size)
+        low, high = np.full(size, np.inf), np.full(size, -np.inf)
+        np.minimum.at(low, code, x)
+        np.maximum.at(high, code, x)
+        one = np.zeros(size, np.int64)
+        one[code[::-1]] = np.arange(len(code))[::-1]
+        names = zip(*[batch.column(i).take(pa.array(one)).to_pylist() for i in range(len(keys))]) if keys.names else [()]
+        for name, *new in zip(names, n.tolist(), weight.tolist(), mean.tolist(), squares.tolist(), low.tolist(), high.tolist()):
+            old = held.get(name)
+            if old is None:
+                held[name] = new
+                continue
+            total, gap = old[1] + new[1], new[2] - old[2]
+            share = new[1] / total if total else 0.0
+            held[name] = [old[0] + new[0], total, old[2] + gap * share, old[3] + new[3] + gap * gap * old[1] * share,
+                          min(old[4], new[4]), max(old[5], new[5])]
+        if len(held) >= HELD_GROUPS:
+            yield flush()
+    if held:
+        yield flush()
+
+
 def mean_interval(summary: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     """Normal interval around the means of :func:`weighted_summary`."""
     return summary.withColumns({"ci_low": F.col("mean") - z * F.col("std_error"),

@@ -248,8 +248,13 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def common_counts(sets: DataFrame) -> DataFrame:
-    """(node, common): how many of a node's n-grams another node has, too."""
+    """(node, common): how many of a node's n-grams another node has, too.
+
+    A bucket of n-grams counts for the nodes in it; counts travel packed, one row for each bucket of n-grams and of nodes.
+    """
     buckets = tx.n_buckets(sets)
+    node_buckets = max(1, buckets // 3)
+    counts = tx.Blobs(node_buckets, ["node", "common"]).schema()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = tx.Blobs(buckets, ["code", "node"])
@@ -274,11 +279,20 @@ def common_counts(sets: DataFrame) -> DataFrame:
         twin[1:] |= same
         twin[:-1] |= same
         nodes, count = np.unique(node[twin], return_counts=True)
-        return pa.table({"node": nodes, "common": count.astype(np.int64)})
+        blobs = tx.Blobs(node_buckets, ["node", "common"])
+        blobs.add(tx.bucket_of(tx.mix(nodes.view(np.uint64)), node_buckets), nodes, count.astype(np.int32))
+        packed = blobs.take()
+        return pa.Table.from_batches([packed]) if packed is not None else pa.table(
+            {"bucket": pa.array([], pa.int32()), "node": pa.array([], pa.binary()), "common": pa.array([], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        node, common = tx.unpack(table, "node", np.int64), tx.unpack(table, "common", np.int32)
+        nodes, place = np.unique(node, return_inverse=True)
+        return pa.table({"node": nodes, "common": np.bincount(place, common, len(nodes)).astype(np.int64)})
 
     return (sets.select("node", "set").mapInArrow(emit, tx.Blobs(buckets, ["code", "node"]).schema())
-            .groupBy("bucket").applyInArrow(meet, "node bigint, common bigint")
-            .groupBy("node").agg(F.sum("common").alias("common")))
+            .groupBy("bucket").applyInArrow(meet, counts)
+            .groupBy("bucket").applyInArrow(add, "node bigint, common bigint"))
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

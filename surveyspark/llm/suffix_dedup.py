@@ -275,14 +275,17 @@ def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rank of each row in byte order, bytes that each ranked row shares with the one before)."""
     width = rows.shape[1]
     # Words of eight bytes, most significant first, sort as the bytes do.
-    padded = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    key = padded.view(">u8").astype(np.uint64)
+    key = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
+    key[:, :width] = rows
+    key = key.view(">u8").astype(np.uint64)
     order = np.lexsort(key.T[::-1])
-    ranked = rows[order]
-    differs = ranked[1:] != ranked[:-1]
-    common = np.full(len(rows), 0, np.int64)
-    common[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    del key
+    common = np.zeros(len(rows), np.int64)
+    # Some rows at a time, so that no second copy of all of them is held.
+    for lo in range(1, len(rows), 1 << 16):
+        hi = min(lo + (1 << 16), len(rows))
+        differs = rows[order[lo:hi]] != rows[order[lo - 1:hi - 1]]
+        common[lo:hi] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
     rank = np.empty(len(rows), np.int64)
     rank[order] = np.arange(len(rows))
     return rank, common

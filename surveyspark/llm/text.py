@@ -210,5 +210,12 @@ class Blobs:
 
 
 def unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
-    """The arrays of all rows, one after another; NULL is an empty one."""
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype)
+    """The arrays of all rows, one after another; NULL is an empty one.  The bytes are copied once at most."""
+    joined = table.column(name).combine_chunks()
+    if isinstance(joined, pa.ChunkedArray):  # over 2 GB
+        return np.concatenate([np.frombuffer(x, dtype) for x in joined.to_pylist() if x] or [np.zeros(0, dtype)])
+    if not len(joined) or joined.buffers()[2] is None:
+        return np.zeros(0, dtype)
+    edge = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset:joined.offset + len(joined) + 1]
+    first, last = int(edge[0]), int(edge[-1])
+    return np.frombuffer(joined.buffers()[2], dtype, (last - first) // np.dtype(dtype).itemsize, first)

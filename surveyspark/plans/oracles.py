@@ -81,7 +81,7 @@ base AS (
     b5pt3q6_perv1 AS Months_principal, b5pt3q7_perv1 AS Months_subsidiary, b5pt3q8_perv1 AS Efforts_to_find_work,
     b5pt3q9_perv1 AS Unemployment_duration, b5pt3q11_perv1 AS Reason_not_working,
     CAST(no_qtr_perv1 AS INT) AS Contributing_quarters, {weight} AS Weight,
-    {quarter} / CAST(no_qtr_perv1 AS DOUBLE) AS Annual_weight,
+    {quarter} / CAST(no_qtr_perv1 AS DOUBLE) AS Annual_weight, CAST(b6q9_perv1 AS DOUBLE) AS wage_regular_salaried,
     b3q2_hhv1 AS Household_type, b3q3_hhv1 AS Religion, b3q4_hhv1 AS Social_group, {spending} AS Household_monthly_spending,
     CASE WHEN {spending} < 0 THEN NULL WHEN {spending} <= 9999 THEN '1' WHEN {spending} <= 19999 THEN '2'
          WHEN {spending} <= 29999 THEN '3' WHEN {spending} <= 39999 THEN '4' WHEN {spending} <= 49999 THEN '5'
@@ -136,7 +136,9 @@ _OWN_SECTOR = "(s.sector_own IS NULL OR s.sector_own = m.Sector_code)"
 
 
 def oracle(name: str, body: str, *ctes: str) -> None:
-    ORACLES[name] = (f"WITH {', '.join(c.strip() for c in ctes)}\n{body}" if ctes else body).strip()
+    """One statement; eliminations are recursive."""
+    recursive = "RECURSIVE " if any("_sweep(" in c for c in ctes) else ""
+    ORACLES[name] = (f"WITH {recursive}{', '.join(c.strip() for c in ctes)}\n{body}" if ctes else body).strip()
 
 
 # --- keys, merges, checks ------------------------------------------------------------------------
@@ -834,6 +836,184 @@ oracle("oaxaca_pooled", _parts(_LEVELS + [
      "+ x2 ** 2 * (vb2 + vb0) + (va2 + va0) + 2 * x2 * (c2 + c0) + (b0 - b2) ** 2 * vx2"),
 ]).replace("FROM gap", "FROM pooled_gap"), _LINE, _WAGES, _SAMPLE, _ols("Age", "Weight", "female"), _gap("Weight"), _STAR, _POOLED_GAP)
 
+
+# --- models with several regressors ---------------------------------------------------------------
+
+def _elimination(name: str, rows: str, keys: list[str], x: list[str], kind: str, least: str = "1e-9") -> str:
+    """Least squares by Gauss-Jordan sweeps of the moment matrix of (1, x, y), shifted to plain means.
+
+    ``rows`` has the keys, w, the columns of x, and y.  The result ``{name}`` holds lists in the order (intercept, x): ``b`` and ``cov`` in original
+    units, ``kept``, means ``xm`` with their covariance ``vm``, and n, r2, ym, vym.  A column whose part not explained by earlier ones is below
+    ``least`` of it is skipped.  ``kind`` says what counts as the number of observations: n or the sum of weights sw.
+    """
+    d, k1 = len(x) + 2, len(x) + 1
+    h = "".join(f"{k}, " for k in keys)
+    by = f"GROUP BY {', '.join(keys)}" if keys else ""
+    join = f"JOIN {name}_shift USING ({', '.join(keys)})" if keys else f"CROSS JOIN {name}_shift"
+    z = ["1.0e0", *[f"({c} - s[{i}])" for i, c in enumerate(x, 1)], f"(y - s[{k1}])"]
+    sums = ", ".join(f"sum(w * {a} * {b})" for a in z for b in z)
+    pivot = f"m[k * {d + 1} + 1]"
+    cell = (f"CASE WHEN p // {d} = k AND p % {d} = k THEN 1 / {pivot} WHEN p // {d} = k THEN m[p + 1] / {pivot} "
+            f"WHEN p % {d} = k THEN -m[p + 1] / {pivot} ELSE m[p + 1] - m[p // {d} * {d} + k + 1] * m[k * {d} + p % {d} + 1] / {pivot} END")
+    good = f"m0[k * {d + 1} + 1] > 0 AND {pivot} > {least} * m0[k * {d + 1} + 1]"
+    return f"""
+{name}_shift AS (SELECT {h}[{', '.join(f'avg({c})' for c in [*x, 'y'])}] AS s FROM {rows} {by}),
+{name}_moments AS (SELECT {h}count(*) AS n, any_value(s) AS s, [{sums}] AS m0 FROM {rows} {join} {by}),
+{name}_sweep(k, {h}n, s, m0, m, kept) AS (
+  SELECT 0, {h}n, s, m0, m0, CAST([] AS BOOLEAN[]) FROM {name}_moments
+  UNION ALL SELECT k + 1, {h}n, s, m0, CASE WHEN {good} THEN list_transform(range({d * d}), lambda p: {cell}) ELSE m END, list_append(kept, {good})
+  FROM {name}_sweep WHERE k < {k1}),
+{name}_solved AS (SELECT *, m0[1] AS sw, len(list_filter(kept, lambda f: f)) AS kk, greatest(m[{d * d}], 0.0e0) AS rss FROM {name}_sweep WHERE k = {k1}),
+{name}_units AS (SELECT *, rss / ({kind} - kk) AS s2, list_prepend(1.0e0, list_transform(s[1:{k1 - 1}], lambda v: -v)) AS back,
+  list_transform(range({k1}), lambda i: CASE WHEN kept[i + 1] THEN m[i * {d} + {d}] ELSE 0.0e0 END) AS b0 FROM {name}_solved),
+{name}_cov AS (SELECT *, list_transform(range({k1 * k1}), lambda p: CASE WHEN kept[p // {k1} + 1] AND kept[p % {k1} + 1]
+  THEN m[p // {k1} * {d} + p % {k1} + 1] * s2 ELSE 0.0e0 END) AS c FROM {name}_units),
+{name}_back AS (SELECT *, list_transform(range({k1}), lambda j: list_sum(list_transform(range({k1}), lambda a: back[a + 1] * c[a * {k1} + j + 1]))) AS row0
+  FROM {name}_cov),
+{name} AS (SELECT {h}n, sw, kept, 1 - rss / (m0[{d * d}] - m0[{d}] ** 2 / sw) AS r2,
+  list_transform(range({k1}), lambda i: CASE WHEN i = 0 THEN s[{k1}] + list_sum(list_transform(range({k1}), lambda a: b0[a + 1] * back[a + 1])) ELSE b0[i + 1] END) AS b,
+  list_transform(range({k1 * k1}), lambda p: CASE WHEN p = 0 THEN list_sum(list_transform(range({k1}), lambda j: row0[j + 1] * back[j + 1]))
+    WHEN p < {k1} THEN row0[p + 1] WHEN p % {k1} = 0 THEN row0[p // {k1} + 1] ELSE c[p + 1] END) AS cov,
+  list_transform(range({k1}), lambda i: CASE WHEN i = 0 THEN 1.0e0 ELSE m0[i + 1] / sw - back[i + 1] END) AS xm,
+  list_transform(range({k1 * k1}), lambda p: CASE WHEN p < {k1} OR p % {k1} = 0 THEN 0.0e0 ELSE
+    (m0[p // {k1} * {d} + p % {k1} + 1] / sw - m0[p // {k1} + 1] / sw * m0[p % {k1} + 1] / sw) / ({kind} - 1) END) AS vm,
+  m0[{d}] / sw + s[{k1}] AS ym, (m0[{d * d}] / sw - (m0[{d}] / sw) ** 2) / ({kind} - 1) AS vym FROM {name}_back)"""
+
+
+def _terms(x: list[str]) -> str:
+    """(i, term) with the intercept at 0."""
+    return "terms(i, term) AS (VALUES " + _values([(i, t) for i, t in enumerate(["_cons", *x])]) + ")"
+
+
+def _coefficients(name: str, head: str, size: int) -> str:
+    error = f"sqrt(greatest(cov[i * {size + 1} + 1], 0))"
+    return f"""
+SELECT {head}term, {R('b[i + 1]')} AS estimate, {R(error)} AS std_error, {R(f'CASE WHEN {error} > 0 THEN b[i + 1] / {error} END')} AS t,
+  NOT kept[i + 1] AS omitted, n, {R('r2')} AS r2 FROM {name} CROSS JOIN terms"""
+
+
+def _quadratic(vector: str, matrix: str, size: int) -> str:
+    return f"list_sum(list_transform(range({size * size}), lambda p: {vector}[p // {size} + 1] * {matrix}[p + 1] * {vector}[p % {size} + 1]))"
+
+
+def _plus(a: str, b: str, size: int, sign: str = "+") -> str:
+    return f"list_transform(range({size}), lambda i: {a}[i + 1] {sign} {b}[i + 1])"
+
+
+def _gap_parts(head: str, source: str, size: int, detail: bool, twofold: bool = False) -> str:
+    """Levels and parts from ``source`` with both sides' lists (suffix 1 and 2), and the pooled ones (suffix s) for a twofold split."""
+    levels = " UNION ALL ".join(
+        f"SELECT {head}'{part}' AS part, '(all)' AS term, {R(value)} AS estimate, {R(f'sqrt({variance})')} AS std_error FROM {source}"
+        for part, value, variance in (("group_1", "ym1", "vym1"), ("group_2", "ym2", "vym2"), ("difference", "ym1 - ym2", "vym1 + vym2")))
+    products = ([("explained", "gap", "gapv", "bs", "cs")] if twofold else
+                [("endowments", "gap", "gapv", "b2", "c2"), ("coefficients", "xm2", "vm2", "slope", "slopev"), ("interaction", "gap", "gapv", "slope", "slopev")])
+
+    def total(left, left_cov, right, right_cov):
+        return f"list_dot_product({left}, {right})", f"({_quadratic(left, right_cov, size)} + {_quadratic(right, left_cov, size)})"
+
+    out = [levels]
+    for part, *names in products:
+        value, variance = total(*names)
+        out.append(f"SELECT {head}'{part}', '(all)', {R(value)}, {R(f'sqrt(greatest({variance}, 0))')} FROM {source}")
+        if detail:
+            left, left_cov, right, right_cov = names
+            at = f"i * {size + 1} + 1"
+            out.append(f"""SELECT {head}'{part}', term, {R(f'{left}[i + 1] * {right}[i + 1]')},
+  {R(f'sqrt(greatest({left}[i + 1] ** 2 * {right_cov}[{at}] + {right}[i + 1] ** 2 * {left_cov}[{at}], 0))')} FROM {source} CROSS JOIN terms""")
+    if twofold:
+        (v1, q1), (v2, q2) = total("xm1", "vm1", "over1", "over1v"), total("xm2", "vm2", "over2", "over2v")
+        out.append(f"SELECT {head}'unexplained', '(all)', {R(f'{v1} + {v2}')}, {R(f'sqrt(greatest({q1}, 0) + greatest({q2}, 0))')} FROM {source}")
+    return " UNION ALL ".join(out)
+
+
+def _both_sides(name: str, fits: str, keys: list[str], side: str, size: int, star: str = "") -> str:
+    """Side 0 and side 1 of ``fits`` next to each other, with what parts are made of."""
+    on = " AND ".join([f"a.{k} = b.{k}" for k in keys] + [f"a.{side} = 0", f"b.{side} = 1"])
+    h = "".join(f"a.{k}, " for k in keys)
+    pooled = f", list_transform(range({size}), lambda i: p.b[i + 1]) AS bs, p.cov AS pc" if star else ""
+    joined = f"JOIN {star} p ON {' AND '.join(f'a.{k} = p.{k}' for k in keys) or 'TRUE'}" if star else ""
+    wide = size + 1
+    more = f""", list_transform(range({size * size}), lambda i: pc[i // {size} * {wide} + i % {size} + 1]) AS cs""" if star else ""
+    over = (f""", {_plus('b1', 'bs', size, '-')} AS over1, {_plus('c1', 'cs', size * size)} AS over1v, {_plus('bs', 'b2', size, '-')} AS over2,
+  {_plus('cs', 'c2', size * size)} AS over2v""" if star else "")
+    return f"""
+{name}_pairs AS (SELECT {h}a.xm AS xm1, b.xm AS xm2, a.vm AS vm1, b.vm AS vm2, a.b AS b1, b.b AS b2, a.cov AS c1, b.cov AS c2, a.ym AS ym1, b.ym AS ym2,
+  a.vym AS vym1, b.vym AS vym2{pooled} FROM {fits} a JOIN {fits} b ON {on} {joined}),
+{name}_stars AS (SELECT *{more} FROM {name}_pairs),
+{name} AS (SELECT *, {_plus('xm1', 'xm2', size, '-')} AS gap, {_plus('vm1', 'vm2', size * size)} AS gapv, {_plus('b1', 'b2', size, '-')} AS slope,
+  {_plus('c1', 'c2', size * size)} AS slopev{over} FROM {name}_stars)"""
+
+
+_MANY = ["Age", "age_sq", "urban", "Line", "Discount"]
+_MANY_ROWS = """many AS (SELECT *, log_wage AS y, Weight AS w, 2 * urban AS twice_urban FROM (SELECT *, Age * Age AS age_sq FROM wages)
+  WHERE log_wage IS NOT NULL AND Age IS NOT NULL AND urban IS NOT NULL AND Line IS NOT NULL AND Discount IS NOT NULL AND Weight IS NOT NULL)"""
+_MANY_X = [*_MANY, "female", "twice_urban"]
+oracle("ols_many_regressors", _coefficients("fit", "'log_wage' AS y, ", len(_MANY_X) + 1), _LINE, _WAGES, _MANY_ROWS,
+       _elimination("fit", "many", [], _MANY_X, "n"), _terms(_MANY_X))
+oracle("oaxaca_detail", _gap_parts("'log_wage' AS y, ", "gap", len(_MANY) + 1, True), _LINE, _WAGES, _MANY_ROWS,
+       _elimination("side", "many", ["female"], _MANY, "n"), _both_sides("gap", "side", [], "female", len(_MANY) + 1), _terms(_MANY))
+
+# The wage models: regular employees by the cascading status, log wages and influence variables.
+_CORE = ["Age", "age_sq", "dummy_primary_below", "dummy_middle", "dummy_secondary", "dummy_higher_secondary", "dummy_graduate_diploma",
+         "dummy_postgraduate", "dummy_urban", "dummy_married"]
+_EMPLOYEES = """
+employees AS (SELECT CASE WHEN wage_regular_salaried > 0 THEN ln(wage_regular_salaried) END AS log_wage, Weight, Age, Age * Age AS age_sq,
+    CAST(coalesce(CAST(General_education AS INT) = 5, FALSE) AS INT) AS dummy_primary_below, CAST(coalesce(CAST(General_education AS INT) = 7, FALSE) AS INT) AS dummy_middle,
+    CAST(coalesce(CAST(General_education AS INT) = 8, FALSE) AS INT) AS dummy_secondary, CAST(coalesce(CAST(General_education AS INT) = 10, FALSE) AS INT) AS dummy_higher_secondary,
+    CAST(coalesce(CAST(General_education AS INT) IN (11, 12), FALSE) AS INT) AS dummy_graduate_diploma,
+    CAST(coalesce(CAST(General_education AS INT) = 13, FALSE) AS INT) AS dummy_postgraduate,
+    CASE Sector_code WHEN '2' THEN 1 WHEN '1' THEN 0 END AS dummy_urban, CASE Marital_status WHEN '2' THEN 1 WHEN '1' THEN 0 END AS dummy_married,
+    CASE Gender_code WHEN '1' THEN 1 WHEN '2' THEN 0 END AS dummy_male, CASE Gender_code WHEN '2' THEN 1 WHEN '1' THEN 0 END AS g_gender,
+    CASE WHEN Social_group IN ('1', '2') THEN 1 WHEN Social_group = '9' THEN 0 END AS g_scst,
+    CASE WHEN Social_group IN ('1', '2') AND Gender_code = '2' THEN 1 WHEN Social_group = '9' AND Gender_code = '1' THEN 0 END AS g_men,
+    CASE WHEN Social_group IN ('1', '2') AND Gender_code = '2' THEN 1 WHEN Social_group = '9' AND Gender_code = '2' THEN 0 END AS g_women
+  FROM prepared WHERE CASE WHEN Principal_status IN (11, 12, 21, 31, 41, 51) THEN Principal_status ELSE Subsidiary_status END = 31)"""
+_INFLUENCE = ", ".join(f"q{i} - CASE WHEN coalesce(log_wage <= q{i}, FALSE) THEN 1 ELSE 0 END / ({p}e0 * (1 - {p}e0)) AS rif{i}" for p, i in zip(_P3, (25, 75, 90)))
+_MODEL_ROWS = f"""
+quantiles AS (SELECT {_Q3}),
+influence AS (SELECT employees.*, {_INFLUENCE} FROM employees, quantiles WHERE Age IS NOT NULL AND dummy_urban IS NOT NULL AND dummy_married IS NOT NULL
+  AND dummy_male IS NOT NULL)"""
+_COMPARED = [  # (name, side, indicator, male dummy, weighting of the wage models, weighting of the others, twofold)
+    ("gender", "g_gender", False, True, ("unweighted", "weighted"), "weighted", True),
+    ("scst_vs_others", "g_scst", True, True, ("unweighted",), "unweighted", True),
+    ("scst_women_vs_general_men", "g_men", True, False, ("unweighted",), "unweighted", False),
+    ("scst_women_vs_general_women", "g_women", True, False, ("unweighted",), "unweighted", False)]
+
+
+def _model_rows(name: str, models) -> str:
+    """Rows of every (comparison, weighting, y): columns that a model does not have are zero, and so left out by the elimination."""
+    parts = []
+    for comparison, side, weighting, y, indicator, male in models:
+        parts.append(f"""SELECT '{comparison}' AS comparison, '{weighting}' AS weighting, '{y}' AS dependent, {side} AS side, {y} AS y,
+  {'Weight' if weighting == 'weighted' else '1.0e0'} AS w, {f'1 - {side}' if indicator else '0'} AS indicator, {', '.join(_CORE)},
+  {'dummy_male' if male else '0'} AS dummy_male FROM influence WHERE {side} IS NOT NULL AND {y} IS NOT NULL""")
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+
+_RIFS = ("rif25", "rif75", "rif90")
+_REGRESSED = [(c, side, weighting, y, indicator, male) for c, side, indicator, male, wages, others, _ in _COMPARED
+              for y, kinds in (("log_wage", wages), *[(r, (others,)) for r in _RIFS]) for weighting in kinds]
+_REG_X = ["indicator", *_CORE, "dummy_male"]
+_HAS = " OR ".join(f"comparison = '{c}'" for c, _, indicator, *_ in _COMPARED if indicator)
+_MEN = " OR ".join(f"comparison = '{c}'" for c, _, _, male, *_ in _COMPARED if male)
+_MODEL_KEYS = ["comparison", "weighting", "dependent"]
+_WAGE_INPUT = (_prepared("video"), _EMPLOYEES, _percentiles("log_wage", "employees", _P3), _MODEL_ROWS)
+oracle("wage_regressions",
+       _coefficients("fit", "comparison, weighting, dependent AS y, ", len(_REG_X) + 1)
+       + f" WHERE (term <> 'indicator' OR {_HAS}) AND (term <> 'dummy_male' OR {_MEN})",
+       *_WAGE_INPUT, _model_rows("models", _REGRESSED), _elimination("fit", "models", _MODEL_KEYS, _REG_X, "sw"), _terms(_REG_X))
+_SPLIT = [(c, side, "weighted", y, False, False) for c, side, *_ in _COMPARED for y in ("log_wage", *_RIFS)]
+_TWOFOLD = " OR ".join(f"comparison = '{c}'" for c, *_, twofold in _COMPARED if twofold)
+_N = len(_CORE) + 1
+oracle("wage_decompositions",
+       _gap_parts("comparison, 'threefold' AS split, dependent AS y, ", "three", _N, True) + " UNION ALL "
+       + _gap_parts("comparison, 'twofold' AS split, dependent AS y, ", "two", _N, False, True),
+       *_WAGE_INPUT, _model_rows("models", _SPLIT),
+       _elimination("side_fit", "models", [*_MODEL_KEYS, "side"], _CORE, "sw"),
+       f"wage_models AS (SELECT * FROM models WHERE dependent = 'log_wage' AND ({_TWOFOLD}))",
+       _elimination("star", "wage_models", _MODEL_KEYS, [*_CORE, "side"], "sw"),
+       _both_sides("three", "side_fit", _MODEL_KEYS, "side", _N), _both_sides("two", "side_fit", _MODEL_KEYS, "side", _N, "star"), _terms(_CORE))
+
 # --- reconciliation ------------------------------------------------------------------------------
 
 

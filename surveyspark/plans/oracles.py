@@ -1088,3 +1088,16 @@ SELECT CAST(l.k AS VARCHAR) AS document, 'Rural' AS Sector, group_label, code, C
   CASE code WHEN '1' THEN n1 WHEN '2' THEN n2 WHEN '3' THEN n3 ELSE n4 END AS printed
 FROM named_logs l CROSS JOIN (VALUES ('Male'), ('Female'), ('Total')) g(name) CROSS JOIN (VALUES ('1'), ('2'), ('3'), ('4')) c(code)
 LEFT JOIN log_read r ON r.k = l.k AND r.name = g.name""", _LOG_LINES)
+
+# --- files ---------------------------------------------------------------------------------------
+
+oracle("coded_csv_read", "SELECT qtr_perv1, b1q1_perv1, b1q15_perv1, b4q1_perv1, b4q6_perv1, b5pt1q5_perv1, b5pt2q3_perv1, b6q9_perv1 FROM persons", _FILES)
+oracle("coded_parquet_read", "SELECT qtr_hhv1, b1q1_hhv1, b1q15_hhv1, state_hhv1, mult_hhv1, b3q3_hhv1, b3q4_hhv1, b3q5pt6_hhv1 FROM households", _FILES)
+oracle("page_texts_read", "SELECT page_id AS page_no, md5(html) AS text_md5 FROM pages")
+oracle("report_written", "SELECT sheet, count(*) AS rows, TRUE AS in_order FROM cells GROUP BY sheet", *_catalogue("annual"))
+oracle("microdata_written", f"SELECT PID, HHID, Status_used, NIC_broad, {R('Weight')} AS Weight FROM prepared", _prepared())
+oracle("label_metadata", """
+SELECT CASE Social_group WHEN '1' THEN 'ST' WHEN '2' THEN 'SC' WHEN '3' THEN 'OBC' WHEN '9' THEN 'Others' END AS label, count(*) AS n
+FROM prepared GROUP BY 1""", _prepared())
+oracle("listed_social_groups", f"SELECT g_scst AS dummy_scst, count(*) AS n, {R('sum(Weight)', 5)} AS weighted FROM employees WHERE g_scst IS NOT NULL GROUP BY 1",
+       _prepared("video"), _EMPLOYEES)

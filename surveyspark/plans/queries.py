@@ -6,10 +6,12 @@ sum is not fixed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from surveyspark import codebook as cb
 from surveyspark.functions import recode, status, weights
@@ -29,8 +31,8 @@ from surveyspark.plans import report_tables as rt
 from surveyspark.plans import visits as vs
 from surveyspark.plans import wage_models as wm
 from surveyspark.plans import workflow as wf
-from surveyspark.runtime import RunFolder
-from surveyspark.sources import sinks
+from surveyspark.runtime import RunFolder, shared_folder
+from surveyspark.sources import coded, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,6 +320,69 @@ def first_rows(spark, sf_dir):
     return sinks.first_rows(persons, ["PID", "HHID", "b4q6_perv1"], ["PID"])
 
 
+# --- files ---------------------------------------------------------------------------------------
+
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/surveyspark-tables/{uuid.uuid4().hex}"
+
+
+def _coded_folder(spark, sf_dir, kind: str) -> str:
+    """Both coded files, written the way they are delivered."""
+    folder = _new_folder(spark)
+    for name, rows in zip(("perv1", "hhv1"), ad.coded_files(spark, sf_dir)):
+        rows.write.format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(f"{folder}/{name}.{kind}")
+    return folder
+
+
+@query
+def coded_csv_read(spark, sf_dir):
+    """Persons read back from a headed CSV file: text with its leading zeros, blanks as NULL."""
+    persons, _ = coded.read_first_visit_files(spark, _coded_folder(spark, sf_dir, "csv"), "csv", wages=True)
+    return persons.select("qtr_perv1", "b1q1_perv1", "b1q15_perv1", "b4q1_perv1", "b4q6_perv1", "b5pt1q5_perv1", "b5pt2q3_perv1", "b6q9_perv1")
+
+
+@query
+def coded_parquet_read(spark, sf_dir):
+    """Households read back from a prepared binary table, with exactly the declared columns."""
+    _, households = coded.read_first_visit_files(spark, _coded_folder(spark, sf_dir, "parquet"), "parquet")
+    return households.select("qtr_hhv1", "b1q1_hhv1", "b1q15_hhv1", "state_hhv1", "mult_hhv1", "b3q3_hhv1", "b3q4_hhv1", "b3q5pt6_hhv1")
+
+
+@query
+def page_texts_read(spark, sf_dir):
+    folder = _new_folder(spark)
+    ad.table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_no"), F.col("html").alias("text"), "url").write.parquet(folder)
+    return coded.read_page_texts(spark, folder).select("page_no", F.md5("text").alias("text_md5"))
+
+
+@query
+def report_written(spark, sf_dir):
+    """The report as written and read back: rows of each sheet, and whether they stand in reading order."""
+    folder = _new_folder(spark)
+    sinks.write_report(ct.report_cells(_prepared(spark, sf_dir)), folder)
+    cells = spark.read.parquet(folder).withColumn("place", F.monotonically_increasing_id())
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(sinks.sheet_order(cells)[1:])])
+    before = F.lag("key").over(Window.partitionBy("sheet").orderBy("place"))
+    ordered = cells.withColumn("key", key).withColumn("fine", F.coalesce(before <= F.col("key"), F.lit(True)))
+    return ordered.groupBy("sheet").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("fine").alias("in_order"))
+
+
+@query
+def microdata_written(spark, sf_dir):
+    folder = _new_folder(spark)
+    sinks.write_microdata(_prepared(spark, sf_dir), folder)
+    return rounded(spark.read.parquet(folder).select("PID", "HHID", "Status_used", "NIC_broad", "Weight"))
+
+
+@query
+def label_metadata(spark, sf_dir):
+    """Persons by social group, named by the labels that the column itself carries."""
+    rows = recode.attach_metadata(_prepared(spark, sf_dir).select("Social_group"), {"Social_group": "Social group"})
+    labels = rows.schema["Social_group"].metadata["value_labels"]
+    name = F.try_element_at(F.create_map(*[F.lit(v) for pair in labels.items() for v in pair]), F.col("Social_group"))
+    return rows.groupBy(name.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- populations and tables ----------------------------------------------------------------------
 
 POPULATIONS = ("All persons", "Workers", "Labour force", "Employees", "Formal trainees in labour force",
@@ -653,6 +718,13 @@ def quantile_optimality(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), *sums).select(F.inline(F.array(*checks)))
 
 
+@query
+def listed_social_groups(spark, sf_dir):
+    """Regular employees of the social groups that the models compare."""
+    rows = wm.model_table(_prepared(spark, sf_dir, "video")).filter(F.col("Social_group").isin(*wm.COMPARED_GROUPS))
+    return rounded(rows.groupBy("dummy_scst").agg(F.count(F.lit(1)).alias("n"), F.sum("Weight").alias("weighted")), SUMS)
+
+
 @query
 def wage_regressions(spark, sf_dir):
     return rounded(wm.regressions(_prepared(spark, sf_dir, "video")))

@@ -108,8 +108,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Rows of ``docs`` without any hit; NULL and wordless texts stay."""
-    bad = (contamination(docs, benchmark, window, shingle).filter("n_hit > 0")
-           .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_row_id"), F.col("text_hash").alias("_row_hash")).distinct())
-    return (docs.withColumns({"_row_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_row_hash": F.xxhash64("text")})
-            .join(bad, ["_row_id", "_row_hash"], "left_anti").drop("_row_id", "_row_hash"))
+    """Rows of ``docs`` without any hit.
+
+    NULL and wordless texts stay, and so do all rows if the benchmark is empty.  Other columns, whatever their names, and repeated rows
+    stay as they are.  An empty table gives no rows.
+    """
+    none = F.lit(-(1 << 63))
+    bad = (contamination(docs.select("doc_id", "text"), benchmark, window, shingle).filter("n_hit > 0")
+           .select(F.coalesce("doc_id", none).alias("row_id"), F.col("text_hash").alias("row_hash")).distinct())
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", none).alias("row_id"),
+                          F.xxhash64("text").alias("row_hash"))
+    kept = carried.join(bad, ["row_id", "row_hash"], "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

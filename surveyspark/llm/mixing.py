@@ -105,10 +105,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """Rows of ``docs`` that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
-    taken = (mix(docs, weights, most, seed).filter("taken > 0")
-             .groupBy("doc_id", "source", "text_hash").agg(
-                 *[F.max(x).alias(f"mix_{x}") for x in ("size", "source_size", "target", "taken")])
-             .withColumnsRenamed({"doc_id": "_id", "source": "_source", "text_hash": "_hash"}))
-    return (docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                      & (F.xxhash64("text") == F.col("_hash"))).drop("_id", "_source", "_hash"))
+    """Rows of ``docs`` that the mix takes, with mix_size, mix_source_size, mix_target and mix_taken (words, repeats counted).
+
+    NULL sources, NULL and empty texts and repeated rows are treated as in :func:`mix`; rows without words are never taken.  Other
+    columns stay, except that one named like an added column gives way to it.  An empty table gives no rows.
+    """
+    added = [f"mix_{x}" for x in ("size", "source_size", "target", "taken")]
+    taken = (mix(docs.select("doc_id", "source", "text"), weights, most, seed).filter("taken > 0")
+             .groupBy(*[F.col(c).alias(f"in_{c}") for c in ("doc_id", "source", "text_hash")])
+             .agg(*[F.max(x[4:]).alias(x) for x in added]))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    same = [F.col(c).eqNullSafe(F.col(f"in_{c}")) for c in ("doc_id", "source")]
+    joined = carried.join(taken, same[0] & same[1] & (F.col("text_hash") == F.col("in_text_hash")))
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)

@@ -445,7 +445,8 @@ def component_ids(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row of each component: the smallest doc_id, of rows that repeat it the smallest text hash.
 
-    Wordless rows stay; rows that repeat both doc_id and text are one row.
+    NULL, empty and other wordless texts stay; rows that repeat both doc_id and text are one row, with the other columns of any of
+    them.  Other columns stay, whatever their names.  An empty table gives no rows.
     """
     rows, components = linked_classes(docs, size, percent)
     placed = (rows.filter("node is not null").join(components, "node", "left")
@@ -454,7 +455,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     chosen = (placed.groupBy("component").agg(F.min(F.struct("order", "row_hash", "doc_id")).alias("row"))
               .select("row.doc_id", "row.row_hash")
               .unionByName(rows.filter("node is null").select("doc_id", "row_hash").distinct())
-              .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_row_id"), F.col("row_hash").alias("_row_hash")))
-    mine = docs.withColumns({"_row_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_row_hash": F.xxhash64("text")})
-    return (mine.join(chosen, ["_row_id", "_row_hash"], "left_semi").dropDuplicates(["_row_id", "_row_hash"])
-            .drop("_row_id", "_row_hash"))
+              .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row_id"), "row_hash"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row_id"),
+                          F.xxhash64("text").alias("row_hash"))
+    kept = carried.join(chosen, ["row_id", "row_hash"], "left_semi").dropDuplicates(["row_id", "row_hash"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

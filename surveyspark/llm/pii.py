@@ -1,13 +1,14 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Base spans come from fixed patterns and always stay.  Further candidates are looser look-alikes of the same
-kinds: grouped digits that fail the card check, numbers that look like phones without a plus, dotted quads with
-impossible parts, and e-mail addresses whose at sign is spelled out.  Labelers of three sorts vote on every candidate, for, against or not
+kinds: numbers that look like phones without a plus, and e-mail addresses whose at sign is spelled out.  Labelers of three sorts vote on every candidate, for, against or not
 at all: *regex* ones on its form, *gazetteer* ones on words beside it, and *context* ones on what surrounds it.
 
-Votes are counted by pattern over all documents; there are at most 3 ** labelers patterns of a kind, so the
-expectation-maximisation that estimates the labelers' reliabilities runs on counts.  Its posteriors train a logistic
-span classifier on a few yes-or-no features, again on counts.  The classifier decides about candidates.
+No labeler knows which pattern found a span.  Votes are counted over all documents by pattern and by the span's own
+characters, a bounded number of kinds, so the expectation-maximisation that estimates the labelers' reliabilities runs on
+counts; base spans are its known positives, spans that fail the check of their kind (card digits, parts of an address) its known
+negatives.  Its posteriors train a logistic span classifier on votes, characters and
+neighbours of the span, again on counts.  The classifier decides about candidates.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyspark.runtime import materialise
 
@@ -35,7 +37,14 @@ GAZETTEER = {
 # Words beside numbers that are no personal data.
 PLAIN = ("page", "version", "isbn", "section", "chapter", "figure", "table", "seite", "capítulo", "chapitre")
 LABELERS = 6
+# Yes-or-no features of a span's own characters and neighbours.
+SHAPES = 9
 CERTAIN = 0.9
+# Spans of the fixed patterns that pass or fail the check of their kind, and candidates; what EM takes the first two for.
+OPEN, GOOD, FAILED = 0, 1, 2
+KNOWN = {GOOD: 0.98, FAILED: 0.02}
+# Votes of each sort that false spans are taken to have beside those seen.
+UNSEEN = 10
 
 _EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -46,6 +55,9 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\])\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]{2,63}){1,4}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+)*"
+                      r"\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z]{2,24}")
+_GROUPED = re.compile(r"([0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{13,19}|(\+[0-9]{1,3} )?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 
 
@@ -77,7 +89,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     """(kept, failed) spans of the fixed patterns as (kind, start, end)."""
     kept, failed = [(0, a, b) for a, b in emails(text)], []
     for m in _IP.finditer(text):
-        fine = all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))
+        fine = all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split("."))
         (kept if fine else failed).append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -90,37 +102,58 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return kept, failed
 
 
-def candidates(text: str, failed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Looser look-alikes: failed base matches, spelled-out addresses, phones without a plus."""
-    out = list(failed)
+def candidates(text: str, kept: list[tuple[int, int, int]], failed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Looser look-alikes: spelled-out addresses, phones without a plus; none that is part of a span of the fixed patterns."""
+    out = []
     if "(at)" in text or "[at]" in text:
         out += [(0, *m.span()) for m in _SPELLED.finditer(text)]
     out += [(3, *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-    return sorted(set(out))
+    if not out:
+        return out
+    taken = [(a, b) for _, a, b in (*kept, *failed)]
+    return sorted(s for s in set(out) if not any(a < s[2] and s[1] < b for a, b in taken))
 
 
-def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int, ...]:
-    """Six labelers, each 1 for, 0 against, -1 without opinion."""
+def well_formed(kind: int, span: str, digits: int) -> int:
+    """What the form of a span says by itself, however it was found."""
+    if kind == 0:
+        return int(bool(_ADDRESS.fullmatch(span)))
+    if kind == 1:
+        return int(all(len(x) <= 3 and int(x) <= 255 for x in span.split(".")))
+    if kind == 2:
+        return int(13 <= digits <= 19 and luhn("".join(c for c in span if "0" <= c <= "9")))
+    return 1 if 9 <= digits <= 15 else -1 if 7 <= digits <= 8 else 0
+
+
+def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
+    """Six labelers, each 1 for, 0 against, -1 without opinion: two on form, two by word lists, two on what surrounds the span."""
     span = text[start:end]
     before, after = text[max(0, start - REACH):start], text[end:end + REACH]
     near = {w.lower() for w in _WORD.findall(before)[-4:]} | {w.lower() for w in _WORD.findall(after)[:2]}
     digits = sum("0" <= c <= "9" for c in span)
-    form = 1 if base else 0
-    grouped = -1 if kind < 2 else int(bool(re.fullmatch(r"(\d{4}[ -]){3}\d{1,7}|\d{13,19}|\+\d{1,3} \(?\d{2,4}\)?[ -]\d{3,4}[ -]\d{3,4}", span)))
+    grouped = -1 if kind < 2 else int(bool(_GROUPED.fullmatch(span)))
     named = 1 if near & set(GAZETTEER[KINDS[kind]]) else -1
     plain = 0 if near & set(PLAIN) else -1
     alone = 0 if (before[-1:].isalnum() and kind) or after[:1].isalnum() else 1
-    in_digits = 0 if len(re.findall(r"\d", before[-10:] + after[:10])) > 2 or digits > 19 else (1 if form else -1)
-    return form, grouped, named, plain, alone, in_digits
+    in_digits = 0 if len(re.findall(r"[0-9]", before[-10:] + after[:10])) > 2 or digits > 19 else 1
+    return well_formed(kind, span, digits), grouped, named, plain, alone, in_digits
+
 
+def shape(text: str, start: int, end: int) -> int:
+    """Characters of the span and its neighbours, one bit each."""
+    span, left, right = text[start:end], text[start - 1:start] if start else "", text[end:end + 1]
+    bits = ("(" in span, "." in span, "-" in span, " " in span, any(c.isalpha() for c in span), sum(c.isdigit() for c in span) >= 12,
+            len(span) > 24, not left or left.isspace(), not right or right.isspace() or right in ".,;:!?)")
+    return sum(1 << i for i, bit in enumerate(bits) if bit)
 
-SPAN = "array<struct<kind:int,start:int,end:int,pattern:int,base:boolean>>"
+
+SPAN = "array<struct<kind:int,start:int,end:int,pattern:int,shape:int,sort:int,base:boolean>>"
 
 
 def found_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and all spans of each text, with the pattern of votes."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    item = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32()), ("base", pa.bool_())])
+    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(f"spans {SPAN}").fields])
+    item = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32()), ("shape", pa.int32()), ("sort", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,45 +161,61 @@ def found_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
             for value in batch.column(len(keep)):
                 text = value.as_py() or ""
                 kept, failed = base_spans(text)
-                rows = [(s, True) for s in kept] + [(s, False) for s in candidates(text, failed)]
+                rows = [(s, GOOD) for s in kept] + [(s, FAILED) for s in failed] + [(s, OPEN) for s in candidates(text, kept, failed)]
                 found.append([
-                    {"kind": k, "start": a, "end": b, "base": base,
-                     "pattern": sum((v + 1) * 3 ** i for i, v in enumerate(votes(text, k, a, b, base)))}
-                    for (k, a, b), base in rows])
+                    {"kind": k, "start": a, "end": b, "sort": sort, "base": sort == GOOD, "shape": shape(text, a, b),
+                     "pattern": sum((v + 1) * 3 ** i for i, v in enumerate(votes(text, k, a, b)))}
+                    for (k, a, b), sort in rows])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(item))], names=[*keep, "spans"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, spans {SPAN}")
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def unpacked(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(LABELERS) % 3 - 1
 
 
-def reliabilities(kind: np.ndarray, pattern: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.ndarray:
+def reliabilities(kind: np.ndarray, pattern: np.ndarray, sort: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior of each (kind, pattern) after EM over the labelers' rates of voting for true and false spans.
 
-    Starts from the majority of votes; counts are smoothed by one, so a labeler that never votes has no say.
+    Candidates start from the majority of votes; spans that pass or fail the check of their kind are known.  Counts are smoothed, by one for true spans and by more for
+    false ones, which are of more sorts than a corpus shows; a labeler that never votes has no say.
     """
     vote = unpacked(pattern)
     opinions = (vote >= 0).sum(axis=1)
     p = np.clip(((vote == 1).sum(axis=1) + 0.5) / (opinions + 1), 0.05, 0.95)
+    for known, value in KNOWN.items():
+        p[sort == known] = value
+    given = p.copy()
     for _ in range(rounds):
         log = np.zeros((len(p), 2))
-        for k in np.unique(kind):
-            mine = kind == k
-            prior = ((count * p)[mine].sum() + 1) / (count[mine].sum() + 2)
-            log[mine] += np.log([1 - prior, prior])
+        prior = ((count * p).sum() + 1) / (count.sum() + 2)
+        log += np.log([1 - prior, prior])
         for j in range(LABELERS):
-            for truth, weight in ((1, count * p), (0, count * (1 - p))):
-                rates = np.array([weight[vote[:, j] == v].sum() + 1 for v in (-1, 0, 1)])
+            for truth, weight, unseen in ((1, count * p, 1), (0, count * (1 - p), UNSEEN)):
+                rates = np.array([weight[vote[:, j] == v].sum() + unseen for v in (-1, 0, 1)])
                 log[:, truth] += np.log(rates / rates.sum())[vote[:, j] + 1]
-        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+        p = np.where(sort != OPEN, given, 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50))))
     return p
 
 
-def features(kind: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+def features(kind: np.ndarray, pattern: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Intercept, kind, votes for, votes against, characters."""
     vote = unpacked(pattern)
-    return np.hstack([np.ones((len(kind), 1)), kind[:, None] == np.arange(len(KINDS))[None, :], vote == 1, vote == 0]).astype(float)
+    return np.hstack([np.ones((len(kind), 1)), kind[:, None] == np.arange(len(KINDS))[None, :], vote == 1, vote == 0,
+                      shapes[:, None] >> np.arange(SHAPES) & 1]).astype(float)
+
+
+def decision(s: Column, w: np.ndarray) -> Column:
+    """The classifier's score of a span, from its votes and characters."""
+    k = len(KINDS)
+    out = F.lit(float(w[0])) + F.element_at(F.array(*[F.lit(float(v)) for v in w[1:1 + k]]), s["kind"] + 1)
+    for j in range(LABELERS):
+        vote = F.floor(s["pattern"] / 3 ** j) % 3
+        out = out + F.when(vote == 2, float(w[1 + k + j])).when(vote == 1, float(w[1 + k + LABELERS + j])).otherwise(0.0)
+    for j in range(SHAPES):
+        out = out + F.when(s["shape"].bitwiseAND(F.lit(1 << j)) > 0, float(w[1 + k + 2 * LABELERS + j])).otherwise(0.0)
+    return out
 
 
 def classifier(x: np.ndarray, p: np.ndarray, count: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -189,31 +238,28 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), certain:
     """
     spark = docs.sparkSession
     found = materialise(found_spans(docs, list(keep)))
-    counts = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.pattern").agg(F.count(F.lit(1)).alias("n")).collect()
-    accepted = []
-    if counts:
-        kind, pattern, n = (np.array([r[i] for r in counts]) for i in range(3))
-        x = features(kind, pattern)
-        w = classifier(x, reliabilities(kind, pattern, n.astype(float)), n.astype(float))
-        sure = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) >= certain
-        accepted = [int(k) * 3 ** LABELERS + int(m) for k, m in zip(kind[sure], pattern[sure])]
-    ok = (F.lit(False) if not accepted else
-          lambda s: (s["kind"] * 3 ** LABELERS + s["pattern"]).isin(accepted))
+    counts = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.pattern", "s.shape", "s.sort").agg(F.count(F.lit(1)).alias("n")).collect()
     base = F.filter("spans", lambda s: s["base"])
-    more = F.filter("spans", lambda s: ~s["base"] & (ok(s) if accepted else F.lit(False)) & ~F.exists(
-        F.filter("spans", lambda b: b["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.filter("spans", lambda s: F.lit(False))
+    if any(r["sort"] == OPEN for r in counts):
+        kind, pattern, shapes, sort, n = (np.array([r[i] for r in counts]) for i in range(5))
+        w = classifier(features(kind, pattern, shapes), reliabilities(kind, pattern, sort, n.astype(float)), n.astype(float))
+        line = float(np.log(certain / (1 - certain)))
+        more = F.filter("spans", lambda s: (s["sort"] == OPEN) & (decision(s, w) >= line) & ~F.exists(
+            F.filter("spans", lambda b: b["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     every = F.array_sort(F.transform(F.concat(base, more), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
     return found.select(*keep, every.alias("spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets, and n_chars counted anew.
+    """``docs`` with every span of ``text`` replaced by its kind in brackets, and n_chars, if there, counted anew.
 
-    A NULL text stays NULL.
+    A NULL text stays NULL.  Other columns, whatever their names, and repeated rows stay as they are.  An empty table gives no rows.
     """
     columns = docs.columns
-    spans = personal_data(docs, tuple(columns))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
+    spans = personal_data(carried, ("row", "text"))
     at = F.transform(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
                      lambda s: s)
     zero = F.struct(F.lit(0).alias("done"), F.lit("").alias("out"))
@@ -225,6 +271,6 @@ def masked(docs: DataFrame) -> DataFrame:
     rest = F.concat(F.col("walk.out"), F.substring("text", F.col("walk.done") + 1, F.length("text")))
     text = F.when(F.size("spans") > 0, rest).otherwise(F.col("text"))
     out = spans.withColumn("walk", walk).withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    new = {"text": F.col("text"), "n_chars": F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))
+           if "n_chars" in columns else None}
+    return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns])

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyspark.llm import text as tx
 
@@ -94,8 +95,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     for value in (0, 1):
         half = fine.filter(F.col("quality") == value).orderBy(*order).limit(size // 2)
         picked = half if picked is None else picked.unionByName(half)
-    # At most ``size`` pairs of numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text")
+    # At most ``size`` pairs of numbers, and one text for each: rows that repeat a doc_id count once.
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("quality", "text")
 
 
 class Space:
@@ -152,7 +154,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     space = Space(x, np.array([r["quality"] for r in rows], np.int64), share)
     shared = docs.sparkSession.sparkContext.broadcast(vars(space))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = shared.value
@@ -162,10 +164,15 @@ def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
             value = vote(parts, space.place(features(data, offsets)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value.astype(np.float64))], names=[*keep, "score"])
 
-    return docs.select(*keep, tx.utf8().alias("_bytes")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*keep, tx.utf8().alias("_bytes")).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that score at least ``threshold``."""
-    columns = docs.columns
-    return scores(docs, labels, tuple(columns)).filter(F.col("score") >= threshold).select(*columns)
+    """Rows of ``docs`` that score at least ``threshold``.
+
+    NULL and empty texts score like a text without features; without labelled rows all rows score 0.5.  Other columns, whatever their
+    names, and repeated rows stay as they are.  An empty table gives no rows.
+    """
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    kept = scores(carried, labels, ("row",)).filter(F.col("score") >= threshold)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

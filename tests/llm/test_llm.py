@@ -234,6 +234,57 @@ def test_personal_data(spark):
     assert out[1].startswith("mail [EMAIL], c@d and [IP]") and out[2] is None and out[4] == "[CARD] [PHONE]"
 
 
+def test_personal_data_adds_what_labelers_agree_on(spark):
+    """A local phone and a spelled-out address are added; version numbers, failed card checks and hashes are not."""
+    texts = [f"word {i} write to a{i}.b@mail{i}.example.com or call +1 ({200 + i}) 555-{1000 + i} today, host 10.0.{i}.7 there" for i in range(60)]
+    texts += [f"number 4111 1111 1111 {1000 + i} of nothing" for i in range(40)] + [f"table 12{i}.3.400.500 and 999.{i}.1.300" for i in range(40)]
+    extra = ["please call 212 555 0147 soon", "please write to jane(at)site(dot)org soon", "see version 2031 4410 2210 here", "mail me jim [at] corp.co.uk",
+             "in chapter 12.345.6789 of it"]
+    docs = spark.createDataFrame(list(enumerate(extra + texts)), "doc_id bigint, text string").repartition(3)
+    added = {r.doc_id: [extra[r.doc_id][s.start:s.end] for s in r.spans if not s.base] for r in pii.personal_data(docs).collect() if r.doc_id < 5}
+    assert added == {0: ["212 555 0147"], 1: ["jane(at)site(dot)org"], 2: [], 3: ["jim [at] corp.co.uk"], 4: []}
+    more = [s for r in pii.personal_data(docs).collect() if r.doc_id >= 5 for s in r.spans if not s.base]
+    assert more == []
+
+
+def test_personal_data_edges(spark):
+    rows = [(None, "0" * 5000 + "1.2.3.4", 1, "w"), (2, None, 2, None), (2, "", 3, "x"), (2, "a@b.c", 4, "y"), (2, "a@b.c", 4, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans int, walk string")
+    out = sorted(map(tuple, pii.masked(docs).collect()), key=str)
+    assert out == sorted([(None, "[IP]", 1, "w"), (2, None, 2, None), (2, "", 3, "x"), (2, "[EMAIL]", 4, "y"), (2, "[EMAIL]", 4, "y")], key=str)
+    assert pii.masked(docs.limit(0)).collect() == [] and pii.personal_data(docs.limit(0)).collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like ones used inside, odd names, repeated rows and empty tables."""
+    names = ["row", "score", "_bytes", "spans", "walk", "_id", "_source", "_hash", "mix_size", "_row_id", "_row_hash", "row_id", "text_hash", "a b.c"]
+    rows = [(i, t, s, *[f"{n}{i}" for n in names]) for i, t, s in (
+        (1, SHARED + " one", "a"), (2, None, None), (3, "", "b"), (4, "calm words about x@y.org and more of them", "b"), (None, "no id here", "a"),
+        (5, "calm words about nothing at all", "b"), (5, "calm words about nothing at all", "b"))]
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    benchmark = spark.createDataFrame([("q1", SHARED)], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1), (5, 1)], "doc_id bigint, quality int")
+    stages = {"quality": lambda d: quality.accepted(d, labels, 0.0), "near": lambda d: ngram_join.keep_one(d, 5, 80),
+              "clean": lambda d: decontaminate.without_contaminated(d, benchmark), "masked": pii.masked, "mixed": mixing.mixed}
+    kept = {"quality": 7, "near": 6, "clean": 6, "masked": 7, "mixed": 4}  # the mix takes less than all of b
+    for name, stage in stages.items():
+        out = stage(docs)
+        got = out.collect()
+        lost = {"mix_size"} if name == "mixed" else set()
+        assert set(docs.columns) - lost <= set(out.columns) and len(set(out.columns)) == len(out.columns), name
+        assert len(got) == kept[name], name
+        for r in got:
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names if n not in lost), name
+        assert stage(docs.limit(0)).collect() == [], name
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id bigint, quality int")
+    assert quality.sample(docs, labels, 10).count() <= 3
+
+
 def test_quality(spark):
     good = [(i, f"Some calm words about number {i}. They go on and end well.") for i in range(0, 200, 2)]
     bad = [(i, "BUY!! NOW!! " * 9) for i in range(1, 200, 2)]

@@ -9,7 +9,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from surveyspark.llm import simhash as sh
-from surveyspark.llm.components import connected_components
 
 
 def plain_print(text):
@@ -32,15 +31,14 @@ def groups(prints, distance=3):
 
 def found(spark, prints, **options):
     rows = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "print bigint").repartition(3)
-    edges = sh.links(rows, **options)
-    for a, b in edges.collect():
-        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= options.get("distance", 3)
-    named = dict(connected_components(edges).collect())
-    out = {}
-    for p in prints:
-        signed = int(np.uint64(p).astype(np.int64))
-        out.setdefault(named.get(signed, signed), set()).add(p)
-    return set(map(frozenset, out.values()))
+    group = {p: p for p in prints}
+    for a, b in sh.links(rows, **options).collect():
+        a, b = (int(x) & (1 << 64) - 1 for x in (a, b))
+        assert (a ^ b).bit_count() <= options.get("distance", 3)
+        if group[a] != group[b]:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {p: new if g == old else g for p, g in group.items()}
+    return {frozenset(p for p in prints if group[p] == g) for g in set(group.values())}
 
 
 @pytest.mark.parametrize("group, distance", [(4096, 3), (8, 3), (8, 2), (3, 1), (4096, 0)])
@@ -63,13 +61,17 @@ def test_links(spark, group, distance):
 
 def test_every_distance_is_met(spark):
     rng = random.Random(8)
-    base = rng.getrandbits(64)
-    for bits in [(0, 1, 2), (0, 1, 40), (0, 40, 41), (40, 41, 63), (31, 32, 33), (5,), (63, 62), ()]:
-        other = base
+    # Pairs far apart from each other, in one table.
+    prints, pairs = set(), []
+    for bits in [(0, 1, 2), (0, 1, 40), (0, 40, 41), (40, 41, 63), (31, 32, 33), (5,), (63, 62), (), (0, 1, 2, 3)]:
+        one = other = rng.getrandbits(64)
         for b in bits:
             other ^= 1 << b
-        assert len(found(spark, {base, other})) == 1
-    assert len(found(spark, {base, base ^ 0b1111})) == 2
+        pairs.append((one, other))
+        prints |= {one, other}
+    classes = found(spark, prints)
+    together = [any({a, b} <= c for c in classes) for a, b in pairs]
+    assert together == [True] * 8 + [False]
 
 
 def test_long_text_in_blocks(monkeypatch):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark import codebook as cb
@@ -123,14 +123,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _flag() -> Column:
+    """Largest return flag of a group as a number: the maximum of a text would need a sorting aggregate."""
+    return F.max(F.ascii("l_returnflag")).alias("flag_code")
+
+
+def _named_flag(base: DataFrame) -> DataFrame:
+    return base.withColumn("flag", F.char("flag_code")).drop("flag_code")
+
+
 def coded_files(spark: SparkSession, sf_dir: str, matched_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(persons, households)`` as coded text; optionally with the orders that have no line item."""
     lineitem, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     units = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     base = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_partkey").alias("pk"), F.max("l_suppkey").alias("sk"),
-        F.max("l_extendedprice").alias("price"), F.max("l_returnflag").alias("flag"))
-    base = base.select("*", *[F.expr(text).alias(name) for name, text in PERSON_STAGE.items()])
+        F.max("l_extendedprice").alias("price"), _flag())
+    base = _named_flag(base).select("*", *[F.expr(text).alias(name) for name, text in PERSON_STAGE.items()])
     persons = base.join(units, F.col("l_orderkey") == F.col("o_orderkey"))
     if matched_only:
         units = units.join(lineitem.select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"),
@@ -166,7 +175,8 @@ def visit_files(spark: SparkSession, sf_dir: str, repeats: bool = True) -> tuple
     base = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
                            F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"))
     if not repeats:
-        base = base.groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("pk", "sk", "price", "flag")])
+        base = _named_flag(base.withColumnRenamed("flag", "l_returnflag").groupBy("l_orderkey", "l_linenumber").agg(
+            *[F.max(c).alias(c) for c in ("pk", "sk", "price")], _flag()))
     again = base.join(units, F.col("l_orderkey") == F.col("o_orderkey"))
     return ({"first": households, "revisit": units.select(*[F.expr(text).alias(name) for name, text in REVISIT_HOUSEHOLD.items()])},
             {"first": persons, "revisit": again.select(*[F.expr(text).alias(name) for name, text in REVISIT_PERSON.items()])})

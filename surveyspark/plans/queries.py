@@ -721,7 +721,7 @@ def quantile_optimality(spark, sf_dir):
 @query
 def listed_social_groups(spark, sf_dir):
     """Regular employees of the social groups that the models compare."""
-    rows = wm.model_table(_prepared(spark, sf_dir, "video")).filter(F.col("Social_group").isin(*wm.COMPARED_GROUPS))
+    rows = wm.regular_employees(_prepared(spark, sf_dir, "video"))[0].filter(F.col("Social_group").isin(*wm.COMPARED_GROUPS))
     return rounded(rows.groupBy("dummy_scst").agg(F.count(F.lit(1)).alias("n"), F.sum("Weight").alias("weighted")), SUMS)
 
 

@@ -76,12 +76,8 @@ def group_dummies() -> dict[str, Column]:
     }
 
 
-def _regular_employees(prepared: DataFrame, rif_kind: str) -> tuple[DataFrame, Design]:
-    """The model table, and its design with the constants to subtract.
-
-    Means are observed while the table is written, to nine digits, as later ones depend on the order of adding up.  The mean of an
-    influence variable is near its quantile less 1 / (1 - p), or near the quantile itself.
-    """
+def regular_employees(prepared: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Regular employees with the model columns, written once, and the means of these columns."""
     compared = F.col("Social_group").isin(*COMPARED_GROUPS)
     education = F.col("General_education").cast("int")
     rows = prepared.filter(status.cascaded_broad_status() == "3").withColumns({
@@ -97,8 +93,18 @@ def _regular_employees(prepared: DataFrame, rif_kind: str) -> tuple[DataFrame, D
     })
     groups = [c.group for c in COMPARISONS]
     x = [*CORE, "dummy_male"]
-    table, means = materialise_observed(rows.select("log_wage", "Weight", "Social_group", *x, *groups),
-                                        {n: F.avg(F.col(n).cast("double")) for n in (*WAGE, *x)})
+    return materialise_observed(rows.select("log_wage", "Weight", "Social_group", *x, *groups),
+                                {n: F.avg(F.col(n).cast("double")) for n in (*WAGE, *x)})
+
+
+def _with_influence(prepared: DataFrame, rif_kind: str) -> tuple[DataFrame, Design]:
+    """The model table with influence variables, and its design with the constants to subtract.
+
+    Constants are means to nine digits, as later ones depend on the order of adding up.  The mean of an
+    influence variable is near its quantile less 1 / (1 - p), or near the quantile itself.
+    """
+    table, means = regular_employees(prepared)
+    x = [*CORE, "dummy_male"]
     with_rif, quantiles = od.add_rif(table, "log_wage", PERCENTILES, kind=rif_kind, cut_lineage=False)
     for name, (p, q) in zip(RIFS, sorted(quantiles.items())):
         means[name] = q - 1 / (1 - p) if rif_kind == "reference" else q
@@ -111,7 +117,7 @@ def model_table(prepared: DataFrame, rif_kind: str = "reference") -> DataFrame:
 
     Percentiles come from all regular employees with a wage, whatever their social group.
     """
-    return _regular_employees(prepared, rif_kind)[0]
+    return _with_influence(prepared, rif_kind)[0]
 
 
 def moment_cells(table: DataFrame, plan: Design) -> DataFrame:
@@ -158,7 +164,7 @@ def block_moments(prepared: DataFrame, rif_kind: str = "reference") -> tuple[Dat
     Rolled up from the cells; a cell enters a block if its rows have all of the block's columns.  Reference-kind influence variables
     exist for rows without a wage; the log wage does not.
     """
-    table, plan = _regular_employees(prepared, rif_kind)
+    table, plan = _with_influence(prepared, rif_kind)
     digits = len(COMPARISONS) + 2
 
     def digit(place: int) -> Column:
@@ -261,4 +267,4 @@ def decompositions(prepared: DataFrame, rif_kind: str = "reference") -> DataFram
 
 def quantile_models(prepared: DataFrame, taus=TAUS) -> DataFrame:
     """Weighted quantile regressions of the log wage for all regular employees."""
-    return quantile_regression(model_table(prepared), "log_wage", [*CORE, "dummy_male"], list(taus), "Weight")
+    return quantile_regression(regular_employees(prepared)[0], "log_wage", [*CORE, "dummy_male"], list(taus), "Weight")

@@ -27,9 +27,9 @@ DEPTH = 12
 SAMPLE = 2_000
 # A query ascends until its prefixes hold this many rows for each row of the table, over all trees.
 SHARE = 1.2
+# ... and for so many rows for each neighbour wanted and tree.
+SPARE = 4
 BLOCK_ROWS = 4_096
-# An addition for small tables: prefixes hold at least so many rows; recall is measured without it.
-FLOOR = 2 * BLOCK_ROWS
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -100,13 +100,14 @@ def nearest(query_id: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
             yield query_id[lo + i], ids[other][order], distance[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, share: float = SHARE, seed: int = 1,
-           floor: int = FLOOR) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, share: float = SHARE, seed: int = 1
+           ) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each query, nearest first.
 
     ``vectors`` has vec_id and embedding and is indexed whole; ``queries`` are rows of it.  Vectors that are NULL, zero,
     of another dimension than most, or hold NULL or non-finite parts take no part.  Ties go to the smaller vec_id.
-    Repeated vec_ids count once, with their nearest vector.  Small tables (``floor``) are searched whole.  Other columns are ignored.
+    Repeated vec_ids count once, with their nearest vector.  Prefixes hold enough rows for k neighbours at any rate.  Other columns
+    are ignored.
     """
     schema = "query_id bigint, vec_id bigint, score double"
     good = materialise(usable(vectors).dropDuplicates(["vec_id", "vector"]))
@@ -129,7 +130,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TRE
     asked = materialise(asked.select("vec_id", "place", "vector", label("vector").alias("labels")))
     steps = (asked.select("place", F.posexplode("labels").alias("tree", "label"))
              .select("place", "tree", "label", depths).withColumn("prefix", _prefix(F.col("label"), F.col("depth"))))
-    enough = min(max(share * n, float(floor)), float(trees * n))
+    # k + 1 rows in each tree on average would make sure of k neighbours; some times as many find near ones.
+    enough = min(max(share * n, float(SPARE * trees * (k + 1))), float(trees * n))
     depth = (steps.join(by_depth, ["tree", "depth", "prefix"]).groupBy("place", "depth").agg(F.sum("rows").alias("rows"))
              .filter(F.col("rows") >= enough).groupBy("place").agg(F.max("depth").alias("depth")))
 

@@ -190,19 +190,20 @@ def first_visits(persons: DataFrame, households: DataFrame, mode: str = "annual"
                  key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS, strict: bool = True, run: RunFolder | None = None) -> FirstVisits:
     """Keyed, merged, checked and weighted person rows.
 
-    Each file is read once, into a landing table; the merge is written once.  Every check but the uniqueness of keys, and the whole
-    audit, is counted during these writes.  In strict mode file checks are reported together, then the merge, then the row checks; nothing is
-    returned unless they hold.
+    In strict mode each file is read once, into a landing table, and the merge is written once; every check but the uniqueness of keys, and
+    the whole audit, is counted during these writes.  File checks are reported together, then the merge, then the row checks; nothing is
+    returned unless they hold.  Otherwise the rows are one lazy plan, and only the audit is counted.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
+    if not strict:
+        return _audited(persons, households, mode, source, key_parts)
     run = run or RunFolder(persons.sparkSession)
     landed = land(persons, households, run, key_parts)
-    if strict:
-        broken = {n: v for facts in (landed.person_facts, landed.household_facts) for n, v in facts.items() if n != "rows"}
-        for report in landed.key_reports():
-            broken |= {r["check"]: r["violations"] for r in report.collect()}
-        ck.refuse(broken)
+    broken = {n: v for facts in (landed.person_facts, landed.household_facts) for n, v in facts.items() if n != "rows"}
+    for report in landed.key_reports():
+        broken |= {r["check"]: r["violations"] for r in report.collect()}
+    ck.refuse(broken)
 
     def merge():
         merged, outcomes = observed(merge_files(landed.persons, landed.households), merge_metrics(key_parts))
@@ -210,13 +211,27 @@ def first_visits(persons: DataFrame, households: DataFrame, mode: str = "annual"
         return rows, [outcomes, counts]
 
     data, facts = run.table("merged", merge)
-    if strict:
-        refuse_merge(facts, key_parts)
-        ck.refuse({c.name: facts[c.name] for c in analysis_checks()})
+    refuse_merge(facts, key_parts)
+    ck.refuse({c.name: facts[c.name] for c in analysis_checks()})
     facts["households"] = landed.household_facts["rows"]
     return FirstVisits(apply_mode(data, mode), audit_table(persons.sparkSession, facts, mode, source))
 
 
+def _audited(persons: DataFrame, households: DataFrame, mode: str, source: str, key_parts: Sequence[cb.KeyPart]) -> FirstVisits:
+    """The rows as one lazy plan and their audit, observed in one pass that reads only the columns it counts."""
+    persons, households = key_files(persons, households, key_parts)
+
+    def audited(metrics: dict[str, Column]) -> dict[str, Column]:
+        return {n: c for n, c in metrics.items() if n in AUDIT}
+
+    merged = merge_files(persons, households)
+    watched, outcomes = observed(merged, audited(merge_metrics(key_parts)))
+    rows, counts = observed(analysis_columns(watched, key_parts), audited(row_metrics(mode)))
+    rows.select(F.lit(1).alias("one")).write.format("noop").mode("overwrite").save()
+    facts = {**outcomes.get, **counts.get, "households": households.count()}
+    return FirstVisits(apply_mode(analysis_columns(merged, key_parts), mode), audit_table(persons.sparkSession, facts, mode, source))
+
+
 def prepared(persons: DataFrame, households: DataFrame, mode: str = "annual",
              key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> DataFrame:
     """The prepared table as one lazy plan, without the stopping checks."""

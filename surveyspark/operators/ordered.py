@@ -164,9 +164,15 @@ def kernel_densities(df: DataFrame, value: str, points: Mapping[float, float], w
 def add_rif(df: DataFrame, value: str, probabilities: Sequence[float], weight: str = "Weight",
             where: Column | None = None, kind: str = "reference", prefix: str = "rif",
             cut_lineage: bool = True) -> tuple[DataFrame, dict[float, float]]:
-    """Add ``rif25``-style columns; quantiles come from the rows in ``where``, columns from all rows."""
+    """Add ``rif25``-style columns; quantiles come from the rows in ``where``, columns from all rows.
+
+    The rows are read up to eight times.  By default all columns of ``df`` are written first, so give it only those that are wanted;
+    turn ``cut_lineage`` off when ``df`` is a plain scan.
+    """
+    if cut_lineage:
+        df = materialise(df)
     rows = df if where is None else df.filter(where)
-    table = weighted_percentiles(rows, value, probabilities, weight, cut_lineage=cut_lineage)
+    table = weighted_percentiles(rows, value, probabilities, weight, cut_lineage=False)
     quantiles = {r["p"]: r["value"] for r in table.collect()}  # one number per requested percentile
     if kind == "standard":
         density = kernel_densities(rows, value, quantiles, weight)

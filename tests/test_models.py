@@ -255,3 +255,9 @@ def test_wage_models_equal_separate_regressions(spark):
     mine = {r["part"]: r["estimate"] for r in gaps if (r["comparison"], r["split"], r["y"], r["term"]) == ("gender", "threefold", "log_wage", dc.ALL_TERMS)}
     assert mine == pytest.approx(one, rel=1e-7)
     table.unpersist()
+
+
+def test_influence_variables_read_their_input_once(data):
+    # The result comes from written files: df itself is not evaluated again.
+    rows, _ = od.add_rif(data[0], "y", [0.25, 0.5], "w", kind="standard")
+    assert rows.inputFiles() and set(data[0].columns) < set(rows.columns)

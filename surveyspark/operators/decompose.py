@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from surveyspark.operators.gram import Design, Moments, design, estimation_sample, gram
 from surveyspark.operators.regression import Fit, solve
+from surveyspark.runtime import materialise
 
 TERMS = T.StructType([
     T.StructField("y", T.StringType()), T.StructField("part", T.StringType()), T.StructField("term", T.StringType()),
@@ -31,7 +32,7 @@ def oaxaca(df: DataFrame, y: str | Sequence[str], x: Sequence[str], group: str,
     """
     ys = [y] if isinstance(y, str) else list(y)
     rows = df if where is None else df.filter(where)
-    sample = estimation_sample(rows.filter(F.col(group).isin(0, 1)), ys, x, weight, [group, *by])
+    sample = materialise(estimation_sample(rows.filter(F.col(group).isin(0, 1)), ys, x, weight, [group, *by]))
     return oaxaca_from_sample(sample, design(sample, ys, x), group, weight, by, pooled, detail, weight_kind)
 
 

@@ -261,3 +261,7 @@ def test_influence_variables_read_their_input_once(data):
     # The result comes from written files: df itself is not evaluated again.
     rows, _ = od.add_rif(data[0], "y", [0.25, 0.5], "w", kind="standard")
     assert rows.inputFiles() and set(data[0].columns) < set(rows.columns)
+
+
+def test_decomposition_reads_its_input_once(data):
+    assert dc.oaxaca(data[0], "y", ["age"], "female", "w", detail=True).inputFiles()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyspark.operators.gram import Design, Moments, design, estimation_sample, gram
+from surveyspark.runtime import materialise
 
 COEFFICIENTS = T.StructType([
     T.StructField("y", T.StringType()), T.StructField("term", T.StringType()),
@@ -119,7 +120,7 @@ def regress(df: DataFrame, y: str | Sequence[str], x: Sequence[str], weight: str
     separate calls.
     """
     ys = [y] if isinstance(y, str) else list(y)
-    sample = estimation_sample(df, ys, x, weight, by, where)
+    sample = materialise(estimation_sample(df, ys, x, weight, by, where))
     plan = design(sample, ys, x)
     return fit_table(gram(sample, plan, weight, by), plan, by, weight_kind=weight_kind)
 

@@ -265,3 +265,7 @@ def test_influence_variables_read_their_input_once(data):
 
 def test_decomposition_reads_its_input_once(data):
     assert dc.oaxaca(data[0], "y", ["age"], "female", "w", detail=True).inputFiles()
+
+
+def test_regression_reads_its_input_once(data):
+    assert rg.regress(data[0], "y", ["age", "urban"], "w").inputFiles()

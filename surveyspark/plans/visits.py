@@ -85,26 +85,32 @@ def keyed(records: DataFrame, suffix: str, person: bool, key_parts: Sequence[cb.
     return out.withColumns({"weight": weights.historical_weight(), "weight_plain": weights.unconditional_weight()})
 
 
-def lay_out(households: Mapping[str, DataFrame], persons: Mapping[str, DataFrame], buckets: int | None = None,
-            key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> Layout:
-    """Both levels of all visits, written bucketed by HHID: the only shuffle of this workflow.
+def lay_out_level(level: str, files: Mapping[str, DataFrame], columns: Sequence[str] | None = None, buckets: int | None = None,
+                  key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS) -> tuple[DataFrame, str, tuple[str, ...]]:
+    """One level (``households`` or ``persons``) of all visits, written bucketed by HHID; the table's name; columns that only revisits have.
 
+    Besides HHID, PID and ``file`` only ``columns`` are written, if they are given: rows are wide, so name those that are wanted.
     A column that one file lacks is NULL in its records.  Records without a whole key are kept for the checks.
     """
-    spark = next(iter(households.values())).sparkSession
+    spark = next(iter(files.values())).sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run = uuid.uuid4().hex
-    made, added = [], []
-    for level, files, suffixes in (("households", households, HOUSEHOLD_FILES), ("persons", persons, PERSON_FILES)):
-        parts = {file: keyed(records, suffixes[file], level == "persons", key_parts).withColumn("file", F.lit(file))
-                 for file, records in files.items()}
-        records = parts[FIRST].unionByName(parts[AGAIN], allowMissingColumns=True)
-        name = f"visits_{level}_{run}"
-        (records.repartition(buckets, "HHID").write.bucketBy(buckets, "HHID").sortBy("HHID")
-         .option("path", f"{shared_folder(spark).rstrip('/')}/surveyspark-tables/{name}").saveAsTable(name))
-        made.append(name)
-        added.append(tuple(c for c in parts[AGAIN].columns if c not in parts[FIRST].columns))
-    return Layout(spark.table(made[0]), spark.table(made[1]), (made[0], made[1]), (added[0], added[1]))
+    suffixes = HOUSEHOLD_FILES if level == "households" else PERSON_FILES
+    parts = {file: keyed(records, suffixes[file], level == "persons", key_parts).withColumn("file", F.lit(file)) for file, records in files.items()}
+    if columns is not None:
+        kept = {"HHID", "PID", "file", *columns}
+        parts = {file: records.select(*[c for c in records.columns if c in kept]) for file, records in parts.items()}
+    records = parts[FIRST].unionByName(parts[AGAIN], allowMissingColumns=True)
+    name = f"visits_{level}_{uuid.uuid4().hex}"
+    (records.repartition(buckets, "HHID").write.bucketBy(buckets, "HHID").sortBy("HHID")
+     .option("path", f"{shared_folder(spark).rstrip('/')}/surveyspark-tables/{name}").saveAsTable(name))
+    return spark.table(name), name, tuple(c for c in parts[AGAIN].columns if c not in parts[FIRST].columns)
+
+
+def lay_out(households: Mapping[str, DataFrame], persons: Mapping[str, DataFrame], buckets: int | None = None,
+            key_parts: Sequence[cb.KeyPart] = cb.KEY_PARTS, columns: Sequence[str] | None = None) -> Layout:
+    """Both levels of all visits, written bucketed by HHID: the only shuffle of this workflow.  See :func:`lay_out_level`."""
+    made = [lay_out_level(level, files, columns, buckets, key_parts) for level, files in (("households", households), ("persons", persons))]
+    return Layout(*(m[0] for m in made), tuple(m[1] for m in made), tuple(m[2] for m in made))
 
 
 # --- checks ------------------------------------------------------------------------------------------

@@ -102,3 +102,13 @@ def test_files_are_required(spark, tmp_path):
         vs.read_visit_files(spark, str(tmp_path / "nowhere"))
     with pytest.raises(ValueError):
         vs.read_visit_files(spark, str(tmp_path), "xml")
+
+
+def test_only_wanted_columns_are_written(spark, tmp_path):
+    households, persons = vs.read_visit_files(spark, write(tmp_path, files()))
+    written, _, added = vs.lay_out_level("households", households, ["b3q2", "b3q9"], buckets=3)
+    assert set(written.columns) == {"HHID", "file", "b3q2", "b3q9"} and added == ("b3q9",)
+    whole = vs.lay_out(households, persons, buckets=3)
+    narrow = vs.lay_out(households, persons, buckets=3, columns=["b3q2", "b3q9", "b4q6", "weight"])
+    columns = ["HHID", "PID", "b3q2", "b3q9", "b4q6", "weight", "_merge"]
+    assert sorted(map(str, vs.attached(narrow).select(columns).collect())) == sorted(map(str, vs.attached(whole).select(columns).collect()))

@@ -1,8 +1,8 @@
 """The historical report tables, compiled from specifications into one pass over the prepared rows.
 
 A table is the share of each code of one column, within a slice (age group, sector, gender) and perhaps a group.  Cross-tabs with row
-or column percents, one-way tables, and means of 0/100 indicators are all of this form.  Each row is spelled out
-once per table, one partial aggregation turns that into cells, with both weights side by side, and only cells are repeated for pooled
+or column percents, one-way tables, and means of 0/100 indicators are all of this form.  The tasks that hold
+the rows turn them into cells of all tables, with both weights side by side, and only cells are repeated for pooled
 sectors, genders and groups.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from surveyspark import codebook as cb
 from surveyspark.functions import recode, status
+from surveyspark.operators import cells as cl
 from surveyspark.operators import tabulate as tb
 from surveyspark.operators.populations import age_bits, age_group, age_memberships, population, sector_memberships
 
@@ -106,20 +107,11 @@ def base_cells(prepared: DataFrame, tables: Sequence[ReportTable] = TABLES, weig
     """Rows and weights by (table, age bits, sector, gender, group, code): the only pass over the rows."""
     ages = [age_group(a) for a in dict.fromkeys(a for t in tables for a in t.ages)]
     position = {g.name: i for i, g in enumerate(ages)}
-    entries = []
-    for number, t in enumerate(tables):
-        wanted = sum(1 << position[a] for a in t.ages)
-        inside = population(t.people) & F.col(t.column).isNotNull()
-        if t.group:
-            inside = inside & F.col(t.group).isNotNull()
-        entries.append(F.when(inside, F.struct(
-            F.lit(number).alias("table"), F.col("__ages").bitwiseAND(wanted).alias("__ages"),
-            (F.col(t.group) if t.group else F.lit(None)).cast("string").alias("group"), F.col(t.column).cast("string").alias("code"))))
-    rows = historical_columns(prepared).filter(F.col("Sector_code").isin(*cb.SECTORS.values())).withColumn("__ages", age_bits(ages))
-    rows = rows.select("Sector_code", "Gender", *[F.col(w).cast("double").alias(f"w{i}") for i, w in enumerate(weights.values())],
-                       F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return rows.filter("e.__ages > 0").groupBy("e.table", "e.__ages", "Sector_code", "Gender", "e.group", "e.code").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(weights))])
+    rows = historical_columns(prepared).filter(F.col("Sector_code").isin(*cb.SECTORS.values()))
+    return cl.cell_sums(
+        rows, [cl.Table(t.people, t.column, t.group, sum(1 << position[a] for a in t.ages)) for t in tables],
+        {t.people: population(t.people) for t in tables}, {c: F.col(c) for t in tables for c in (t.column, t.group) if c}, age_bits(ages),
+        {f"w{i}": F.col(w) for i, w in enumerate(weights.values())}).withColumnRenamed("ages", "__ages")
 
 
 def report_tables(prepared: DataFrame, tables: Sequence[ReportTable] = TABLES, weights: Mapping[str, str] = WEIGHTS) -> DataFrame:

@@ -5,29 +5,35 @@ are bigram models interpolated with their unigram models, and both use the same
 corpus.  A token's loss difference is background loss minus target loss,
 and a document's score is the mean over its tokens: higher is closer to the target.
 
-Pairs of neighbouring words are counted in the tasks that read the texts, added up and written; word counts are sums
-of them.  Both tables grow with the corpus.  The loss differences of the pairs that hold a fixed share of all tokens, a bounded
-number, are sent to all tasks; all other pairs of a document meet their values in buckets.
+Words are counted first.  Words and pairs that hold a fixed share of all tokens, a bounded number, are sent with their counts to
+all tasks.  All other pairs travel once, packed with the documents that hold them: all places of a pair meet in one bucket, which
+counts and values the pair and adds it to its documents.  A pair with an uncommon word goes to the bucket of that word, so that bucket
+needs the counts of its own words and of second words of pairs of two uncommon ones only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm import text as tx
 from surveyspark.runtime import materialise
 
-# Words and pairs that make up one in this many tokens are sent to all tasks: so many at most.
+# Words that make up one in four times this many tokens and pairs that make up one in this many are sent to all tasks.
 COMMON = 1 << 17
 # Weight of the bigram model in both models.
 BIGRAM = 0.7
 # Stands before the first and after the last word of a document.
 BOUND = 0
+# Tokens that a task packs together.
+PACK = 1 << 20
+# Tokens for each bucket, as long as there are no more buckets than the cluster's setting gives.
+BUCKET = 3 << 20
 
 
 class Pairs:
@@ -37,70 +43,173 @@ class Pairs:
         words = tx.Words(tx.lower(data), offsets, tx.ALNUM)
         some = words.count > 0
         begin, end = words.first[:-1][some], words.first[1:][some]
-        self.size = words.count
+        self.count = words.count
         hashes, docs = words.hashes(), words.doc()
         self.first = np.insert(hashes, begin, np.uint64(BOUND))
         self.second = np.insert(hashes, end, np.uint64(BOUND))
         self.doc = np.insert(docs, begin, np.flatnonzero(some))
-        self.code = tx.mix(tx.mix(self.first) + self.second)
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """(pair, first, second, n, t): pairs counted over all documents and over those of the target."""
-    names = ["pair", "first", "second", "n", "t"]
+def pair_code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return tx.mix(tx.mix(first) + second)
+
+
+def word_counts(rows: DataFrame, common: int) -> DataFrame:
+    """(first, second, n, t): counts of words over all documents and over those of the target; ``second`` is NULL.
+
+    Rows with ``second`` are pairs that are frequent in a part of the rows that a task counts together, with their counts there:
+    a pair that makes up one in ``common`` tokens of all rows does so in one of the parts.  Pairs that a part has once are left out.
+    """
+    names = ["first", "second", "n", "t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def added(code, first, second, n, t):
+        def counted(code, flag):
             unique, at, inverse = np.unique(code, return_index=True, return_inverse=True)
-            return [unique, first[at], second[at], np.bincount(inverse, n, minlength=len(unique)).astype(np.int64),
-                    np.bincount(inverse, t, minlength=len(unique)).astype(np.int64)]
-
-        def batch_of(arrays):
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in arrays], names=names)
+            return at, np.bincount(inverse, minlength=len(unique)), np.bincount(inverse, flag, minlength=len(unique)).astype(np.int64)
+
+        def take():
+            first, second, flag = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            word = first != np.uint64(BOUND)
+            at, n, t = counted(first[word], flag[word])
+            yield pa.RecordBatch.from_arrays([pa.array(first[word][at].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(n), pa.array(t)], names=names)
+            pair = second != np.uint64(BOUND)
+            first, second, flag = first[pair], second[pair], flag[pair]
+            at, n, t = counted(pair_code(first, second), flag)
+            often = (n * common >= len(first)) & (n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (first[at].view(np.int64), second[at].view(np.int64), n, t)], names=names)
 
         for batch, data, offsets in tx.chunks(batches, "_bytes", 1 << 20):
-            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int64)
+            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int8)
             x = Pairs(data, offsets)
-            held.append(added(x.code, x.first, x.second, np.ones(len(x.code), np.int64), flag[x.doc]))
-            if sum(len(h[0]) for h in held) > 2_000_000:
-                held[:] = [added(*map(np.concatenate, zip(*held)))]
-                if len(held[0][0]) > 1_000_000:
-                    yield batch_of(held.pop())
+            held.append((x.first, x.second, flag[x.doc]))
+            if sum(len(h[0]) for h in held) >= PACK:
+                yield from take()
         if held:
-            yield batch_of(added(*map(np.concatenate, zip(*held))))
+            yield from take()
 
     return (rows.select("_bytes", "is_target").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
-            .groupBy("pair", "first", "second").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+            .groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
 
 
-def with_counts(pairs: DataFrame, words: DataFrame, common: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the counts of the words in column ``side``: common words are sent to all tasks, others are joined."""
-    names = [F.col("word").alias(side), F.col("n").alias(f"{side}_n"), F.col("t").alias(f"{side}_t")]
-    rare = words.join(F.broadcast(common.select("word")), "word", "left_anti")
-    known = F.broadcast(common.select(*names))
-    return (pairs.join(known, side)
-            .unionByName(pairs.join(known, side, "left_anti").join(rare.select(*names), side)))
+class Known:
+    """Sorted codes with their two counts."""
 
+    def __init__(self, table: pa.Table):
+        code = table.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(code)
+        self.code, self.n, self.t = code[order], table.column(1).to_numpy()[order], table.column(2).to_numpy()[order]
 
-def pair_values(pairs: DataFrame, words: DataFrame, common: int) -> tuple[DataFrame, int]:
-    """(pair, n, value): background loss minus target loss of the second word after the first; the tokens of all documents."""
-    size, n, t = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    spark = pairs.sparkSession
-    # Before a first word is nothing, which has no count: the unigram model alone counts.
-    top = materialise(words.filter(F.col("n") * common >= n).unionByName(
-        spark.range(1).select(F.lit(BOUND).cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("t"))))
+    def places(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each code stands, and whether it is there at all."""
+        if not len(self.code):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.code, wanted), len(self.code) - 1)
+        return at, self.code[at] == wanted
 
-    def loss(kind: str, total: int) -> Column:
-        context = F.col(f"first_{kind}")
-        weight = F.when(context > 0, BIGRAM).otherwise(0.0)
-        # Add-one probabilities, with a place for words not seen, so that no word has none.
-        unigram = (F.col(f"second_{kind}") + 1) / F.lit(float(total + size + 1))
-        return -F.log(weight * F.col(kind) / F.greatest(context, F.lit(1)) + (1 - weight) * unigram)
 
-    counted = with_counts(with_counts(pairs.filter(F.col("second") != BOUND), words, top, "first"), words, top, "second")
-    return counted.select("pair", "n", (loss("n", n) - loss("t", t)).alias("value")), n
+class Packed:
+    """Pairs of many documents, dealt to buckets: each pair of a document once, words and documents by their place in a list.
+
+    ``known`` holds the common words, of which numbers are sent; other words are sent whole.
+    """
+
+    ENTRIES = ["common", "rare", "runs", "second", "doc", "keys", "flags", "times"]
+    NAMES = [*ENTRIES, "size", "part"]
+    KINDS = [np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.int64, np.int8, np.int32]
+
+    def __init__(self, known: Known, bucket_of_pair: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.known, self.bucket_of_pair = known, bucket_of_pair
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.keys: list[np.ndarray] = []
+        self.flags: list[np.ndarray] = []
+        self.held = self.docs = 0
+
+    def add(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> None:
+        self.parts.append((first, second, doc + self.docs))
+        self.keys.append(keys)
+        self.flags.append(flags)
+        self.held += len(first)
+        self.docs += len(keys)
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        first, second, doc = (np.concatenate(x) for x in zip(*self.parts))
+        keys, flags = np.concatenate(self.keys), np.concatenate(self.flags)
+        self.parts, self.keys, self.flags, self.held, self.docs = [], [], [], 0, 0
+        used, doc = np.unique(doc, return_inverse=True)
+        keys, flags = keys[used], flags[used]
+        vocabulary, place = np.unique(np.concatenate([first, second]), return_inverse=True)
+        # Both words and the document in one number, which sorts them; it has room for a million each, or one long document.
+        w, d = np.uint64(len(vocabulary).bit_length()), np.uint64(len(keys).bit_length())
+        place = place.astype(np.uint64)
+        entry = np.sort((place[:len(first)] << (w + d)) | (place[len(first):] << d) | doc.astype(np.uint64))
+        edge = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+        times = np.diff(np.append(edge, len(entry))).astype(np.int32)
+        entry = entry[edge]
+        first, second = (entry >> (w + d)).astype(np.int64), (entry >> d & ((np.uint64(1) << w) - np.uint64(1))).astype(np.int64)
+        doc = (entry & ((np.uint64(1) << d) - np.uint64(1))).astype(np.int64)
+        bucket = self.bucket_of_pair(vocabulary[first], vocabulary[second])
+        number, common = self.known.places(vocabulary)
+        order = np.argsort(bucket.astype(np.int32), kind="stable")
+        cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        rows = []
+        for a, b in zip(cut, np.append(cut[1:], len(order))):
+            at = order[a:b]
+            words, place = np.unique(np.concatenate([first[at], second[at]]), return_inverse=True)
+            here, person = np.unique(doc[at], return_inverse=True)
+            runs = np.bincount(place[:len(at)], minlength=len(words))
+            mine = common[words]
+            place = np.where(mine, np.cumsum(mine) - 1, mine.sum() + np.cumsum(~mine) - 1)[place[len(at):]]
+            # Runs follow the order of the vocabulary among common words, then among the others.
+            by_kind = np.argsort(~mine, kind="stable")
+            entries = np.argsort(~mine[np.repeat(np.arange(len(words)), runs)], kind="stable")
+            columns = (np.diff(number[words][mine], prepend=0), vocabulary[words][~mine], runs[by_kind], place[entries], person[entries],
+                       keys[here], flags[here], times[at][entries])
+            rows.append([_squeezed(x.astype(kind)) for x, kind in zip(columns, self.KINDS)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[order][cut].astype(np.int32))] + [pa.array(column, pa.binary()) for column in zip(*rows)]
+            + [pa.nulls(len(cut), pa.binary())] * 2, names=["bucket", *self.NAMES])
+
+    @classmethod
+    def own(cls, bucket: int, keys: np.ndarray, size: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        """A row that holds what is known of the documents without their pairs."""
+        held = {"keys": keys, "size": size, "part": part}
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())] + [pa.array([held[n].tobytes() if n in held else None], pa.binary()) for n in cls.NAMES],
+                                          names=["bucket", *cls.NAMES])
+
+    @classmethod
+    def schema(cls) -> str:
+        return "bucket int, " + ", ".join(f"{n} binary" for n in cls.NAMES)
+
+    @classmethod
+    def unpack(cls, table: pa.Table, known: Known) -> tuple[np.ndarray, ...]:
+        """First and second word, place in the list of keys, and times of every entry; the keys and flags of that list."""
+        parts, held = [], 0
+        for row in zip(*(table.column(n) for n in cls.ENTRIES)):
+            common, rare, runs, second, doc, keys, flags, times = (_restored(x.as_py(), kind) for x, kind in zip(row, cls.KINDS))
+            words = np.concatenate([known.code[np.cumsum(common, dtype=np.int64)], rare])
+            parts.append((np.repeat(words, runs), words[second], doc + np.uint32(held), times, keys, flags))
+            held += len(keys)
+        kinds = (np.uint64, np.uint64, np.uint32, np.int32, np.int64, np.int8)
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, k) for k in kinds)
+
+
+def _squeezed(array: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes before all second ones, compressed: their number, then the rest."""
+    planes = array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes()
+    return len(array).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def _restored(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
 
 
 def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> DataFrame:
@@ -115,80 +224,117 @@ def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> Data
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), tx.utf8().alias("_bytes"))
     # Rows without doc_id match nothing; their keys spread them.
     rows = materialise(keyed.join(flags, (F.coalesce("doc_id", "key") == F.col("_target")) & F.col("doc_id").isNotNull(), "left")
-                       .select("doc_id", "key", F.coalesce("_flag", F.lit(False)).alias("is_target"), "_bytes"))
-    pairs = materialise(pair_counts(rows))
-    words = materialise(pairs.filter(F.col("first") != BOUND).groupBy(F.col("first").alias("word"))
-                        .agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    valued, tokens = pair_values(pairs, words, common)
-    valued = materialise(valued)
-    often = F.col("n") * common >= tokens
-    top = valued.filter(often).select("pair", "value").toArrow()
-    code = top.column("pair").to_numpy().view(np.uint64)
-    order = np.argsort(code)
-    shared = context.broadcast((code[order], top.column("value").to_numpy()[order]))
-    buckets = tx.n_buckets(rows)
-    names = ["pair", "row", "times"]
-
-    def places(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(known):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return at, known[at] == wanted
-
-    def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Key, words, sum over common pairs of each document; document, code of the other pairs."""
-        known, value = shared.value
+                       .select("doc_id", "key", F.coalesce("_flag", F.lit(False)).alias("is_target"), "_bytes"), compression="zstd")
+    counted = materialise(word_counts(rows, common), compression="zstd")
+    words = counted.filter("second is null").select(F.col("first").alias("word"), "n", "t")
+    size, total_n, total_t = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    # Before a first word is nothing, which has no count: the unigram model alone counts.
+    bound = pa.table({"word": np.array([BOUND]), "n": np.array([0]), "t": np.array([0])})
+    often = F.col("n") * 4 * common >= total_n
+    top_words = context.broadcast(Known(pa.concat_tables([words.filter(often).toArrow().cast(bound.schema), bound])))
+    frequent = counted.filter(F.col("second").isNotNull() & (F.col("n") * common >= total_n)).select("first", "second").toArrow()
+    code = pair_code(*(frequent.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
+    wanted = context.broadcast(Known(pa.table([pa.array(code.view(np.int64))] * 3, names=["pair", "n", "t"])))
+    buckets = min(tx.n_buckets(rows), total_n // BUCKET + 1)
+
+    def bucket_of_pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        known_first, known_second = (top_words.value.places(x)[1] for x in (first, second))
+        return tx.bucket_of(np.where(~known_first, first, np.where(~known_second, second, pair_code(first, second))), buckets)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch, data, offsets in tx.chunks(batches, "_bytes", 1 << 20):
             x = Pairs(data, offsets)
             use = x.second != np.uint64(BOUND)
-            doc, code = x.doc[use], x.code[use]
-            at, found = places(known, code)
-            part = np.bincount(doc[found], value[at[found]] if len(value) else None, minlength=len(x.size))
-            yield batch.column(batch.schema.get_field_index("key")).to_numpy(), x.size, part, doc[~found], code[~found]
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, part, _, _ in per_document(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(np.ones(len(key), np.int64)), pa.array(size.astype(np.int64)), pa.array(part.astype(np.float64))],
-                names=["key", "copies", "n_tokens", "part"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = tx.Blobs(buckets, names)
-        for key, _, _, doc, code in per_document(batches):
-            order = np.lexsort((code, doc))
-            doc, code = doc[order], code[order]
-            edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))[:len(doc)])
-            times = np.diff(np.append(edge, len(doc)))
-            doc, code = doc[edge], code[edge]
-            blobs.add(tx.bucket_of(code, buckets), code, key[doc], times.astype(np.int32))
-            if blobs.full():
-                yield blobs.take()
-        if (left := blobs.take()) is not None:
-            yield left
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield batch, x, x.first[use], x.second[use], x.doc[use]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of frequent pairs (bucket -1), and the bucket and second word of pairs of two uncommon words."""
+        spec = ["bucket", "code", "n", "t"]
+        n, t = (np.zeros(len(wanted.value.code), np.int64) for _ in range(2))
+        for batch, x, first, second, doc in pairs(batches):
+            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int8)
+            at, found = wanted.value.places(pair_code(first, second))
+            n += np.bincount(at[found], minlength=len(n))
+            t += np.bincount(at[found], flag[doc[found]], minlength=len(n)).astype(np.int64)
+            rare = ~(top_words.value.places(first)[1] | found)
+            first, second = first[rare], second[rare]
+            rare = ~top_words.value.places(second)[1]
+            first, second = first[rare], second[rare]
+            bucket = tx.bucket_of(first, buckets)
+            _, at = np.unique(tx.mix(second + bucket.astype(np.uint64)), return_index=True)
+            none = np.zeros(len(at), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(second[at].view(np.int64)), pa.array(none), pa.array(none)], names=spec)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1, np.int32)), pa.array(wanted.value.code.view(np.int64)), pa.array(n), pa.array(t)], names=spec)
+
+    answers = materialise(rows.select("_bytes", "is_target").mapInArrow(asked, "bucket int, code bigint, n bigint, t bigint"), compression="zstd")
+    rare_words = words.filter(~often)
+
+    def own_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = tx.bucket_of(batch.column(0).to_numpy().view(np.uint64), buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], names=["bucket", "code", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", "word", "n", "t"])
+
+    needed = (answers.filter("bucket >= 0").select("bucket", F.col("code").alias("word")).distinct().join(rare_words, "word")
+              .select("bucket", "word", "n", "t").unionByName(rare_words.mapInArrow(own_bucket, "bucket int, word bigint, n bigint, t bigint")))
+
+    def values(first, second, n, t, *known: Known) -> np.ndarray:
+        """Background loss minus target loss of the second word after the first."""
+        counts = np.full((2, 2, len(first)), -1, np.int64)
+        for side, word in enumerate((first, second)):
+            for table in known:
+                at, found = table.places(word)
+                counts[side, 0, found], counts[side, 1, found] = table.n[at[found]], table.t[at[found]]
+        if (counts < 0).any():
+            raise RuntimeError("A document has a word that was not counted: its rows changed between two reads.")
+
+        def loss(kind, times, total):
+            context_n, word_n = counts[0, kind], counts[1, kind]
+            weight = np.where(context_n > 0, BIGRAM, 0.0)
+            # Add-one probabilities, with a place for words not seen, so that no word has none.
+            return -np.log(weight * times / np.maximum(context_n, 1) + (1 - weight) * ((word_n + 1) / float(total + size + 1)))
+
+        return loss(0, n, total_n) - loss(1, t, total_t)
+
+    top = Known(answers.filter("bucket = -1").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow())
+    order = np.argsort(code)
+    first, second = (frequent.column(i).to_numpy().view(np.uint64)[order] for i in (0, 1))
+    shared = context.broadcast((top, values(first, second, top.n, top.t, top_words.value)))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of each document and the sum over its frequent pairs, as rows of their own; its other pairs."""
+        packed = Packed(top_words.value, bucket_of_pair)
+        top, value = shared.value
+        for batch, x, first, second, doc in pairs(batches):
+            key = batch.column(batch.schema.get_field_index("key")).to_numpy()
+            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int8)
+            at, found = top.places(pair_code(first, second))
+            part = np.bincount(doc[found], value[at[found]] if len(value) else None, minlength=len(key)).astype(np.float64)
+            if packed.held + len(first) > PACK:
+                yield from packed.take()
+            packed.add(first[~found], second[~found], doc[~found], key, flag)
+            yield Packed.own(int(key[0]) % buckets, key, x.count.astype(np.int64), part)
+        yield from packed.take()
 
     def add_up(entries: pa.Table, table: pa.Table) -> pa.Table:
-        pair, row = tx.unpack(entries, "pair", np.uint64), tx.unpack(entries, "row", np.int64)
-        times = tx.unpack(entries, "times", np.int32)
-        code, value = table.column("code").to_numpy().view(np.uint64), table.column("value").to_numpy()
-        order = np.argsort(code)
-        at, found = places(code[order], pair)
-        if not found.all():
-            raise RuntimeError("A document has a pair of words that was not counted: its rows changed between two reads.")
-        keys, place = np.unique(row, return_inverse=True)
+        mine = pc.is_valid(entries.column("size"))
+        own, entries = entries.filter(mine), entries.filter(pc.invert(mine))
+        first, second, place, times, keys, flag = Packed.unpack(entries, top_words.value)
+        part = np.zeros(len(keys))
+        if len(first):
+            code = pair_code(first, second)
+            order = np.argsort(code)
+            edge = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+            at, place, times = order[edge], place[order], times[order]
+            n, t = (np.add.reduceat(x, edge, dtype=np.int64) for x in (times, times * flag[place]))
+            value = values(first[at], second[at], n, t, top_words.value, Known(table.select(["word", "n", "t"])))
+            part = np.bincount(place, np.repeat(value, np.diff(np.append(edge, len(order)))) * times, len(keys))
+        whole, size, some = tx.unpack(own, "keys", np.int64), tx.unpack(own, "size", np.int64), tx.unpack(own, "part", np.float64)
         none = np.zeros(len(keys), np.int64)
-        part = np.bincount(place, value[order][at] * times if len(at) else None, minlength=len(keys)).astype(np.float64)
-        return pa.table({"key": keys, "copies": none, "n_tokens": none, "part": part})
-
-    spec = "key bigint, copies bigint, n_tokens bigint, part double"
-    source = rows.select("key", "_bytes")
-    values = valued.filter(~often).select("pair", "value").mapInArrow(dealt, "bucket int, code bigint, value double")
-    parts = (source.mapInArrow(rest, tx.Blobs(buckets, names).schema()).groupBy("bucket").cogroup(values.groupBy("bucket"))
-             .applyInArrow(add_up, spec).unionByName(source.mapInArrow(own, spec)))
+        return pa.table({"key": np.concatenate([keys, whole]), "copies": np.concatenate([none, np.ones(len(whole), np.int64)]),
+                         "n_tokens": np.concatenate([none, size]), "part": np.concatenate([part, some])})
+
+    parts = (rows.select("key", "is_target", "_bytes").mapInArrow(entries, Packed.schema()).groupBy("bucket").cogroup(needed.groupBy("bucket"))
+             .applyInArrow(add_up, "key bigint, copies bigint, n_tokens bigint, part double"))
     # Rows that repeat both doc_id and text have one key: each gets its share.
     summed = parts.groupBy("key").agg(F.sum("copies").alias("copies"), F.sum("n_tokens").alias("tokens"), F.sum("part").alias("part"))
     return (rows.select("doc_id", "key").join(summed, "key")

@@ -6,6 +6,7 @@ from surveyspark.functions import recode, status
 from surveyspark.operators import checks as ck
 from surveyspark.operators import merge as mg
 from surveyspark.plans import workflow as wf
+from surveyspark.runtime import RunFolder
 from surveyspark.sources import coded, sinks
 from tests import invented
 
@@ -177,3 +178,13 @@ def test_metadata_labels(spark):
     field = recode.attach_metadata(df, {"Social_group": "Social group"}).schema["Social_group"]
     assert field.metadata["value_labels"]["1"] == "ST" and field.metadata["comment"] == "Social group"
     assert df.select(F.col("Social_group")).count() == 1
+
+
+def test_file_report_lands_keys_only(spark, tmp_path):
+    """The file checks read keys alone, so a report by itself writes no other column, and says the same."""
+    persons, households = invented.frames(spark)
+    broken = persons.withColumn("b1q3_perv1", F.lit("x")).unionByName(persons.limit(1))
+    whole, keys = (wf.land(broken, households, RunFolder(spark, str(tmp_path / name)), keys_only=name == "keys") for name in ("whole", "keys"))
+    assert keys.persons.columns == ["HHID", "PID"] and keys.households.columns == ["HHID"]
+    assert sorted(wf.file_report(keys).collect()) == sorted(wf.file_report(whole).collect())
+    assert dict(wf.file_report(keys).collect())["b1q3_perv1"] == persons.count()

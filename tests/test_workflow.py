@@ -188,3 +188,16 @@ def test_file_report_lands_keys_only(spark, tmp_path):
     assert keys.persons.columns == ["HHID", "PID"] and keys.households.columns == ["HHID"]
     assert sorted(wf.file_report(keys).collect()) == sorted(wf.file_report(whole).collect())
     assert dict(wf.file_report(keys).collect())["b1q3_perv1"] == persons.count()
+
+
+def test_violations_evaluate_checks_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x > 2
+
+    rows = spark.range(5).select("id", F.udf(seen, "boolean")("id").alias("fine"))
+    bad = ck.violations(rows.withColumn("other", F.col("fine")), [ck.Check("a", F.col("fine")), ck.Check("b", F.col("id") != 1)])
+    assert sorted((r.id, r.failed_checks) for r in bad.select("id", "failed_checks").collect()) == [(0, ["a"]), (1, ["a", "b"]), (2, ["a"])]
+    assert calls.value == 5

@@ -44,6 +44,7 @@ class _Search:
     beta: np.ndarray
     half: float = np.inf
     share: float = 1.0
+    misses: int = 0
     solved: tuple[np.ndarray, float] | None = None
     done: bool = False
     stats: dict = field(default_factory=dict)
@@ -91,7 +92,7 @@ def quantile_regression(df: DataFrame, y: str, x: Sequence[str], taus: Sequence[
     passes = 2
     while passes < max_passes and not all(s.done for s in searches):
         active = [s for s in searches if not s.done]
-        for search, sums, rows in zip(active, *_pass(ready, frame, active, points)):
+        for search, sums, rows in zip(active, *_pass(ready, frame, active, points, passes)):
             _advance(search, frame, sums, rows, points)
         passes += 1
     if not all(s.done for s in searches):
@@ -146,7 +147,8 @@ def _frame(ready: DataFrame, size: int) -> tuple[_Frame, np.ndarray]:
     return frame, inverse @ moments[used, 1]
 
 
-def _pass(ready: DataFrame, frame: _Frame, active: list[_Search], points: int) -> tuple[list[np.ndarray], list[tuple | None]]:
+def _pass(ready: DataFrame, frame: _Frame, active: list[_Search], points: int, number: int
+          ) -> tuple[list[np.ndarray], list[tuple | None]]:
     """For each search the sums over all rows, and the points of its band (None if there are too many).
 
     Sums: the fixed part, weight and rows in the band, rows outside the last solved band that changed their sign, weight below
@@ -157,7 +159,8 @@ def _pass(ready: DataFrame, frame: _Frame, active: list[_Search], points: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(tries), k + 5))
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+        # Every pass draws anew: a draw that missed the plane is not repeated.
+        rng = np.random.default_rng([number, TaskContext.get().partitionId()])
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -218,7 +221,7 @@ def _advance(s: _Search, frame: _Frame, sums: np.ndarray, rows: tuple | None, po
         return
     if rows is None:
         # More different points than expected: gather a share of them.
-        s.share, s.solved = s.share / (2 * SLACK), None
+        s.share, s.solved = max(min(1.0, points / frame.n), s.share / (2 * SLACK)), None
         return
     values, w, count = rows
     y, z, leverage = frame.standardised(values)
@@ -226,9 +229,13 @@ def _advance(s: _Search, frame: _Frame, sums: np.ndarray, rows: tuple | None, po
     scaled = w if whole or not w.sum() else w * (weight / w.sum())
     found = solve_vertex(y, z, scaled, s.tau, fixed, s.beta, frame.total) if len(y) >= k else None
     if found is None:
-        # The band does not hold the plane: look further around the same one.
-        s.share, s.half, s.solved = s.share / 4 if np.isfinite(s.half) and not whole else min(1.0, 2 * s.share), 4 * s.half, None
+        # The band does not hold the plane, or too few of its points were drawn: look further around the same one.  A share that is
+        # few enough for all rows is so for any band.
+        fewer = max(min(1.0, points / frame.n), s.share / 4)
+        s.misses += 1
+        s.share, s.half, s.solved = min(1.0, 2 * s.share) if whole or inside >= frame.n else fewer, 4.0 ** s.misses * s.half, None
         return
+    s.misses = 0
     if whole and inside >= frame.n:
         r = y - z @ found
         s.beta, s.done = found, True

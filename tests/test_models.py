@@ -171,6 +171,26 @@ def test_quantile_regression_against_all_vertices(spark, points):
         assert got[tau] == pytest.approx(best, rel=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 5, 8, 24])
+def test_quantile_search_goes_on_after_a_missed_draw(spark, parts):
+    """Draws of some six rows often miss the plane, whatever way the rows are dealt: the search must not end in ever smaller draws."""
+    rng = np.random.default_rng(5)
+    x, y, w = rng.normal(size=24), rng.normal(size=24), rng.uniform(0.5, 2, 24)
+    df = spark.createDataFrame([(float(q + p), float(p), float(r)) for p, q, r in zip(x, y, w)], ["y", "x", "w"]).repartitionByRange(parts, "x")
+    rows = qr.quantile_regression(df, "y", ["x"], [0.3, 0.5], "w", points=6).collect()
+    assert all(r["converged"] and r["passes"] <= 30 for r in rows)
+
+
+def test_share_of_a_search_stays_above_that_of_all_rows():
+    """Missed draws shrank the share without end, until no row was drawn any more."""
+    frame = qr._Frame([0, 1], np.zeros(2), np.ones(2), np.eye(2), 24, 24.0)
+    search = qr._Search(0.5, np.zeros(2), half=1e-8, share=0.25)
+    nothing = (np.zeros((0, 2)), np.zeros(0), np.zeros(0, int))
+    for inside in (2.0, 2.0, 2.0, 24.0):
+        qr._advance(search, frame, np.array([0.0, 0.0, inside, inside, 0.0, 0.0, 0.0]), nothing, 6)
+    assert search.share >= 0.25 and search.half > 1e-5
+
+
 def _hard_rows(n=3000):
     """Ties, a third of all rows alike, a dummy that three rows have, a column that others explain."""
     rng = np.random.default_rng(11)

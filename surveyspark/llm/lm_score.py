@@ -6,8 +6,10 @@ corpus.  A token's loss difference is background loss minus target loss,
 and a document's score is the mean over its tokens: higher is closer to the target.
 
 Words are counted first.  Words and pairs that hold a fixed share of all tokens, a bounded number, are sent with their counts to
-all tasks.  All other pairs travel once, packed with the documents that hold them: all places of a pair meet in one bucket, which
-counts and values the pair and adds it to its documents.  A pair with an uncommon word goes to the bucket of that word, so that bucket
+all tasks.  Documents that a task reads together are a block, of about ``PACK`` tokens.  Every other pair of a block travels once, with
+its counts there, to the bucket that counts and values it over all blocks; the values travel back to the block, in the order in which the
+pairs were sent, and the block adds them to its documents.  So what travels depends on the pairs of blocks, not on the number of
+buckets or of documents in each of them.  A pair with an uncommon word goes to the bucket of that word, so that bucket
 needs the counts of its own words and of second words of pairs of two uncommon ones only.
 """
 
@@ -18,10 +20,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm import text as tx
+from surveyspark.llm.suffix_dedup import squeezed, unsqueezed
 from surveyspark.runtime import materialise
 
 # Words that make up one in four times this many tokens and pairs that make up one in this many are sent to all tasks.
@@ -30,7 +34,7 @@ COMMON = 1 << 17
 BIGRAM = 0.7
 # Stands before the first and after the last word of a document.
 BOUND = 0
-# Tokens that a task packs together.
+# Tokens, and documents, that a task packs together.
 PACK = 1 << 20
 # Tokens for each bucket, as long as there are no more buckets than the cluster's setting gives.
 BUCKET = 3 << 20
@@ -50,6 +54,10 @@ class Pairs:
         self.doc = np.insert(docs, begin, np.flatnonzero(some))
 
 
+def flags_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int8)
+
+
 def pair_code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return tx.mix(tx.mix(first) + second)
 
@@ -81,8 +89,8 @@ def word_counts(rows: DataFrame, common: int) -> DataFrame:
             often = (n * common >= len(first)) & (n > 1)
             yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (first[at].view(np.int64), second[at].view(np.int64), n, t)], names=names)
 
-        for batch, data, offsets in tx.chunks(batches, "_bytes", 1 << 20):
-            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int8)
+        for batch, data, offsets in tx.chunks(unsqueezed(batches, 1, 300), "_bytes", 1 << 20):
+            flag = flags_of(batch)
             x = Pairs(data, offsets)
             held.append((x.first, x.second, flag[x.doc]))
             if sum(len(h[0]) for h in held) >= PACK:
@@ -90,7 +98,7 @@ def word_counts(rows: DataFrame, common: int) -> DataFrame:
         if held:
             yield from take()
 
-    return (rows.select("_bytes", "is_target").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+    return (rows.select("is_target", "_bytes").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
             .groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
 
 
@@ -111,91 +119,111 @@ class Known:
 
 
 class Packed:
-    """Pairs of many documents, dealt to buckets: each pair of a document once, words and documents by their place in a list.
+    """The pairs of a block, dealt to buckets, and what the block needs to add their values to its documents.
 
-    ``known`` holds the common words, of which numbers are sent; other words are sent whole.
+    Each pair of the block stands once, words by their place in a list.  ``known`` holds the common words, of which numbers are sent;
+    other words are sent whole.  Blocks are numbered by partition, so a task that is run again makes the same ones of the same rows.
     """
 
-    ENTRIES = ["common", "rare", "runs", "second", "doc", "keys", "flags", "times"]
-    NAMES = [*ENTRIES, "size", "part"]
-    KINDS = [np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.int64, np.int8, np.int32]
+    PAIRS = {"common": np.uint32, "rare": np.uint64, "runs": np.uint32, "second": np.uint32, "n": np.uint32, "t": np.uint32}
+    # Of each document: tokens and the sum over its frequent pairs.  Of each pair, in the order of buckets and in them as sent: the
+    # number of documents that hold it, then those documents and how often each does.
+    BLOCK = {"tokens": np.uint32, "part": np.float64, "holders": np.uint32, "doc": np.uint32, "times": np.uint32}
 
-    def __init__(self, known: Known, bucket_of_pair: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-        self.known, self.bucket_of_pair = known, bucket_of_pair
+    def __init__(self, known: Known, bucket_of_pair: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int, partition: int):
+        self.known, self.bucket_of_pair, self.buckets = known, bucket_of_pair, buckets
+        self.block = partition << 32
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.keys: list[np.ndarray] = []
-        self.flags: list[np.ndarray] = []
+        self.kept: list[tuple] = []
         self.held = self.docs = 0
 
-    def add(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> None:
+    def add(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray, ids: pa.Array, flags: np.ndarray, tokens: np.ndarray,
+            part: np.ndarray) -> None:
         self.parts.append((first, second, doc + self.docs))
-        self.keys.append(keys)
-        self.flags.append(flags)
+        self.kept.append((ids, flags, tokens, part))
         self.held += len(first)
-        self.docs += len(keys)
+        self.docs += len(flags)
 
     def take(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
+        """A row for each bucket, and one of the block, without pairs but with its documents."""
+        if not self.docs:
             return
         first, second, doc = (np.concatenate(x) for x in zip(*self.parts))
-        keys, flags = np.concatenate(self.keys), np.concatenate(self.flags)
-        self.parts, self.keys, self.flags, self.held, self.docs = [], [], [], 0, 0
-        used, doc = np.unique(doc, return_inverse=True)
-        keys, flags = keys[used], flags[used]
+        ids, flags, tokens, part = zip(*self.kept)
+        ids, flags = pa.concat_arrays(ids), np.concatenate(flags)
+        docs, block = self.docs, self.block
+        self.parts, self.kept, self.held, self.docs, self.block = [], [], 0, 0, block + 1
         vocabulary, place = np.unique(np.concatenate([first, second]), return_inverse=True)
         # Both words and the document in one number, which sorts them; it has room for a million each, or one long document.
-        w, d = np.uint64(len(vocabulary).bit_length()), np.uint64(len(keys).bit_length())
+        w, d = np.uint64(len(vocabulary).bit_length()), np.uint64(docs.bit_length())
         place = place.astype(np.uint64)
         entry = np.sort((place[:len(first)] << (w + d)) | (place[len(first):] << d) | doc.astype(np.uint64))
-        edge = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
-        times = np.diff(np.append(edge, len(entry))).astype(np.int32)
+        edge = np.flatnonzero(np.diff(entry, prepend=entry[:1]) != 0) if len(entry) else np.zeros(0, np.int64)
+        edge = np.concatenate([np.zeros(min(len(entry), 1), np.int64), edge])
+        times = np.diff(np.append(edge, len(entry)))
         entry = entry[edge]
-        first, second = (entry >> (w + d)).astype(np.int64), (entry >> d & ((np.uint64(1) << w) - np.uint64(1))).astype(np.int64)
         doc = (entry & ((np.uint64(1) << d) - np.uint64(1))).astype(np.int64)
+        pair, begin, holders = np.unique(entry >> d, return_index=True, return_counts=True)
+        first, second = (pair >> w).astype(np.int64), (pair & ((np.uint64(1) << w) - np.uint64(1))).astype(np.int64)
+        n, t = (np.add.reduceat(x, begin) if len(begin) else x for x in (times, times * flags[doc]))
         bucket = self.bucket_of_pair(vocabulary[first], vocabulary[second])
         number, common = self.known.places(vocabulary)
         order = np.argsort(bucket.astype(np.int32), kind="stable")
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        rows = []
+        rows, sent = [], [np.zeros(0, np.int64)]
         for a, b in zip(cut, np.append(cut[1:], len(order))):
             at = order[a:b]
             words, place = np.unique(np.concatenate([first[at], second[at]]), return_inverse=True)
-            here, person = np.unique(doc[at], return_inverse=True)
             runs = np.bincount(place[:len(at)], minlength=len(words))
             mine = common[words]
             place = np.where(mine, np.cumsum(mine) - 1, mine.sum() + np.cumsum(~mine) - 1)[place[len(at):]]
             # Runs follow the order of the vocabulary among common words, then among the others.
             by_kind = np.argsort(~mine, kind="stable")
             entries = np.argsort(~mine[np.repeat(np.arange(len(words)), runs)], kind="stable")
-            columns = (np.diff(number[words][mine], prepend=0), vocabulary[words][~mine], runs[by_kind], place[entries], person[entries],
-                       keys[here], flags[here], times[at][entries])
-            rows.append([_squeezed(x.astype(kind)) for x, kind in zip(columns, self.KINDS)])
+            at = at[entries]
+            columns = (np.diff(number[words][mine], prepend=0), vocabulary[words][~mine], runs[by_kind], place[entries], n[at], t[at])
+            rows.append([_squeezed(x.astype(kind)) for x, kind in zip(columns, self.PAIRS.values())])
+            sent.append(at)
+        sent = np.concatenate(sent)
+        holders, begin = holders[sent], begin[sent]
+        at = np.arange(holders.sum()) + np.repeat(begin - (np.cumsum(holders) - holders), holders)
+        whole = (np.concatenate(tokens), np.concatenate(part), holders, doc[at], times[at])
+        own = [_squeezed(x.astype(kind)) for x, kind in zip(whole, self.BLOCK.values())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[order][cut].astype(np.int32))] + [pa.array(column, pa.binary()) for column in zip(*rows)]
-            + [pa.nulls(len(cut), pa.binary())] * 2, names=["bucket", *self.NAMES])
-
-    @classmethod
-    def own(cls, bucket: int, keys: np.ndarray, size: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        """A row that holds what is known of the documents without their pairs."""
-        held = {"keys": keys, "size": size, "part": part}
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())] + [pa.array([held[n].tobytes() if n in held else None], pa.binary()) for n in cls.NAMES],
-                                          names=["bucket", *cls.NAMES])
+            [pa.array(np.append(bucket[order][cut], block % self.buckets).astype(np.int32)), pa.array(np.full(len(rows) + 1, block))]
+            + [pa.array([*(r[i] for r in rows), None], pa.binary()) for i in range(len(self.PAIRS))]
+            + [pa.array([None] * len(rows) + [x], pa.binary()) for x in own]
+            + [pa.ListArray.from_arrays(pa.array([None] * len(rows) + [0, len(ids)], pa.int32()), ids)],
+            names=["bucket", "block", *self.PAIRS, *self.BLOCK, "ids"])
 
     @classmethod
-    def schema(cls) -> str:
-        return "bucket int, " + ", ".join(f"{n} binary" for n in cls.NAMES)
+    def schema(cls, kind: str) -> str:
+        return "bucket int, block bigint, " + ", ".join(f"{n} binary" for n in [*cls.PAIRS, *cls.BLOCK]) + f", ids array<{kind}>"
 
     @classmethod
     def unpack(cls, table: pa.Table, known: Known) -> tuple[np.ndarray, ...]:
-        """First and second word, place in the list of keys, and times of every entry; the keys and flags of that list."""
-        parts, held = [], 0
-        for row in zip(*(table.column(n) for n in cls.ENTRIES)):
-            common, rare, runs, second, doc, keys, flags, times = (_restored(x.as_py(), kind) for x, kind in zip(row, cls.KINDS))
+        """First and second word and both counts of every pair; the pairs of each row."""
+        parts = []
+        for row in zip(*(table.column(n) for n in cls.PAIRS)):
+            common, rare, runs, second, n, t = (_restored(x.as_py(), kind) for x, kind in zip(row, cls.PAIRS.values()))
             words = np.concatenate([known.code[np.cumsum(common, dtype=np.int64)], rare])
-            parts.append((np.repeat(words, runs), words[second], doc + np.uint32(held), times, keys, flags))
-            held += len(keys)
-        kinds = (np.uint64, np.uint64, np.uint32, np.int32, np.int64, np.int8)
-        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, k) for k in kinds)
+            parts.append((np.repeat(words, runs), words[second], n, t))
+        sizes = np.array([len(x[0]) for x in parts], np.int64)
+        kinds = (np.uint64, np.uint64, np.uint32, np.uint32)
+        return *(tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, k) for k in kinds)), sizes
+
+
+def valued(block: pa.Table) -> pa.Table:
+    """doc_id, n_tokens and score of the documents of a block, of its own row and the values that its buckets sent back."""
+    mine = pc.is_valid(block.column("ids"))
+    own, sent = block.filter(mine), block.filter(pc.invert(mine)).sort_by("bucket")
+    tokens, part, holders, doc, times = (_restored(own.column(n)[0].as_py(), kind) for n, kind in Packed.BLOCK.items())
+    value = np.concatenate([np.zeros(0), *(_restored(x.as_py(), np.float64) for x in sent.column("value"))])
+    if own.num_rows != 1 or len(value) != len(holders):
+        raise RuntimeError("A block has other pairs than were sent: its rows changed between two reads.")
+    part = part + np.bincount(doc, np.repeat(value, holders) * times, len(tokens))
+    return pa.table({"doc_id": own.column("ids").combine_chunks().flatten(), "n_tokens": tokens.astype(np.int64),
+                     "score": np.where(tokens > 0, part / np.maximum(tokens, 1), 0.0)})
 
 
 def _squeezed(array: np.ndarray) -> bytes:
@@ -221,10 +249,11 @@ def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> Data
     """
     context = docs.sparkSession.sparkContext
     flags = target_ids.select(F.col("doc_id").alias("_target"), F.lit(True).alias("_flag")).filter("_target is not null").distinct()
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), tx.utf8().alias("_bytes"))
-    # Rows without doc_id match nothing; their keys spread them.
-    rows = materialise(keyed.join(flags, (F.coalesce("doc_id", "key") == F.col("_target")) & F.col("doc_id").isNotNull(), "left")
-                       .select("doc_id", "key", F.coalesce("_flag", F.lit(False)).alias("is_target"), "_bytes"), compression="zstd")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = squeezed(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), tx.utf8().alias("_bytes")))
+    # Rows without doc_id match nothing; their keys spread them.  Texts are squeezed for this one shuffle and for the written table.
+    rows = materialise(keyed.join(flags.hint("shuffle_hash"), (F.coalesce("doc_id", "key") == F.col("_target")) & F.col("doc_id").isNotNull(), "left")
+                       .select("doc_id", F.coalesce("_flag", F.lit(False)).alias("is_target"), "_bytes"))
     counted = materialise(word_counts(rows, common), compression="zstd")
     words = counted.filter("second is null").select(F.col("first").alias("word"), "n", "t")
     size, total_n, total_t = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
@@ -241,8 +270,8 @@ def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> Data
         known_first, known_second = (top_words.value.places(x)[1] for x in (first, second))
         return tx.bucket_of(np.where(~known_first, first, np.where(~known_second, second, pair_code(first, second))), buckets)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch, data, offsets in tx.chunks(batches, "_bytes", 1 << 20):
+    def pairs(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple]:
+        for batch, data, offsets in tx.chunks(unsqueezed(batches, at, 300), "_bytes", 1 << 20):
             x = Pairs(data, offsets)
             use = x.second != np.uint64(BOUND)
             yield batch, x, x.first[use], x.second[use], x.doc[use]
@@ -251,8 +280,8 @@ def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> Data
         """Counts of frequent pairs (bucket -1), and the bucket and second word of pairs of two uncommon words."""
         spec = ["bucket", "code", "n", "t"]
         n, t = (np.zeros(len(wanted.value.code), np.int64) for _ in range(2))
-        for batch, x, first, second, doc in pairs(batches):
-            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int8)
+        for batch, x, first, second, doc in pairs(batches, 1):
+            flag = flags_of(batch)
             at, found = wanted.value.places(pair_code(first, second))
             n += np.bincount(at[found], minlength=len(n))
             t += np.bincount(at[found], flag[doc[found]], minlength=len(n)).astype(np.int64)
@@ -266,7 +295,7 @@ def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(second[at].view(np.int64)), pa.array(none), pa.array(none)], names=spec)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1, np.int32)), pa.array(wanted.value.code.view(np.int64)), pa.array(n), pa.array(t)], names=spec)
 
-    answers = materialise(rows.select("_bytes", "is_target").mapInArrow(asked, "bucket int, code bigint, n bigint, t bigint"), compression="zstd")
+    answers = materialise(rows.select("is_target", "_bytes").mapInArrow(asked, "bucket int, code bigint, n bigint, t bigint"), compression="zstd")
     rare_words = words.filter(~often)
 
     def own_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,42 +330,36 @@ def scores(docs: DataFrame, target_ids: DataFrame, common: int = COMMON) -> Data
     shared = context.broadcast((top, values(first, second, top.n, top.t, top_words.value)))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each document and the sum over its frequent pairs, as rows of their own; its other pairs."""
-        packed = Packed(top_words.value, bucket_of_pair)
+        packed = Packed(top_words.value, bucket_of_pair, buckets, TaskContext.get().partitionId())
         top, value = shared.value
-        for batch, x, first, second, doc in pairs(batches):
-            key = batch.column(batch.schema.get_field_index("key")).to_numpy()
-            flag = batch.column(batch.schema.get_field_index("is_target")).to_numpy(zero_copy_only=False).astype(np.int8)
+        for batch, x, first, second, doc in pairs(batches, 2):
             at, found = top.places(pair_code(first, second))
-            part = np.bincount(doc[found], value[at[found]] if len(value) else None, minlength=len(key)).astype(np.float64)
-            if packed.held + len(first) > PACK:
+            part = np.bincount(doc[found], value[at[found]] if len(value) else None, minlength=len(x.count)).astype(np.float64)
+            if packed.held + len(first) > PACK or packed.docs + len(x.count) > PACK:
                 yield from packed.take()
-            packed.add(first[~found], second[~found], doc[~found], key, flag)
-            yield Packed.own(int(key[0]) % buckets, key, x.count.astype(np.int64), part)
+            packed.add(first[~found], second[~found], doc[~found], batch.column(0), flags_of(batch), x.count, part)
         yield from packed.take()
 
-    def add_up(entries: pa.Table, table: pa.Table) -> pa.Table:
-        mine = pc.is_valid(entries.column("size"))
+    back = ["block", "bucket", "value", *Packed.BLOCK, "ids"]
+
+    def value_pairs(entries: pa.Table, table: pa.Table) -> pa.Table:
+        """The values of each row's pairs; rows of blocks pass through."""
+        mine = pc.is_valid(entries.column("ids"))
         own, entries = entries.filter(mine), entries.filter(pc.invert(mine))
-        first, second, place, times, keys, flag = Packed.unpack(entries, top_words.value)
-        part = np.zeros(len(keys))
+        first, second, some_n, some_t, sizes = Packed.unpack(entries, top_words.value)
+        value = np.zeros(len(first))
         if len(first):
             code = pair_code(first, second)
             order = np.argsort(code)
             edge = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
-            at, place, times = order[edge], place[order], times[order]
-            n, t = (np.add.reduceat(x, edge, dtype=np.int64) for x in (times, times * flag[place]))
-            value = values(first[at], second[at], n, t, top_words.value, Known(table.select(["word", "n", "t"])))
-            part = np.bincount(place, np.repeat(value, np.diff(np.append(edge, len(order)))) * times, len(keys))
-        whole, size, some = tx.unpack(own, "keys", np.int64), tx.unpack(own, "size", np.int64), tx.unpack(own, "part", np.float64)
-        none = np.zeros(len(keys), np.int64)
-        return pa.table({"key": np.concatenate([keys, whole]), "copies": np.concatenate([none, np.ones(len(whole), np.int64)]),
-                         "n_tokens": np.concatenate([none, size]), "part": np.concatenate([part, some])})
-
-    parts = (rows.select("key", "is_target", "_bytes").mapInArrow(entries, Packed.schema()).groupBy("bucket").cogroup(needed.groupBy("bucket"))
-             .applyInArrow(add_up, "key bigint, copies bigint, n_tokens bigint, part double"))
-    # Rows that repeat both doc_id and text have one key: each gets its share.
-    summed = parts.groupBy("key").agg(F.sum("copies").alias("copies"), F.sum("n_tokens").alias("tokens"), F.sum("part").alias("part"))
-    return (rows.select("doc_id", "key").join(summed, "key")
-            .select("doc_id", (F.col("tokens") / F.col("copies")).cast("bigint").alias("n_tokens"),
-                    F.when(F.col("tokens") > 0, F.col("part") / F.col("tokens")).otherwise(0.0).alias("score")))
+            n, t = (np.add.reduceat(x[order], edge, dtype=np.int64) for x in (some_n, some_t))
+            found = values(first[order[edge]], second[order[edge]], n, t, top_words.value, Known(table.select(["word", "n", "t"])))
+            value[order] = np.repeat(found, np.diff(np.append(edge, len(order))))
+        ends = np.cumsum(sizes)
+        sent = pa.array([_squeezed(value[a:b]) for a, b in zip(ends - sizes, ends)], pa.binary())
+        return pa.concat_tables([entries.append_column("value", sent).select(back),
+                                 own.append_column("value", pa.nulls(own.num_rows, pa.binary())).select(back)])
+
+    parts = (rows.select("doc_id", "is_target", "_bytes").mapInArrow(entries, Packed.schema(kind)).groupBy("bucket").cogroup(needed.groupBy("bucket"))
+             .applyInArrow(value_pairs, "block bigint, bucket int, " + ", ".join(f"{n} binary" for n in back[2:-1]) + f", ids array<{kind}>"))
+    return parts.groupBy("block").applyInArrow(valued, f"doc_id {kind}, n_tokens bigint, score double")

@@ -153,12 +153,12 @@ def squeezed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
-def unsqueezed(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def unsqueezed(batches: Iterator[pa.RecordBatch], at: int, rows: int = 100) -> Iterator[pa.RecordBatch]:
     """Batches of a few MB with the column at ``at`` expanded again."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 100):
-            part = batch.slice(lo, 100)
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
             data = pa.array([opener.decompress(x.as_buffer()) for x in part.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [data if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)

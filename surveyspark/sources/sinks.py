@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark import codebook as cb
+from surveyspark.runtime import compiled_methods
 
 
 def _ordinal(column: str, values: Sequence[str]) -> Column:
@@ -76,10 +77,11 @@ def write_microdata(df: DataFrame, path: str, inputs: Sequence[str] = (), kind:
         if target == source or source.startswith(target + "/") or target.startswith(source + "/"):
             raise ValueError(f"refusing to write onto the input path {source}")
     writer = df.write.mode("overwrite")
-    if kind == "csv":
-        writer.option("header", True).csv(path)
-    else:
-        writer.parquet(path)
+    with compiled_methods(df.sparkSession):
+        if kind == "csv":
+            writer.option("header", True).csv(path)
+        else:
+            writer.parquet(path)
 
 
 def first_rows(df: DataFrame, columns: Sequence[str], key: Sequence[str], n: int = 5) -> DataFrame:

@@ -74,3 +74,15 @@ def test_mismatch_fails_after_saving(spark, tmp_path):
     wrong = text.replace(f"{shares['1', 'Male']:.2f}", "99.99", 1)
     assert run(wrong, "bad") == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "bad" / "comparison")).count() == 27
+
+
+def test_microdata_is_written_by_methods_that_the_jvm_compiles(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from surveyspark.sources import sinks
+
+    key, seen, write = "spark.sql.codegen.hugeMethodLimit", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(int(spark.conf.get(key))), write(self, *a, **k)))
+    before = spark.conf.get(key)
+    sinks.write_microdata(spark.range(3), str(tmp_path / "rows"))
+    assert seen == [8000] and spark.conf.get(key) == before and spark.read.parquet(str(tmp_path / "rows")).count() == 3

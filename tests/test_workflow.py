@@ -6,6 +6,7 @@ from surveyspark.functions import recode, status
 from surveyspark.operators import checks as ck
 from surveyspark.operators import merge as mg
 from surveyspark.plans import workflow as wf
+from surveyspark.plans.queries import QUERIES
 from surveyspark.runtime import RunFolder
 from surveyspark.sources import coded, sinks
 from tests import invented
@@ -141,6 +142,30 @@ def test_merge_with_hot_and_missing_keys(spark):
         mg.merge_checked(left.filter("k = 'a'"), right.union(right), ["k"])
 
 
+@pytest.mark.parametrize("repeats", [False, True])
+def test_agreement_is_the_outer_merge_in_one_unsorted_join(spark, tmp_path, repeats):
+    many = [(1, "F", 7, "d"), (1, "O", 7, None), (1, "F", None, "d"), (2, "F", 3, "d"), (None, "F", 1, "d"), (9, "F", 1, "d")]
+    many += [(5, "O", i % 3, "e") for i in range(300)]
+    one = [(1, "F", 7, "d"), (2, "O", 3, None), (None, "F", 1, "d"), (4, "F", 4, "d"), (5, "O", 2, "e")] + [(5, "O", 1, "d")] * repeats
+    left = spark.createDataFrame(many, "l_orderkey int, l_linestatus string, l_suppkey int, l_shipdate string")
+    right = spark.createDataFrame(one, "o_orderkey int, o_orderstatus string, o_custkey int, o_orderdate string")
+    left.write.parquet(f"{tmp_path}/lineitem.parquet")
+    right.write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["agreement_counts"](spark, str(tmp_path))
+    # The sorts and hash aggregates of two joins held some ten times the memory.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Sort" not in plan
+    pairs = [("l_linestatus", "o_orderstatus"), ("l_suppkey", "o_custkey"), ("l_shipdate", "o_orderdate")]
+    merged = mg.merge_tables(left.withColumnRenamed("l_orderkey", "k"), right.withColumnRenamed("o_orderkey", "k"), ["k"])
+    wanted = {r["check"]: r["violations"] for r in ck.check_report(merged, [
+        ck.Check(f"{a} = {b}", F.col(a) == F.col(b)) for a, b in pairs]).collect()}
+    assert {r["check"]: r["violations"] for r in got.collect()} == wanted
+    assert repeats or wanted == {"l_linestatus = o_orderstatus": 6, "l_suppkey = o_custkey": 205, "l_shipdate = o_orderdate": 6}
+    flipped = mg.agreement(right.withColumnRenamed("o_orderkey", "k"), left.withColumnRenamed("l_orderkey", "k"), ["k"],
+                           [(b, a) for a, b in pairs], "1:m")
+    assert sorted(r["violations"] for r in flipped.collect()) == sorted(wanted.values())
+
+
 def test_else_null_and_nonnumeric(spark):
     df = spark.createDataFrame([("01",), ("04",), (None,), ("99",)], "c string")
     rows = df.select(recode.band_code("c", cb.NIC_BROAD_BANDS).alias("keep"),

@@ -166,6 +166,23 @@ def test_agreement_is_the_outer_merge_in_one_unsorted_join(spark, tmp_path, repe
     assert sorted(r["violations"] for r in flipped.collect()) == sorted(wanted.values())
 
 
+def test_agreement_of_coded_files_derives_each_file_once(spark):
+    plan = QUERIES["agreement_coded_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Persons read line items and orders, households orders and the keys of line items; no file is derived again for its keys.
+    assert plan.count("FileScan parquet") == 6 and plan.count("FullOuter") == 1 and "LeftAnti" not in plan
+
+
+@pytest.mark.parametrize("side", ["person", "household"])
+def test_agreement_counts_unmatched_and_differing_files(spark, side):
+    persons, households = invented.survey()
+    (persons if side == "person" else households).append({
+        **(persons[0] if side == "person" else households[0]), ("b1q15_perv1" if side == "person" else "b1q15_hhv1"): "99"})
+    persons[1]["mult_perv1"] = None
+    keyed = wf.key_files(*invented.frames(spark, (persons, households)))
+    got = {r["check"]: r["violations"] for r in mg.agreement(*keyed, ["HHID"], wf.agreement_pairs()).collect()}
+    assert got.pop("mult_perv1 = mult_hhv1") == 2 and set(got.values()) == {1}
+
+
 def test_else_null_and_nonnumeric(spark):
     df = spark.createDataFrame([("01",), ("04",), (None,), ("99",)], "c string")
     rows = df.select(recode.band_code("c", cb.NIC_BROAD_BANDS).alias("keep"),

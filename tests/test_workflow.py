@@ -142,6 +142,18 @@ def test_merge_with_hot_and_missing_keys(spark):
         mg.merge_checked(left.filter("k = 'a'"), right.union(right), ["k"])
 
 
+def test_merge_finds_unmatched_keys_without_sorting_them(spark):
+    left = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 1), ("z", 2)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), ("b", 20), (None, 30)], "k string, w int")
+    merged = mg.merge_tables(left, right, ["k"], "m:1").filter(F.col("_merge") == mg.RIGHT_ONLY)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [k" in plan and "LeftAnti" in plan and "Sort" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, merged.select("w", "k", "v").collect())) == [(20, "b", None), (30, None, None)]
+    # Rows that are on both sides need no anti join.
+    both = mg.merge_tables(left, right, ["k"], "m:1").filter(F.col("_merge") == mg.BOTH)
+    assert "LeftAnti" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 50
+
+
 @pytest.mark.parametrize("repeats", [False, True])
 def test_agreement_is_the_outer_merge_in_one_unsorted_join(spark, tmp_path, repeats):
     many = [(1, "F", 7, "d"), (1, "O", 7, None), (1, "F", None, "d"), (2, "F", 3, "d"), (None, "F", 1, "d"), (9, "F", 1, "d")]

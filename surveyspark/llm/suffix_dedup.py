@@ -118,6 +118,11 @@ def of_six(table: pa.Table, name: str) -> np.ndarray:
 _LOW = np.uint64((1 << 48) - 1)
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Smallest hashes of windows are small numbers: by their own size, most of them would fall into the first few buckets."""
+    return tx.bucket_of(tx.mix(h), buckets)
+
+
 def ticket(h: np.ndarray, around: np.ndarray, compare: np.ndarray | bool) -> np.ndarray:
     """What a document is told of one of its cover positions: drop it, or compare its surroundings."""
     key = tx.mix(tx.mix(h & _LOW) + (around & _LOW))
@@ -146,9 +151,11 @@ def squeezed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            small = [packer.compress(x.as_buffer()) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(small, pa.binary())], names=batch.schema.names)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                small = [packer.compress(x.as_buffer()) for x in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(small, pa.binary())], names=part.schema.names)
 
     return rows.mapInArrow(run, kinds)
 
@@ -164,24 +171,31 @@ def unsqueezed(batches: Iterator[pa.RecordBatch], at: int, rows: int = 100) -> I
                 [data if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
 
 
-def tickets(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(row_id, ticket) of the cover positions that another doc_id has, too."""
+COVER = ["hash", "around", "row_id"]
+
+
+def covers(rows: DataFrame, length: int, seed: int) -> DataFrame:
+    """Packed by bucket: hash, surroundings and row_id of every cover position."""
     buckets = tx.n_buckets(rows)
-    names = ["hash", "around", "row_id"]
-    schema = tx.Blobs(buckets, names).schema()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = tx.Blobs(buckets, names)
+        blobs = tx.Blobs(buckets, COVER)
         for batch, data, offsets in tx.chunks(batches, "_bytes"):
             ids = batch.column(0).to_numpy()
             position, h, _, _, around = owned(data, offsets, length, seed)
             row = ids[np.searchsorted(offsets, position, "right") - 1]
-            blobs.add(tx.bucket_of(h, buckets), six(h), six(around), row)
+            blobs.add(bucket_of(h, buckets), six(h), six(around), row)
             if blobs.full():
                 yield blobs.take()
         if (rest := blobs.take()) is not None:
             yield rest
 
+    return rows.select("row_id", "_bytes").mapInArrow(emit, tx.Blobs(buckets, COVER).schema())
+
+
+def tickets(rows: DataFrame, length: int, seed: int) -> DataFrame:
+    """(row_id, ticket) of the cover positions that another doc_id has, too."""
+
     def meet(table: pa.Table) -> pa.Table:
         h, around, row = of_six(table, "hash"), of_six(table, "around"), tx.unpack(table, "row_id", np.int64)
         order = np.argsort(h)
@@ -205,8 +219,7 @@ def tickets(rows: DataFrame, length: int, seed: int) -> DataFrame:
         use = ~first | (kinds[group] > 1) if len(h) else first
         return pa.table({"row_id": row[use], "ticket": ticket(h[use], around[use], first[use]).view(np.int64)})
 
-    return (rows.select("row_id", "_bytes").mapInArrow(emit, schema).groupBy("bucket")
-            .applyInArrow(meet, "row_id bigint, ticket bigint"))
+    return covers(rows, length, seed).groupBy("bucket").applyInArrow(meet, "row_id bigint, ticket bigint")
 
 
 WIDE = ["row_id", "row_hash", "position", "before", "after", "bytes"]
@@ -259,7 +272,7 @@ def contexts(rows: DataFrame, length: int, seed: int) -> DataFrame:
                 column = np.arange(2 * reach + seed)[None, :]
                 unused = (column < (reach - (position - low))[:, None]) | (column >= (reach + length - (position - high))[:, None])
                 window = np.where(unused, np.uint8(0), window)
-                wide.add(tx.bucket_of(h, buckets), ids[doc], hashes[doc], position - offsets[doc],
+                wide.add(bucket_of(h, buckets), ids[doc], hashes[doc], position - offsets[doc],
                          (position - low).astype(np.uint8), (position - high).astype(np.uint8), window)
             if wide.full():
                 yield from out(wide)

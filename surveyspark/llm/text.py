@@ -185,7 +185,8 @@ class Blobs:
         self.held = 0
 
     def add(self, bucket: np.ndarray, *arrays: np.ndarray) -> None:
-        self.parts.append([bucket, *arrays])
+        # Views would hold on to what they were cut from.
+        self.parts.append([bucket.astype(np.int32), *(np.ascontiguousarray(x) for x in arrays)])
         self.held += len(bucket)
 
     def full(self) -> bool:
@@ -194,16 +195,22 @@ class Blobs:
     def take(self) -> pa.RecordBatch | None:
         if not self.held:
             return None
-        bucket, *arrays = (np.concatenate(x) for x in zip(*self.parts))
+        # One array at a time, whose sorted copy is what Arrow sends.
+        columns = [list(x) for x in zip(*self.parts)]
+        self.parts, self.held = [], 0
+        bucket = np.concatenate(columns.pop(0))
         order = np.argsort(bucket, kind="stable")
-        bucket, arrays = bucket[order], [x[order] for x in arrays]
+        bucket = bucket[order]
         edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-        stop = np.append(edge[1:], len(bucket))
-        self.parts, self.held = [], 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[edge].astype(np.int32))]
-            + [pa.array([x[a:b].tobytes() for a, b in zip(edge, stop)], pa.binary()) for x in arrays],
-            names=["bucket", *self.names])
+        ends = np.append(edge, len(bucket))
+        out = [pa.array(bucket[edge])]
+        while columns:
+            x = np.concatenate(columns.pop(0))
+            row = x.nbytes // len(x)
+            x = x[order]
+            out.append(pa.Array.from_buffers(
+                pa.binary(), len(edge), [None, pa.py_buffer((ends * row).astype(np.int32)), pa.py_buffer(x)]))
+        return pa.RecordBatch.from_arrays(out, names=["bucket", *self.names])
 
     def schema(self) -> str:
         return "bucket int, " + ", ".join(f"{n} binary" for n in self.names)

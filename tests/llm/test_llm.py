@@ -109,6 +109,43 @@ def test_suffix_dedup(docs):
     assert suffix_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_buckets_are_even(spark):
+    """Smallest hashes of windows were dealt by their own size: the first bucket got most cover positions, its task their memory."""
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = [text(80) for _ in range(400)]
+    docs = spark.createDataFrame(
+        [(i, "".join(text(30) + x for x in shared)) for i in range(3)], "doc_id bigint, text string").repartition(2)
+    rows = suffix_dedup.rows_of(docs)
+    buckets = suffix_dedup.tx.n_buckets(docs)
+    told = suffix_dedup.tickets(rows, 50, 20).groupBy("row_id").agg(F.collect_list("ticket").alias("tickets"))
+    packed = suffix_dedup.contexts(suffix_dedup.squeezed(rows).join(told, "row_id")
+                                   .select("row_id", "row_hash", "_bytes", "tickets"), 50, 20)
+    for found, column, width in ((suffix_dedup.covers(rows, 50, 20), "row_id", 8), (packed, "bytes", 80)):
+        sizes = [r.n // width for r in found.filter(F.length(column) > 0).groupBy("bucket")
+                 .agg(F.sum(F.length(column)).alias("n")).collect()]
+        assert len(sizes) == buckets == 12 and sum(sizes) > 1000 and max(sizes) < 1.5 * sum(sizes) / buckets, sizes
+
+
+def test_blobs_keep_entries_in_order_by_bucket():
+    tx = suffix_dedup.tx
+    blobs = tx.Blobs(4, ["wide", "small"], limit=6)
+    assert blobs.take() is None
+    wide = np.arange(21, dtype=np.uint64).view(np.uint8).reshape(-1, 8)[:, :3].reshape(7, 9)
+    bucket = np.array([3, 0, 3, 1, 0, 3, 1])
+    for part in (slice(0, 3), slice(3, 3), slice(3, 7)):
+        assert not blobs.full()
+        blobs.add(bucket[part], wide[part], np.arange(7, dtype=np.uint8)[part])
+    assert blobs.full()
+    batch = blobs.take()
+    batch.validate(full=True)
+    assert not blobs.full() and blobs.take() is None
+    want = [(b, wide[bucket == b].tobytes(), bytes(np.flatnonzero(bucket == b).astype(np.uint8))) for b in (0, 1, 3)]
+    assert list(zip(*(c.to_pylist() for c in batch.columns))) == want and batch.schema.names == ["bucket", "wide", "small"]
+    again = pa.Table.from_batches([batch])
+    assert tx.unpack(again, "small", np.uint8).tolist() == [1, 4, 3, 6, 0, 2, 5]
+
+
 def test_decontamination(spark, docs):
     items = [(1, SHARED), (2, "one two"), (3, None), (4, ""), (5, "not there at all in any text"), (None, "é" * 60)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")

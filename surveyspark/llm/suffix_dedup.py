@@ -179,7 +179,7 @@ def covers(rows: DataFrame, length: int, seed: int) -> DataFrame:
     buckets = tx.n_buckets(rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = tx.Blobs(buckets, COVER)
+        blobs = tx.Blobs(buckets, COVER, planes=["row_id"])
         for batch, data, offsets in tx.chunks(batches, "_bytes"):
             ids = batch.column(0).to_numpy()
             position, h, _, _, around = owned(data, offsets, length, seed)
@@ -197,7 +197,7 @@ def tickets(rows: DataFrame, length: int, seed: int) -> DataFrame:
     """(row_id, ticket) of the cover positions that another doc_id has, too."""
 
     def meet(table: pa.Table) -> pa.Table:
-        h, around, row = of_six(table, "hash"), of_six(table, "around"), tx.unpack(table, "row_id", np.int64)
+        h, around, row = of_six(table, "hash"), of_six(table, "around"), tx.unpack_planes(table, "row_id", np.int64)
         order = np.argsort(h)
         edge = _edges(h[order])
         size = np.diff(np.append(edge, len(h)))
@@ -224,6 +224,7 @@ def tickets(rows: DataFrame, length: int, seed: int) -> DataFrame:
 
 WIDE = ["row_id", "row_hash", "position", "before", "after", "bytes"]
 DONE = ["done_id", "done_hash", "first", "last"]
+PLANES = ["row_id", "position", "done_id", "first", "last"]
 
 
 def contexts(rows: DataFrame, length: int, seed: int) -> DataFrame:
@@ -234,7 +235,7 @@ def contexts(rows: DataFrame, length: int, seed: int) -> DataFrame:
     shape = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in WIDE + DONE])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide, done = tx.Blobs(buckets, WIDE, 100_000), tx.Blobs(buckets, DONE, 300_000)
+        wide, done = tx.Blobs(buckets, WIDE, 100_000, PLANES), tx.Blobs(buckets, DONE, 300_000, PLANES)
 
         def out(blobs):
             batch = blobs.take()
@@ -340,8 +341,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Da
                       .select("row_id", "row_hash", "_bytes", "tickets"), length, seed)
 
     def sort(table: pa.Table) -> pa.Table:
-        row_id, row_hash = tx.unpack(table, "row_id", np.int64), tx.unpack(table, "row_hash", np.int64)
-        position = tx.unpack(table, "position", np.int64)
+        row_id, row_hash = tx.unpack_planes(table, "row_id", np.int64), tx.unpack(table, "row_hash", np.int64)
+        position = tx.unpack_planes(table, "position", np.int64)
         before, after = (tx.unpack(table, x, np.uint8).astype(np.int64) for x in ("before", "after"))
         window = tx.unpack(table, "bytes", np.uint8).reshape(-1, 2 * reach + seed)
         entry, shift = repeated(row_id, before, after, window, length, seed)
@@ -355,7 +356,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Da
         edge[1:] = (row_id[1:] != row_id[:-1]) | (row_hash[1:] != row_hash[:-1]) | (start[1:] > start[:-1] + length)
         edge = np.flatnonzero(edge)
         last = start[np.append(edge[1:], len(start)) - 1] + length if len(start) else start
-        known = [tx.unpack(table, x, np.int64) for x in DONE]
+        known = [(tx.unpack_planes if x in PLANES else tx.unpack)(table, x, np.int64) for x in DONE]
         mine = [row_id[edge], row_hash[edge], start[edge], last]
         return pa.table({x: np.concatenate([a, b]) for x, a, b in zip(("row_id", "row_hash", "first", "last"), known, mine)})
 

@@ -146,6 +146,30 @@ def test_blobs_keep_entries_in_order_by_bucket():
     assert tx.unpack(again, "small", np.uint8).tolist() == [1, 4, 3, 6, 0, 2, 5]
 
 
+def test_blobs_in_planes():
+    """Row numbers of small blobs hardly compressed, so that shuffled bytes grew with the number of buckets."""
+    tx = suffix_dedup.tx
+    value = np.array([5, -1, 1 << 62, 0, 5, -(1 << 63), 300])
+    tables = []
+    for part in (slice(0, 4), slice(4, 7)):
+        blobs = tx.Blobs(2, ["x"], planes=["x"])
+        blobs.add(np.array([1, 0, 1, 1, 0, 0, 1])[part], value[part])
+        tables.append(pa.Table.from_batches([blobs.take()]))
+    assert tables[0]["x"][1].as_py() == np.array([5, 1 << 62, 0]).view(np.uint8).reshape(3, 8).T.tobytes()
+    empty = pa.table({"bucket": pa.array([0], pa.int32()), "x": pa.nulls(1, pa.binary())})
+    both = pa.concat_tables([tables[0], empty, tables[1]])
+    want = [-1, 5, 1 << 62, 0, 5, -(1 << 63), 300]
+    assert tx.unpack_planes(both, "x", np.int64).tolist() == want
+    assert tx.unpack_planes(both.combine_chunks().slice(1), "x", np.int64).tolist() == want[1:]
+    assert tx.unpack_planes(empty, "x", np.int64).tolist() == tx.unpack_planes(both.slice(0, 0), "x", np.int64).tolist() == []
+    ids = np.sort(np.random.default_rng(3).integers(0, 3_000_000, 20_000))
+    packed = {p: tx.Blobs(60, ["x"], planes=p) for p in ((), ("x",))}
+    for blobs in packed.values():
+        blobs.add(np.arange(20_000) % 60, ids)
+    plain, planes = (sum(len(pa.compress(x, "lz4", asbytes=True)) for x in b.take()["x"].to_pylist()) for b in packed.values())
+    assert planes < 0.7 * plain
+
+
 def test_decontamination(spark, docs):
     items = [(1, SHARED), (2, "one two"), (3, None), (4, ""), (5, "not there at all in any text"), (None, "é" * 60)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")

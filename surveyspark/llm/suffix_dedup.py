@@ -119,7 +119,7 @@ _LOW = np.uint64((1 << 48) - 1)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Smallest hashes of windows are small numbers: by their own size, most of them would fall into the first few buckets."""
+    """Smallest hashes of windows are small numbers: by their own size, most of them would fall into the first tenth of the buckets."""
     return tx.bucket_of(tx.mix(h), buckets)
 
 
